@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pagelode.llm.bpe import op5_byte_bpe
+from pagelode.llm.langid import op9_language_id
 from pagelode.llm.mixing import op8_mixing
 from pagelode.llm.sharding import op3_sharding
 from pagelode.llm.topk import OP6_SQL, op6_topk
+from pagelode.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op5_byte_bpe, op6_topk, op8_mixing)}
+    return {f.__name__: f for f in (op3_sharding, op4_toxicity, op5_byte_bpe, op6_topk, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
