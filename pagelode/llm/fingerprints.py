@@ -180,3 +180,21 @@ def compare_following(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     return compare_following(documents(spark, sf_dir))
+
+
+def _jaccard(a, b) -> float:
+    shared = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    return shared / max(len(a[0]) + len(b[0]) - shared, 1)
+
+
+def _signer(registers: int):
+    hasher = MinHasher(registers)
+    return lambda texts: hasher.signatures(texts).astype(np.uint32)
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """key, class_id and n_links: classes of texts that share a signature band, Jaccard similarity verified."""
+    from pagelode.llm.groups import classes
+    from pagelode.llm.probminhash import Weights
+
+    return classes(df, lambda: _signer(125), lambda: Weights(WIDTH).profiles, _jaccard, 125, 5, threshold, key, text)
