@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed value: what separates two words in every word-based contract.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,3 +44,38 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """Write df as a Parquet table into the shared checkpoint folder and read it back; drop_table() removes it."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path
+    return table
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of write_table() that no later job reads."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._table_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """rid, doc, key and text of df: rid is unique to the row, doc orders the keys (null last).
+
+    Keys that are unique and not null are their own rid. Otherwise the rows are
+    written once with a number each.
+    """
+    rows = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
+    doc = F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1))
+    again = df.select(df[key].alias("key")).groupBy("key").count().filter("count > 1 or key is null").limit(1).count()
+    if again:
+        rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
+    else:
+        rows = rows.withColumn("rid", F.col("key").cast("long"))
+    return rows.select("rid", doc.alias("doc"), "key", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pagelode.llm.bpe import op5_byte_bpe
+from pagelode.llm.bwt import op7_suffix_dedup
 from pagelode.llm.fingerprints import op2_fingerprints
 from pagelode.llm.langid import op9_language_id
 from pagelode.llm.mixing import op8_mixing
@@ -13,7 +14,7 @@ from pagelode.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_probminhash, op2_fingerprints, op3_sharding, op4_toxicity, op5_byte_bpe, op6_topk, op8_mixing, op9_language_id)}
+    return {f.__name__: f for f in (op1_probminhash, op2_fingerprints, op3_sharding, op4_toxicity, op5_byte_bpe, op6_topk, op7_suffix_dedup, op8_mixing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
