@@ -221,7 +221,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     total = distinct.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("b")).first()["b"]
     blocks = max(8, -(-total // block_bytes))
 
-    def take(text: bytes, first: int, n: int, carried: list):
+    def take(scan: ByteScanner, text: bytes, first: int, n: int, carried: list):
         yield carried[0], text[first : first + n + window - 1]
 
     bodies = supplied(rows, distinct, scanner, take, "many long, bytes binary", ["many"])

@@ -54,7 +54,7 @@ def hits(rows: DataFrame, scanner: Callable, repeats: Column) -> DataFrame:
 def supplied(rows: DataFrame, pieces: DataFrame, scanner: Callable, extract: Callable, schema: str, carry: list[str]) -> DataFrame:
     """What extract() makes of each of pieces (core, piece, rid, first, n and carry) from the text of its row.
 
-    extract(prepared text, first, n, carried values) yields rows of schema, after core and piece.
+    extract(scanner, prepared text, first, n, carried values) yields rows of schema, after core and piece.
     """
     wanted = pieces.groupBy("rid").agg(F.collect_list(F.struct("core", "piece", "first", "n", *carry)).alias("wanted"))
     ids = pieces.select("rid").distinct()
@@ -71,7 +71,7 @@ def supplied(rows: DataFrame, pieces: DataFrame, scanner: Callable, extract: Cal
             for text, each in zip(texts, lists, strict=True):
                 prepared = scan.prepare(text)
                 for w in each.as_py():
-                    for made in extract(prepared, w["first"], w["n"], [w[c] for c in carry]):
+                    for made in extract(scan, prepared, w["first"], w["n"], [w[c] for c in carry]):
                         out.append((w["core"], w["piece"], *made))
                         size += 1
                 if size >= 20_000:
