@@ -231,13 +231,15 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     return spans_by_row(ranges)
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """For each row of df: key, n_bytes, n_removed, n_spans, and the kept bytes or, with digest, their kept_sha256."""
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False, as_text: bool = False) -> DataFrame:
+    """For each row of df: key, n_bytes, n_removed, n_spans, and the kept bytes, with digest their
+    kept_sha256, or with as_text kept and kept_chars, leaving out what is left of cut characters."""
     small_batches(df.sparkSession)
     rows = keyed(df, key, text)
     joined = rows.join(repeated_spans(rows, window), "rid", "left").select("key", "text", "spans")
     last = T.StructField("kept_sha256", T.StringType()) if digest else T.StructField("kept", T.BinaryType())
-    schema = T.StructType([T.StructField(key, joined.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], last])
+    lasts = [T.StructField("kept", T.StringType()), T.StructField("kept_chars", T.LongType())] if as_text else [last]
+    schema = T.StructType([T.StructField(key, joined.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], *lasts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +254,9 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
                 kept = b"".join([*kept, raw[at:]])
                 removed.append(len(raw) - len(kept))
                 spans.append(len(gone))
-                out.append(hashlib.sha256(kept).hexdigest() if digest else kept)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(out, pa.string() if digest else pa.binary())],
-                schema.fieldNames(),
-            )
+                out.append(kept.decode("utf-8", "ignore") if as_text else hashlib.sha256(kept).hexdigest() if digest else kept)
+            ends = [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())] if as_text else [pa.array(out, pa.string() if digest else pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), *ends], schema.fieldNames())
 
     return joined.mapInArrow(run, schema)
 

@@ -65,17 +65,13 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """rid, doc, key and text of df: rid is unique to the row, doc orders the keys (null last).
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with a column _rid that is unique to the row: the key where all keys are unique and none is null."""
+    again = df.groupBy(df[key].alias("key")).count().filter("count > 1 or key is null").limit(1).count()
+    return cut(df.withColumn("_rid", F.monotonically_increasing_id())) if again else df.withColumn("_rid", F.col(key).cast("long"))
 
-    Keys that are unique and not null are their own rid. Otherwise the rows are
-    written once with a number each.
-    """
-    rows = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"))
-    doc = F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1))
-    again = df.select(df[key].alias("key")).groupBy("key").count().filter("count > 1 or key is null").limit(1).count()
-    if again:
-        rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
-    else:
-        rows = rows.withColumn("rid", F.col("key").cast("long"))
-    return rows.select("rid", doc.alias("doc"), "key", "text")
+
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """rid, doc, key and text of df: rid is unique to the row, doc orders the keys (null last); a null text is empty."""
+    rows = numbered(df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text")), "key")
+    return rows.select(F.col("_rid").alias("rid"), F.coalesce(F.col("key").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), "key", "text")

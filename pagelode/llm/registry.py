@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pagelode.llm.bpe import op5_byte_bpe
 from pagelode.llm.bwt import op7_suffix_dedup
 from pagelode.llm.fingerprints import op2_fingerprints
@@ -14,8 +15,22 @@ from pagelode.llm.topk import OP6_SQL, op6_topk
 from pagelode.llm.toxicity import op4_toxicity
 
 
+OPERATORS = (
+    op1_probminhash,
+    op2_fingerprints,
+    op3_sharding,
+    op4_toxicity,
+    op5_byte_bpe,
+    op6_topk,
+    op7_suffix_dedup,
+    op8_mixing,
+    op9_language_id,
+    op10_recompression,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_probminhash, op2_fingerprints, op3_sharding, op4_toxicity, op5_byte_bpe, op6_topk, op7_suffix_dedup, op8_mixing, op9_language_id, op10_recompression)}
+    return {**{f.__name__: f for f in OPERATORS}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -315,6 +315,21 @@ def score_texts(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text:
     return narrow.mapInArrow(run, T.StructType(fields))
 
 
+def drop_toxic(df: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df whose text scores below threshold, with all their columns."""
+    spark = df.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, _ = held.value.score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(scores < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted and n_spans of every document."""
     docs = documents(spark, sf_dir)
