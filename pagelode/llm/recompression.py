@@ -142,7 +142,9 @@ def earlier_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     distinct = found.groupBy("core", "piece").agg(F.min("doc").alias("low"), F.min(F.struct("rid", "first", "n")).alias("at"))
     distinct = write_table(distinct.select("core", "piece", "low", "at.rid", "at.first", "at.n"))
     mixed_cores = distinct.groupBy("core").agg(F.min("piece").alias("x"), F.max("piece").alias("y")).filter("x <> y").select("core")
+    mixed_cores = write_table(mixed_cores)
     several = write_table(distinct.join(mixed_cores, "core", "left_semi"))
+    drop_table(mixed_cores)
 
     def take(scan: WordScanner, prepared, first: int, n: int, carried: list):
         a, b = scan.windows(prepared, first, n)
@@ -151,17 +153,18 @@ def earlier_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     windows = supplied(rows, several, scanner, take, "i int, a long, b long, low long", ["low"])
     windows = write_table(windows)
-    least = windows.groupBy("a", "b").agg(F.min("low").alias("least"))
-    by_window = windows.join(least, ["a", "b"]).groupBy("core", "piece").agg(F.collect_list(F.struct("i", "least")).alias("each"))
-    by_window = write_table(by_window)
-    drop_table(windows)
-    drop_table(several)
-    whole = found.join(distinct.select("core", "piece", "low"), ["core", "piece"])
-    marked = whole.join(by_window, ["core", "piece"], "left")
-    alone = marked.filter(F.col("each").isNull() & (F.col("low") < F.col("doc"))).select("rid", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
-    apart = marked.filter(F.col("each").isNotNull()).select("rid", "first", F.explode(F.filter("each", lambda x: x["least"] < F.col("doc"))).alias("x"))
-    apart = apart.select("rid", (F.col("first") + F.col("x.i")).alias("start"), (F.col("first") + F.col("x.i") + 1).alias("end"))
-    return spans_by_row(alone.unionByName(apart))
+    least = write_table(windows.groupBy("a", "b").agg(F.min("low").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"))
+    shared = windows.join(least, ["a", "b"], "left").select("core", "piece", "i", F.coalesce("least", "low").alias("least"))
+    by_window = shared.groupBy("core", "piece").agg(F.collect_list(F.struct("i", "least")).alias("each"))
+    # the smallest document of a piece where all pieces of its core are equal, else that of each of its windows
+    known = write_table(distinct.select("core", "piece", "low").join(by_window, ["core", "piece"], "left"))
+    for table in (windows, least, several, distinct):
+        drop_table(table)
+    marked = found.join(known, ["core", "piece"])
+    whole = F.when(F.col("low") < F.col("doc"), F.array(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))))
+    apart = F.transform(F.filter("each", lambda x: x["least"] < F.col("doc")), lambda x: F.struct((F.col("first") + x["i"]).alias("start"), (F.col("first") + x["i"] + 1).alias("end")))
+    ranges = marked.select("rid", F.explode(F.when(F.col("each").isNull(), whole).otherwise(apart)).alias("r"))
+    return spans_by_row(ranges.select("rid", "r.start", "r.end"))
 
 
 def without_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
