@@ -64,7 +64,7 @@ class ByteBPE:
                 ids.extend(self.encoding.encode_ordinary(piece))
             else:
                 for match in self.matches.finditer(piece):
-                    ids.extend(self.encoding.encode_single_piece(match.group()) if len(match.group()) > PIECE_CHARS else self.encoding.encode_ordinary(match.group()))
+                    ids.extend(self.encoding._encode_single_piece(match.group()) if len(match.group()) > PIECE_CHARS else self.encoding.encode_ordinary(match.group()))
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
