@@ -19,6 +19,7 @@ Value = tuple[str, object]
 WHITE = rb" \t\n\x0c\r"
 DELIMITERS = rb" \t\n\x0c\r()<>\[\]{}/%"
 _GAP = re.compile(rb"(?:[" + WHITE + rb"]+|%[^\r\n]*)*")
+_WHITE = re.compile(rb"[" + WHITE + rb"]*")
 _REGULAR = re.compile(rb"[^" + DELIMITERS + rb"]+")
 _NAME = re.compile(rb"/([^" + DELIMITERS + rb"]*)")
 _HEX = re.compile(rb"<([^>]*)>?")
@@ -37,10 +38,7 @@ def gap(data: bytes, pos: int) -> int:
 
 
 def white(data: bytes, pos: int) -> int:
-    end = len(data)
-    while pos < end and data[pos] in WHITE:
-        pos += 1
-    return pos
+    return _WHITE.match(data, pos).end() if pos <= len(data) else pos
 
 
 def unescape_name(raw: bytes) -> str:
