@@ -46,8 +46,10 @@ def hits(rows: DataFrame, scanner: Callable, repeats: Column) -> DataFrame:
     """The occurrences whose core meets the condition on n_at, low and high (occurrences, smallest and largest doc of the core), as a table."""
     all_pieces = write_table(occurrences(rows, scanner))
     cores = all_pieces.groupBy("core").agg(F.count("*").alias("n_at"), F.min("doc").alias("low"), F.max("doc").alias("high")).filter(repeats).select("core")
+    cores = write_table(cores)  # so that the join can split a frequent core, which below an aggregate it could not
     found = write_table(all_pieces.join(cores, "core"))
     drop_table(all_pieces)
+    drop_table(cores)
     return found
 
 
