@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from pagelode.functions import content, structure
+from pagelode.functions.page_objects import Inspector
 from pagelode.functions.document import FULL_LIMIT, Document, parse_document
 from pagelode.functions.values import references, summary, walk
 
@@ -42,6 +43,8 @@ SCHEMAS = {
     "fields": "name string, obj long, gen int, field_type string",
     "field_warnings": "ord int, message string",
     "annotations": "page int, page_obj long, page_gen int, obj long, gen int, subtype string, rect string, flags string, contents string, color string, border string, appearance string, ca string, keys array<string>",
+    "page_objects": "page int, seq int, id string, kind string, label string, summary string, llx double, lly double, urx double, ury double, obj long, gen int, stream_obj long, stream_gen int, start long, end long, text string, properties array<struct<name:string,value:string>>, warnings array<string>",
+    "page_object_warnings": "page int, ord int, rule_id string, obj long, gen int, message string",
     "tokens": "obj long, gen int, i int, kind string, lexeme string, start long, end long",
     "operators": "obj long, gen int, i int, name string, start long, end long, operands array<string>",
 }
@@ -135,6 +138,18 @@ def _annotations(doc: Document):
         yield a["page"], *a["page_ref"], *a["ref"], *[a[k] for k in ("subtype", "rect", "flags", "contents", "color", "border", "appearance", "ca", "keys")]
 
 
+def _page_objects(doc: Document):
+    for p in structure.pages(doc):
+        for i, o in enumerate(Inspector(doc, p).run().shown):
+            yield p.number, i + 1, o.id, o.kind, o.label, o.summary, *(o.bbox or [None] * 4), *(o.ref or (None, None)), *(o.stream or (None, None)), *(o.range or (None, None)), o.text, o.properties, o.warnings
+
+
+def _page_object_warnings(doc: Document):
+    for p in structure.pages(doc):
+        for i, (rule, ref, message) in enumerate(Inspector(doc, p).run().warnings):
+            yield p.number, i, rule, *(ref or (None, None)), message
+
+
 def _is_content(d: dict) -> bool:
     """No image and no XObject, so possibly page content."""
     return _name_of(d, "Subtype") != "Image" and _name_of(d, "Type") != "XObject"
@@ -177,6 +192,8 @@ MAKERS: dict[str, Callable] = {
     "fields": lambda d: ((n, *r, t) for n, r, t in structure.form_fields(d)[0]),
     "field_warnings": lambda d: enumerate(structure.form_fields(d)[1]),
     "annotations": _annotations,
+    "page_objects": _page_objects,
+    "page_object_warnings": _page_object_warnings,
     "tokens": _tokens,
     "operators": _operators,
 }
@@ -206,7 +223,7 @@ def parse(docs: DataFrame, *parts: str, gui: bool = False) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     name = F.col("path") if "path" in docs.columns else F.col("doc_id").cast("string")
-    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "tokens", "operators", "tree_problems"} & set(parts))
+    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "page_objects", "page_object_warnings", "tokens", "operators", "tree_problems"} & set(parts))
     schema = StructType().add("doc_id", kind).add("error", "string")
     for part in parts:
         schema.add(part, _struct(part) if part == "metadata" else ArrayType(_struct(part)))

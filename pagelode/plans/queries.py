@@ -13,6 +13,7 @@ from pagelode.operators.edits import apply_edits
 from pagelode.operators.relations import parse, relation
 from pagelode.plans import reports, rules
 from pagelode.sources import corpus
+from pagelode.sources.lazy import parse_lazy
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -293,3 +294,50 @@ def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = "schema_version string, diagnostics struct<errors:long>, findings array<struct<rule_id:string>>"
     back = texts.select("doc_id", F.from_json("report", shape).alias("r"))
     return back.select("doc_id", "r.schema_version", "r.diagnostics.errors", F.size("r.findings").cast("long").alias("findings"), F.array_min("r.findings.rule_id").alias("first_rule"))
+
+
+@registered("SELECT doc_id, md5(text) AS text_md5, CAST(ceil(length(text) / 200.0) AS BIGINT) AS runs FROM documents")
+def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of each document, put together again from the runs its page shows."""
+    shown = relation(parse(corpus.texts(spark, sf_dir), "page_objects"), "page_objects").filter("kind = 'text'")
+    runs = F.sort_array(F.collect_list(F.struct("seq", "text")))
+    rows = shown.groupBy("doc_id").agg(runs.alias("runs"))
+    return rows.select("doc_id", F.md5(F.array_join("runs.text", "").cast("binary")).alias("text_md5"), F.size("runs").cast("long").alias("runs"))
+
+
+@registered("""
+WITH u AS (SELECT CAST(n_regionkey AS BIGINT) AS r, unnest([n_nationkey, n_nationkey + 1]) AS k FROM nation)
+SELECT r AS doc_id, count(*) FILTER (own) AS images, count(*) FILTER (NOT own) AS missing FROM
+  (SELECT r, EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r AND n_nationkey = k AND k % 2 = 1) AS own FROM u) GROUP BY 1""")
+def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that pages paint, and names they paint that no resource has."""
+    parsed = parse(corpus.nations(spark, sf_dir), "page_objects", "page_object_warnings")
+    images = F.size(F.filter("page_objects", lambda o: o["kind"] == "image")).cast("long")
+    return parsed.select("doc_id", images.alias("images"), F.size("page_object_warnings").cast("long").alias("missing"))
+
+
+@registered("""
+SELECT p_partkey AS doc_id, '1.4' AS pdf_version, CAST(1 AS BIGINT) AS page_count, CAST(6 AS INTEGER) AS object_count, CAST(7 AS INTEGER) AS xref_entry_count, '1 0 R' AS root, false AS has_object_stream FROM part""")
+def lazy_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the head, the tail and the table say without parsing any stream; members of object streams don't count."""
+    got = parse_lazy(corpus.object_streams(spark, sf_dir), "metadata").select("doc_id", "metadata.*")
+    return got.select("doc_id", "pdf_version", "page_count", "object_count", "xref_entry_count", "root", "has_object_stream")
+
+
+@registered("""
+SELECT rule_id, count(*) AS n FROM (
+  SELECT 'lazy.deep_diagnostics_deferred' AS rule_id FROM customer
+  UNION ALL SELECT 'lazy.page_link_missing_from_xref' FROM customer WHERE c_custkey % 8 = 1
+  UNION ALL SELECT 'lazy.object_parse_failed' FROM customer WHERE false) GROUP BY 1""")
+def lazy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the fast rules, which read no stream."""
+    got = parse_lazy(corpus.customers(spark, sf_dir), "findings")
+    return got.select(F.explode("findings.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT l_orderkey AS doc_id, count(*) AS pages, true AS same FROM lineitem GROUP BY 1")
+def lazy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read by ranges are the pages of the full parse."""
+    docs = corpus.order_pages(spark, sf_dir)
+    lazy = parse_lazy(docs, "pages").select("doc_id", F.col("pages").alias("lazily"))
+    return lazy.join(parse(docs, "pages"), "doc_id").select("doc_id", F.size("lazily").cast("long").alias("pages"), (F.col("lazily") == F.col("pages")).alias("same"))

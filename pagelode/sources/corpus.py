@@ -245,3 +245,24 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
         return b.table(ROOT.format(1000)).bytes()
 
     return render(rows, build)
+
+
+LINE = 200
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per row of documents: its whole text in lines of two-byte codes, with a ToUnicode map of the characters."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def build(r: dict) -> bytes:
+        codes = {c: i for i, c in enumerate(sorted(set(r["text"])))}
+        lines = [r["text"][i : i + LINE] for i in range(0, len(r["text"]), LINE)]
+        shown = "\n".join("<" + "".join(f"{codes[c]:04X}" for c in line) + "> Tj" for line in lines)
+        pairs = "\n".join(f"<{i:04X}> <{c.encode('utf-16-be').hex().upper()}>" for c, i in codes.items())
+        b = Builder().add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 9 9] >>")
+        b.add(3, "<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>")
+        b.stream(4, zlib.compress(f"BT /F1 9 Tf\n{shown}\nET".encode(), 1), "/Filter /FlateDecode")
+        b.add(5, "<< /Type /Font /Subtype /Type0 /BaseFont /Any /ToUnicode 6 0 R >>").stream(6, f"{len(codes)} beginbfchar\n{pairs}\nendbfchar".encode())
+        return b.table(ROOT.format(7)).bytes()
+
+    return render(rows, build)
