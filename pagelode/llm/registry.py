@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pagelode.llm.bpe import op5_byte_bpe
-from pagelode.llm.bwt import op7_suffix_dedup
+from pagelode.llm.bwt import OP7_SQL, op7_suffix_dedup
 from pagelode.llm.fingerprints import op2_fingerprints
 from pagelode.llm.langid import op9_language_id
 from pagelode.llm.mixing import op8_mixing
 from pagelode.llm.probminhash import op1_probminhash
-from pagelode.llm.recompression import op10_recompression
+from pagelode.llm.recompression import OP10_SQL, op10_recompression
 from pagelode.llm.sharding import op3_sharding
 from pagelode.llm.topk import OP6_SQL, op6_topk
 from pagelode.llm.toxicity import op4_toxicity
@@ -34,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op6_topk": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op10_recompression": OP10_SQL}
