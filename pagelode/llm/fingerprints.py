@@ -188,12 +188,11 @@ def _jaccard(a, b) -> float:
 
 
 def _signer(registers: int):
-    hasher = MinHasher(registers)
-    return lambda texts: hasher.signatures(texts).astype(np.uint32)
+    return MinHasher(registers).signatures
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """key, class_id and n_links: classes of texts that share a signature band, Jaccard similarity verified."""
+    """key and class_id: classes of texts that share a signature band, Jaccard similarity verified."""
     from pagelode.llm.groups import classes
     from pagelode.llm.probminhash import Weights
 

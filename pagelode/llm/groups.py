@@ -2,10 +2,12 @@
 
 Equal texts are one node, named by their digest. Two nodes that share a band are
 candidates. In each bucket the smallest node is first compared with all others;
-verified links are closed to components. Buckets whose members then still lie in
-several components are compared pair by pair, except inside a component: their
-signatures in blocks first, then the texts of pairs that come near. So a class
-loses no link that the bands reveal, and a bucket of many copies costs one
+verified links are closed to components. Where a bucket's members then still lie in several
+components, each member outside the commonest one is compared with the member of
+that component whose signature is nearest, until this links nothing more. What
+is left is compared pair by pair, except inside a component: signatures in
+blocks first, then the texts of all pairs that come near. So a class loses no
+link that the bands reveal, and a bucket of many copies costs about one
 comparison for each copy.
 """
 
@@ -23,18 +25,33 @@ from pagelode.llm.shingles import utf8
 
 BLOCK = 1024
 IDS_BROADCAST = 1_000_000
+LINKS_BROADCAST = 200_000
+FEW = 8
 PAIRS_PER_SLOT = 2048
+BEST_ROUNDS = 1
+MARGIN = 0.16  # of 125 registers, five standard deviations at a similarity of 0.8
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node of its component, for each node of edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    """node and label, the smallest node of its component, for each node of edges (a, b).
+
+    Each round every node takes the smallest label of its neighbours and then its label's
+    label. Up to LINKS_BROADCAST edges the labels are broadcast and held in a few partitions;
+    beyond, the joins shuffle.
+    """
+    small = edges.count() <= LINKS_BROADCAST
+    few = (lambda df: df.coalesce(FEW)) if small else (lambda df: df)
+    near = F.broadcast if small else (lambda df: df)
+    both = cut(few(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()))
+    labels = cut(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))))
     while True:
-        best = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(best.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "m").alias("next"))
+        seen = both.join(near(labels.withColumnRenamed("node", "b")), "b").select(F.col("a").alias("node"), F.col("label").alias("next"), F.lit(None).cast("binary").alias("label"))
+        every = seen.unionByName(labels.select("node", F.col("label").alias("next"), "label"))
+        lower = every.groupBy("node").agg(F.min("next").alias("next"), F.max("label").alias("label"))
+        lower = cut(few(lower))
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("root"))
-        moved = cut(lower.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("root", "next")).alias("next")))
+        moved = lower.join(near(jump), "next", "left").select("node", "label", F.least("next", F.coalesce("root", "next")).alias("next"))
+        moved = cut(few(moved))
         changed = moved.filter("label <> next").limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
         if not changed:
@@ -78,53 +95,128 @@ def verify(pairs: DataFrame, texts: DataFrame, profile: Callable, similarity: Ca
     return rows.select("node", "a", "kind", "text").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def near_pairs(members: DataFrame, signatures: DataFrame, registers: int, least: float) -> DataFrame:
-    """Pairs of nodes in one bucket but in different components whose signatures agree in a share of least.
+def _blocks(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Each block of the members outside a bucket's commonest component (side 0) with each block of that component (side 1).
 
-    members: key, node, label. Blocks of a bucket meet in pairs; a member of the bucket's
-    commonest component is only on one side, as that component needs no pair of its own.
+    members: key, band, node, label. signatures: node, signature.
     """
     per = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    top = per.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.sum("n").alias("size"))
-    rows = members.join(top, "key").join(signatures, "node")
+    top = cut(per.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.sum("n").alias("size")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    rows = rows.select("key", "node", "label", "signature", (F.col("label") == F.col("top")).alias("on_top"), block.alias("block"), blocks.alias("blocks"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.filter("not on_top").select("key", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "node", "label", "signature")
-    right = rows.select("key", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "node", "label", "signature")
-    met = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    rows = members.join(top, "key").select("key", "node", (F.col("label") == F.col("top")).cast("int").alias("side"), block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block")).alias("j"), "side", "node")
+    return rows.join(signatures, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+
+
+def nearest_pairs(members: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b): each node outside its bucket's commonest component with the node of that
+    component whose signature agrees most, in a share of least at least."""
+    met = _blocks(members, signatures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, labels, held = None, [], [], []
-        matrix = None
+        at, nodes, held = None, [], []
+        matrix: np.ndarray | None = None
+        best: list[tuple[float, bytes | None]] = []
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["node", "other", "share"])
+
+        def close() -> list[tuple]:
+            return [(n, o, x) for n, (x, o) in zip(nodes, best, strict=False) if o is not None]
+
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
+            found: list[tuple] = []
             keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
-            sides, own, of, raw = [batch.column(i).to_pylist() for i in range(3, 7)]
-            for k, side, node, label, signature in zip(keys, sides, own, of, raw, strict=True):
+            for k, which, node, raw in zip(keys, *[batch.column(i).to_pylist() for i in range(3, 6)], strict=True):
                 if k != at:
-                    at, nodes, labels, held, matrix = k, [], [], [], None
-                if side == 0:
+                    found += close()
+                    at, nodes, held, matrix, best = k, [], [], None, []
+                signature = np.frombuffer(raw, np.uint16)
+                if which == 0:
                     nodes.append(node)
-                    labels.append(label)
-                    held.append(np.frombuffer(signature, np.uint32))
+                    held.append(signature)
                 elif nodes:
-                    if matrix is None:
-                        matrix = np.stack(held)
-                    share = (matrix == np.frombuffer(signature, np.uint32)).sum(1) / registers
-                    found += [tuple(sorted((nodes[i], node))) for i in np.flatnonzero(share >= least) if labels[i] != label]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+                    best = best or [(least, None)] * len(nodes)
+                    matrix = np.stack(held) if matrix is None else matrix
+                    share = (matrix == signature).mean(1)
+                    for i in np.flatnonzero(share >= least):
+                        if best[i][1] is None or share[i] > best[i][0]:
+                            best[i] = (share[i], node)
+            yield out(found)
+        yield out(close())
+
+    pairs = met.select("key", "i", "j", "side", "node", "signature").mapInArrow(run, "node binary, other binary, share double")
+    pairs = pairs.groupBy("node").agg(F.max_by("other", F.struct("share", "other")).alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def all_links(members: DataFrame, per_node: DataFrame, band_rows: int, least: float, profile: Callable, similarity: Callable, threshold: float) -> DataFrame:
+    """Verified links (a, b, similarity) of all pairs that share a bucket but no component and
+    whose signatures agree in a share of least. per_node: node, signature, text.
+
+    A bucket's blocks meet in pairs i <= j; in (i, i) every member is compared with those before
+    it. A pair counts in the first bucket that it shares.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    rows = members.join(cut(size), "key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.select("key", "band", "node", "label", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"), blocks.alias("blocks"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    met = rows.select("key", "band", "node", "label", "block", F.explode(meet).alias("m")).select("key", "m.i", "m.j", (F.col("block") != F.col("m.i")).cast("int").alias("side"), "band", "node", "label")
+    met = met.join(per_node, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = profile()
+        at = None
+        nodes: list[bytes] = []
+        labels: list[bytes] = []
+        texts: list[bytes] = []
+        profiles: list = []
+        matrix = np.zeros((0, 0), np.uint16)
+        for batch in batches:
+            found: list[tuple[bytes, bytes, float]] = []
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
+            columns = [batch.column(i).to_pylist() for i in range(3, 8)]
+            for k, side, band, node, label, raw, text in zip(keys, *columns, utf8(batch.column(8)), strict=True):
+                if k != at:
+                    at, nodes, labels, texts, profiles = k, [], [], [], []
+                signature = np.frombuffer(raw, np.uint16)
+                mine = None
+                if nodes and (side or k[1] == k[2]):
+                    equal = matrix[: len(nodes)] == signature
+                    near = np.flatnonzero(equal.mean(1) >= least)
+                    bands = equal[near].reshape(len(near), len(signature) // band_rows, band_rows).all(2)
+                    for i in near[bands.argmax(1) == band]:
+                        if labels[i] == label:
+                            continue
+                        if profiles[i] is None:
+                            profiles[i] = next(iter(make([texts[i]])))
+                        mine = mine or next(iter(make([text])))
+                        value = similarity(profiles[i], mine)
+                        if value >= threshold - 1e-12:
+                            found.append((min(nodes[i], node), max(nodes[i], node), value))
+                if not side:
+                    if matrix.shape[1] != len(signature) or matrix.shape[0] <= len(nodes):
+                        grown = np.zeros((max(64, 2 * len(nodes)), len(signature)), np.uint16)
+                        if nodes:
+                            grown[: len(nodes)] = matrix[: len(nodes)]
+                        matrix = grown
+                    matrix[len(nodes)] = signature
+                    nodes.append(node)
+                    labels.append(label)
+                    texts.append(text)
+                    profiles.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
 
-    return met.mapInArrow(run, "a binary, b binary")
+    return met.select("key", "i", "j", "side", "band", "node", "label", "signature", "text").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def classes(df: DataFrame, sign: Callable, profile: Callable, similarity: Callable, registers: int, band_rows: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id and n_links of every row of df.
+    """key and class_id of every row of df.
 
     class_id is the smallest key of the rows whose texts are linked, directly or through
-    others; a row without near duplicates is its own class. n_links counts the other
-    texts that verified comparisons tied directly to the row's text.
+    others; a row without near duplicates is its own class.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -133,35 +225,43 @@ def classes(df: DataFrame, sign: Callable, profile: Callable, similarity: Callab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = sign()
+        nothing = make([b""])[0].tobytes()
         for batch in batches:
-            rows = np.ascontiguousarray(make(utf8(batch.column(2))), dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "node", "signature"])
+            rows = [r.tobytes() for r in np.ascontiguousarray(make(utf8(batch.column(2))), dtype=np.uint16)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if r == nothing else r for r in rows], pa.binary())], ["id", "node", "signature"])
 
     kind = base.schema["id"].dataType.simpleString()
     signed = base.select("id", "node", "text").mapInArrow(run, f"id {kind}, node binary, signature binary")
     rows = cut(signed)
     nodes = cut(rows.groupBy("node").agg(F.first("signature").alias("signature")))
-    empty = F.unhex(F.md5(F.lit("").cast("binary")))
-    width = 4 * band_rows
+    width = 2 * band_rows
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + i * width, width)) for i in range(n_bands)])
-    banded = nodes.filter(F.col("node") != empty).select("node", F.explode(keys).alias("key"))
+    banded = nodes.filter("signature is not null").select("node", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    members = cut(banded.join(shared, "key").select("key", "node", "first"))
+    shared = cut(shared)  # joins with what is written can split a frequent key; below an aggregate they could not
+    members = cut(banded.join(shared, "key").select("key", "band", "node", "first"))
     texts = base.select("node", "text")
-    links = cut(verify(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), texts, profile, similarity, threshold))
+    pairs = members.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    links = cut(verify(pairs, texts, profile, similarity, threshold))
     labels = cut(components(links))
-    named = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    unsettled = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    left = cut(named.join(unsettled, "key", "left_semi"))
-    if left.limit(1).count():
-        more = near_pairs(left, nodes.join(left.select("node").distinct(), "node", "left_semi"), registers, threshold - 0.25)
-        tested = members.select(F.col("first").alias("a"), F.col("node").alias("b"))
-        more = cut(verify(more.distinct().join(tested, ["a", "b"], "left_anti"), texts, profile, similarity, threshold))
+    for last in (*[False] * BEST_ROUNDS, True):
+        named = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
+        unsettled = cut(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key"))
+        left = cut(named.join(unsettled, "key", "left_semi"))
+        ids = left.select("node").distinct()
+        n = ids.count()
+        if not n:
+            break
+        signatures = nodes.join(ids, "node", "left_semi")
+        if last:
+            own = texts.join(F.broadcast(ids) if n <= IDS_BROADCAST else ids, "node", "left_semi").dropDuplicates(["node"])
+            more = all_links(left, signatures.join(own, "node"), band_rows, threshold - MARGIN, profile, similarity, threshold)
+        else:
+            more = verify(nearest_pairs(left, signatures, threshold - MARGIN), texts, profile, similarity, threshold)
+        more = cut(more)
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = cut(components(links))
-    degrees = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    state = labels.join(degrees, "node", "left")
-    placed = rows.select("id", "node").join(state, "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    smallest = placed.groupBy("label").agg(F.min("id").alias("class_id"))
-    return placed.join(smallest, "label").select(F.col("id").alias(key), "class_id", F.col("n_links").cast("long").alias("n_links"))
+    placed = cut(rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label")))
+    smallest = cut(placed.groupBy("label").agg(F.min("id").alias("class_id")))
+    return placed.join(smallest, "label").select(F.col("id").alias(key), "class_id")

@@ -54,7 +54,7 @@ class Weights:
 
 
 def signer(registers: int = REGISTERS, width: int = WIDTH):
-    """Signatures of texts, 32 bits a register."""
+    """Signatures of texts, 16 bits a register."""
     weights = Weights(width)
 
     def sign(texts: list[bytes]) -> np.ndarray:
@@ -74,7 +74,7 @@ def signer(registers: int = REGISTERS, width: int = WIDTH):
             latest = earliest.reshape(len(texts), registers).max(1)
             going = time < latest[which]
             which, keys, counts, time = which[going], keys[going], counts[going], time[going]
-        return (mixed(owner) >> np.uint64(32)).astype(np.uint32).reshape(len(texts), registers)
+        return (mixed(owner) >> np.uint64(48)).astype(np.uint16).reshape(len(texts), registers)
 
     return sign
 
@@ -100,10 +100,10 @@ def probability_jaccard(a, b) -> float:
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id and n_links for every row of df."""
+    """key and class_id of every row of df."""
     return classes(df, signer, lambda: Weights().profiles, probability_jaccard, REGISTERS, BAND_ROWS, threshold, key, text)
 
 
 def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id and n_links of every document."""
+    """doc_id and class_id of every document."""
     return near_duplicate_classes(documents(spark, sf_dir))
