@@ -112,6 +112,28 @@ def test_all_links_finds_what_the_stars_miss(spark):
     assert {r["class_id"] for r in collected(probminhash.near_duplicate_classes(df))} == {0}
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_components_match_union_find(spark, monkeypatch, limit):
+    from pagelode.llm import groups
+
+    monkeypatch.setattr(groups, "LINKS_BROADCAST", limit)
+    rng = random.Random(limit)
+    edges = [(f"{rng.randint(0, 60):03d}".encode(), f"{rng.randint(0, 60):03d}".encode()) for _ in range(45)] + [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(100, 120)]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = groups.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "a binary, b binary"))
+    want = {n: root(n) for e in edges for n in e if e[0] != e[1]}
+    assert {bytes(r["node"]): bytes(r["label"]) for r in got.collect()} == want
+
+
 def test_fingerprints(docs, rows, empty, odd):
     got = {r["doc_id"]: r for r in collected(fingerprints.compare_following(docs))}
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [WORD.findall(t)] for i in range(max(1, len(w) - 4))} if WORD.findall(t) else set()
@@ -320,14 +342,12 @@ def test_anchors_hang_on_the_window_alone():
     seen = {}
     for _ in range(60):
         window = rng.integers(0, 4, 50).astype(str)
-        cores = set()
         for _ in range(4):
             words = [*rng.integers(0, 4, rng.integers(0, 30)).astype(str), *window, *rng.integers(0, 4, rng.integers(0, 30)).astype(str)]
             for _, first, n, core, *_ in scanner.pieces([" ".join(words).encode()]):
                 for f, k, c in zip(first, n, core, strict=True):
                     for s in range(f, f + k):
                         seen.setdefault(tuple(words[s : s + 50]), set()).add(int(c))
-        del cores
     assert all(len(c) == 1 for c in seen.values())
 
 
