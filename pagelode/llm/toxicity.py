@@ -262,7 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = texts.join(F.broadcast(spark.createDataFrame(kept, marked.schema)), "key").filter("text is not null").toArrow().to_pydict() if kept else {"text": [], "label": [], "key": []}
     order = sorted(range(len(got["key"])), key=lambda i: (got["key"][i], got["text"][i], got["label"][i]))
     samples, ys = [got["text"][i] for i in order], [int(got["label"][i] > 0) for i in order]
-    coded = [TOKENS.findall(t.lower()) for t in samples]
+    one: dict[str, str] = {}  # equal tokens are one string
+    coded = [[one.setdefault(f, f) for f in TOKENS.findall(t.lower())] for t in samples]
+    del one, got
     chain = Chain({f: i for i, f in enumerate(toxic_forms(coded, ys))})
     # all toxic documents and as many clean ones again, twice over, are enough for the field
     clean = [i for i, y in enumerate(ys) if not y][: 2 * sum(ys) + 100]
