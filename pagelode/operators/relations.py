@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
-from pagelode.functions import content, structure
+from pagelode.functions import content, structure, views
 from pagelode.functions.page_objects import Inspector
 from pagelode.functions.document import FULL_LIMIT, Document, parse_document
 from pagelode.functions.values import references, summary, walk
@@ -45,6 +45,7 @@ SCHEMAS = {
     "annotations": "page int, page_obj long, page_gen int, obj long, gen int, subtype string, rect string, flags string, contents string, color string, border string, appearance string, ca string, keys array<string>",
     "page_objects": "page int, seq int, id string, kind string, label string, summary string, llx double, lly double, urx double, ury double, obj long, gen int, stream_obj long, stream_gen int, start long, end long, text string, properties array<struct<name:string,value:string>>, warnings array<string>",
     "page_object_warnings": "page int, ord int, rule_id string, obj long, gen int, message string",
+    "images": "obj long, gen int, width int, height int, bits int, color_space string, jpeg boolean, renderable boolean",
     "tokens": "obj long, gen int, i int, kind string, lexeme string, start long, end long",
     "operators": "obj long, gen int, i int, name string, start long, end long, operands array<string>",
 }
@@ -150,6 +151,13 @@ def _page_object_warnings(doc: Document):
             yield p.number, i, rule, *(ref or (None, None)), message
 
 
+def _images(doc: Document):
+    for o in doc.ordered():
+        meta = views.image_metadata(o) if o.stream else None
+        if meta:
+            yield *o.ref, *[meta[k] for k in ("width", "height", "bits", "color_space", "jpeg", "renderable")]
+
+
 def _is_content(d: dict) -> bool:
     """No image and no XObject, so possibly page content."""
     return _name_of(d, "Subtype") != "Image" and _name_of(d, "Type") != "XObject"
@@ -194,6 +202,7 @@ MAKERS: dict[str, Callable] = {
     "annotations": _annotations,
     "page_objects": _page_objects,
     "page_object_warnings": _page_object_warnings,
+    "images": _images,
     "tokens": _tokens,
     "operators": _operators,
 }

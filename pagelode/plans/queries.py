@@ -341,3 +341,12 @@ def lazy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.order_pages(spark, sf_dir)
     lazy = parse_lazy(docs, "pages").select("doc_id", F.col("pages").alias("lazily"))
     return lazy.join(parse(docs, "pages"), "doc_id").select("doc_id", F.size("lazily").cast("long").alias("pages"), (F.col("lazily") == F.col("pages")).alias("same"))
+
+
+@registered("""
+SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS width, CAST(1 AS INTEGER) AS height, false AS renderable, CAST(2 AS BIGINT) AS missing_keys FROM region""")
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image streams, whether their samples can be shown, and required keys they lack."""
+    parsed = parse(corpus.nations(spark, sf_dir), "images", "streams")
+    missing = F.aggregate("streams", F.lit(0).cast("long"), lambda n, s: n + F.size(s["image_missing"]))
+    return parsed.select("doc_id", F.explode("images").alias("i"), missing.alias("missing_keys")).select("doc_id", "i.width", "i.height", "i.renderable", "missing_keys")

@@ -232,3 +232,20 @@ def test_streaming_ingestion(spark, tmp_path):
     query = write_relations(stream_pdfs(spark, str(tmp_path / "in")), lambda df: relation(parse(latest(df), "metadata"), "metadata").select("file_name", "page_count"), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert [r["page_count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_exports(spark, tmp_path):
+    from pagelode.operators.exports import export_documents, export_streams
+    from pagelode.sources.files import read_pdfs
+
+    docs = spark.createDataFrame([(1, bytearray(minimal())), (2, bytearray(defective(3)))], "doc_id long, content binary")
+    export_documents(docs, str(tmp_path / "docs"))
+    assert read_pdfs(spark, str(tmp_path / "docs")).count() == 2 and (tmp_path / "docs" / "1.pdf").read_bytes() == minimal()
+    export_streams(relation(parse(docs, "stream_bytes"), "stream_bytes"), str(tmp_path / "streams"), decoded=True)
+    assert sorted(p.name for p in (tmp_path / "streams").iterdir()) == ["1-4-0.bin", "2-4-0.bin"]
+
+
+def test_images_relation(spark):
+    b = simple(TEXT).stream(6, b"123", "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB")
+    docs = spark.createDataFrame([(1, bytearray(b.table(ROOT.format(7)).bytes()))], "doc_id long, content binary")
+    assert relation(parse(docs, "images"), "images").first()["renderable"]
