@@ -33,7 +33,6 @@ MAX_ROWS = 4_000
 MAX_CHARS = 12_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
-CACHE = 100_000
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -48,7 +47,7 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: words, and n-grams of each order."""
+    """Log frequencies by language, one row for each word and for each n-gram, the mean of a row taken off."""
 
     def __init__(self, counts: list[tuple[str, str, int]], priors: dict[str, int]):
         self.langs = sorted(priors)
@@ -62,47 +61,48 @@ class Model:
             for order in ORDERS:
                 for g in grams(word, order):
                     pieces[order].setdefault(g, zero.copy())[at[lang]] += n
-        self.words = self._logs({w: c for w, c in words.items() if c.sum() > 1})
-        self.pieces = {n: self._logs({g: c for g, c in t.items() if c.sum() > 1}) for n, t in pieces.items()}
+        self.logs = np.zeros((0, len(self.langs)))
+        self.words = self._add({w: c for w, c in words.items() if c.sum() > 1})
+        self.pieces = {n: self._add({g: c for g, c in t.items() if c.sum() > 1}) for n, t in pieces.items()}
 
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _add(self, table: dict[str, np.ndarray]) -> dict[str, int]:
+        """Rows for table's entries; where each one's row is."""
         if not table:
             return {}
         m = np.stack(list(table.values())) + SMOOTHING
-        logs = np.log(m / m.sum(0)).astype(np.float32)
-        return dict(zip(table, logs - logs.mean(1, keepdims=True), strict=True))
+        logs = np.log(m / m.sum(0))
+        start = len(self.logs)
+        self.logs = np.concatenate([self.logs, logs - logs.mean(1, keepdims=True)])
+        return {key: start + i for i, key in enumerate(table)}
 
-    def word(self, word: str) -> np.ndarray | None:
-        got = self.words.get(word)
-        if got is not None:
-            return got
+    def backoff(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the longest order that has any."""
         for order in ORDERS:
             table = self.pieces[order]
             known = [table[g] for g in grams(word, order) if g in table]
             if known:
-                return np.sum(known, axis=0) / len(known)
-        return None
+                return known
+        return []
 
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall(text.lower()) if text else []
         if not found or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        any_known = False
+        rows: list[int] = []
+        weights: list[float] = []
         for word, n in Counter(found).items():
-            if word in cache:
-                got = cache[word]
+            row = self.words.get(word)
+            if row is not None:
+                rows.append(row)
+                weights.append(n)
             else:
-                got = self.word(word)
-                if len(cache) < CACHE:
-                    cache[word] = got
-            if got is not None:
-                any_known = True
-                total += got * n
-        if not any_known:
+                known = self.backoff(word)
+                rows += known
+                weights += [n / len(known)] * len(known) if known else ()
+        if not rows:
             best = int(np.argmax(self.prior))
             return self.langs[best], float(self.prior[best] / self.prior.sum())
+        total = np.array(weights) @ self.logs[rows]
         shares = np.exp(total - total.max())
         best = int(np.argmax(shares))
         return self.langs[best], float(shares[best] / shares.sum())
@@ -131,9 +131,8 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            got = [held.value.predict(x.as_py(), cache) for x in batch.column(1)]
+            got = [held.value.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema.fieldNames())
 
     return narrow.mapInArrow(run, schema)
