@@ -66,27 +66,39 @@ def fill(template: str, columns: list[str]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def finding(df: DataFrame, rule: str, order: list[Column | int]) -> DataFrame:
-    """df's rows as findings of one rule."""
-    severity, message, step = TEXTS[rule]
+def finding(df: DataFrame, rule: str | list[str], order: list[Column | int]) -> DataFrame:
+    """df's rows as findings of one rule, or of several that df's column rule_id tells apart."""
     has = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
     ord_column = F.array(*[F.lit(o).cast("long") if isinstance(o, int) else o.cast("long") for o in order])
+    if isinstance(rule, str):
+        severity, message, step = F.lit(TEXTS[rule][0]), fill(TEXTS[rule][1], df.columns), fill(TEXTS[rule][2], df.columns)
+        name = F.lit(rule)
+    else:
+        name = F.col("rule_id")
+        pick = lambda i, make: F.coalesce(*[F.when(name == r, make(TEXTS[r][i])) for r in rule])
+        severity, message, step = pick(0, F.lit), pick(1, lambda t: fill(t, df.columns)), pick(2, lambda t: fill(t, df.columns))
     return df.select(
-        "doc_id", ord_column.alias("ord"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), fill(message, df.columns).alias("message"),
-        has("obj", "long").alias("obj"), has("gen", "int").alias("gen"), has("page", "int").alias("page"), has("byte_offset", "long").alias("byte_offset"), fill(step, df.columns).alias("suggested_next_step"),
+        "doc_id", ord_column.alias("ord"), name.alias("rule_id"), severity.alias("severity"), message.alias("message"),
+        has("obj", "long").alias("obj"), has("gen", "int").alias("gen"), has("page", "int").alias("page"), has("byte_offset", "long").alias("byte_offset"), step.alias("suggested_next_step"),
     )
 
 
 def document_rules(parsed: DataFrame) -> list[DataFrame]:
-    warnings, meta = relation(parsed, "warnings"), relation(parsed, "metadata")
-    typed = relation(parsed, "objects").filter(F.col("type").isin("ObjStm", "XRef")).groupBy("doc_id", "type").agg(F.min(F.struct("obj", "gen")).alias("at"))
-    first = typed.select("doc_id", "type", "at.obj", "at.gen")
+    warnings = relation(parsed, "warnings")
+    first = lambda kind: F.array_min(F.transform(F.filter("objects", lambda o: o["type"] == kind), lambda o: F.struct(o["obj"], o["gen"])))
+    features = parsed.filter("metadata is not null").select("doc_id", "metadata.*", first("ObjStm").alias("ObjStm"), first("XRef").alias("XRef"))
+    no_ref = F.lit(None).cast("struct<obj:bigint,gen:int>")
+    flag = lambda rule, k, test, at=no_ref: F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("k"), at.cast("struct<obj:bigint,gen:int>").alias("at")))
+    flags = F.array(
+        flag("document.encryption_detected", 0, F.col("encrypted")),
+        flag("document.incremental_updates_detected", 1, F.col("incremental_update_count") > 0),
+        flag("document.object_stream_detected", 2, F.col("ObjStm").isNotNull(), F.col("ObjStm")),
+        flag("document.xref_stream_detected", 3, F.col("XRef").isNotNull(), F.col("XRef")),
+    )
+    found = features.select("doc_id", "incremental_update_count", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("f")).select("doc_id", "incremental_update_count", "f.rule_id", "f.k", "f.at.obj", "f.at.gen")
     return [
         finding(warnings, "parse.warning", [0, F.col("ord")]),
-        finding(meta.filter("encrypted"), "document.encryption_detected", [1, 0]),
-        finding(meta.filter("incremental_update_count > 0"), "document.incremental_updates_detected", [1, 1]),
-        finding(first.filter("type = 'ObjStm'"), "document.object_stream_detected", [1, 2]),
-        finding(first.filter("type = 'XRef'"), "document.xref_stream_detected", [1, 3]),
+        finding(found, [r for r in TEXTS if r.startswith("document.")], [1, F.col("k")]),
         finding(relation(parsed, "xref").filter("in_use and valid_offset = false"), "xref.invalid_offset", [2, F.col("obj"), F.col("gen")]),
     ]
 
@@ -104,8 +116,7 @@ def stream_rules(streams: DataFrame) -> list[DataFrame]:
     key = [4, F.col("obj"), F.col("gen")]
     return [
         finding(at.filter("declared_length <> actual_length"), "stream.length_mismatch", [*key, 0, 0]),
-        finding(issues.filter("kind = 'failed'"), "stream.decode_failed", [*key, 1, F.col("k")]),
-        finding(issues.filter("kind = 'unsupported'"), "stream.unsupported_filter", [*key, 1, F.col("k")]),
+        finding(issues.withColumn("rule_id", F.when(F.col("kind") == "failed", "stream.decode_failed").otherwise("stream.unsupported_filter")), ["stream.decode_failed", "stream.unsupported_filter"], [*key, 1, F.col("k")]),
         finding(images, "image.missing_required_key", [*key, 2, F.col("k")]),
     ]
 
@@ -141,13 +152,14 @@ def content_warnings(operators: DataFrame, by: list[str]) -> DataFrame:
 
 def page_rules(parsed: DataFrame) -> list[DataFrame]:
     problems, checks, ops = relation(parsed, "tree_problems"), relation(parsed, "page_checks"), relation(parsed, "page_operators")
-    out = [finding(problems.filter(F.col("rule_id") == rule).drop("rule_id"), rule, [5, F.col("ord"), 0, 0, 0]) for rule in TEXTS if rule.startswith("page_tree.")]
+    out = [finding(problems, [rule for rule in TEXTS if rule.startswith("page_tree.")], [5, F.col("ord"), 0, 0, 0])]
     out.append(finding(checks.filter("not has_media_box"), "page.missing_mediabox", [5, F.col("ord"), 0, 0, 0]))
-    warned = content_warnings(ops, ["doc_id", "ord", "page", "obj", "gen"])
-    out += [finding(warned.filter(F.col("rule") == rule), rule, [5, F.col("ord"), 1, F.col("i") + F.when(F.col("k") > 1, 1 << 40).otherwise(0), F.col("k")]) for rule in CHECKS]
-    for rule, used, defined, k in (("page.missing_font_resource", "fonts_used", "fonts", 2), ("page.missing_xobject_resource", "xobjects_used", "xobjects", 3)):
-        lacking = checks.select("doc_id", "ord", "page", "obj", "gen", F.posexplode(F.array_except(used, defined)).alias("i", "name"))
-        out.append(finding(lacking, rule, [5, F.col("ord"), k, F.col("i"), 0]))
+    warned = content_warnings(ops, ["doc_id", "ord", "page", "obj", "gen"]).withColumnRenamed("rule", "rule_id")
+    out.append(finding(warned, list(CHECKS), [5, F.col("ord"), 1, F.col("i") + F.when(F.col("k") > 1, 1 << 40).otherwise(0), F.col("k")]))
+    lack = lambda rule, k, used, defined: F.transform(F.array_except(used, defined), lambda n, i: F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("k"), i.alias("i"), n.alias("name")))
+    both = F.concat(lack("page.missing_font_resource", 2, "fonts_used", "fonts"), lack("page.missing_xobject_resource", 3, "xobjects_used", "xobjects"))
+    lacking = checks.select("doc_id", "ord", "page", "obj", "gen", F.explode(both).alias("l")).select("doc_id", "ord", "page", "obj", "gen", "l.*")
+    out.append(finding(lacking, ["page.missing_font_resource", "page.missing_xobject_resource"], [5, F.col("ord"), F.col("k"), F.col("i"), 0]))
     return out
 
 
