@@ -278,8 +278,8 @@ SELECT c_custkey AS doc_id, '## PDF Debug Report' || chr(10) || chr(10) || 'File
   || CASE WHEN c_custkey % 8 = 6 THEN '- Add /MediaBox to the page or an ancestor /Pages node' ELSE '- No diagnostics were emitted. Keep this report with the fixture for regression tracking.' END || chr(10) AS report
 FROM customer WHERE c_custkey % 8 IN (0, 6)""")
 def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown reports of documents without findings and of those whose page lacks a box."""
-    docs = corpus.customers(spark, sf_dir).filter("doc_id % 8 in (0, 6)")
+    """Markdown reports of all documents, with and without findings."""
+    docs = corpus.customers(spark, sf_dir)
     parsed = parse(docs, *rules.PARTS).persist()
     return reports.markdown_reports(relation(parsed, "metadata"), rules.findings(docs, parsed=parsed))
 
