@@ -1,16 +1,18 @@
-"""Two-pass external shuffle into shards, in DataFrame operations only.
-
-Pass one scatters every record: a rendezvous hash of its key picks the shard
-(so one more shard takes records only into itself) and a seeded hash picks one
-of the shard's memory-sized buckets; the scattered records are written to the
-shared checkpoint folder. Pass two reads each bucket into one array, sorts it
-(so that the outcome does not hang on arrival order), applies the built-in
-Fisher-Yates `shuffle`, and numbers the records on from the buckets before it.
-
-A null key is a key like any other. A null text has no bytes. Repeated rows
-are shuffled like others and keep separate slots; their order among themselves
-can't be told apart. An empty table gives an empty result. Columns other than
-the key, the text and those asked for in `carry` are not read.
+"""Two-pass external shuffle of whole records into shards, in DataFrame operations only.
+
+Pass one scatters every record with its text: a rendezvous hash of its key
+picks the shard (so one more shard takes records only into itself) and a seeded
+hash picks one of the shard's memory-sized buckets, whose number follows from
+the bytes of the texts. Pass two reads each bucket into one array, sorts it (so
+that the outcome does not hang on arrival order), applies the built-in
+Fisher-Yates `shuffle` and writes the bucket. Sizes, checksums and slots are
+read from the written shards; slots go on from the buckets before.
+
+A null key is a key like any other. A null text stays null and has no bytes.
+Repeated rows are shuffled like others and keep separate slots; their order
+among themselves can't be told apart. An empty table gives an empty result. A
+text is never split, so the array of its bucket is at least as large. Columns
+other than the key, the text and those asked for in `carry` are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import cut, documents, shuffle_partitions
+from pagelode.llm.common import documents, shuffle_partitions, write_table
 
 SEED = 20241
 BUCKET_BYTES = 64 << 20
@@ -34,53 +36,50 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return F.greatest(*scores)["shard"] if shards > 1 else F.lit(0)
 
 
-def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, text_crc32, the carried columns, shard, slot and grown_shard (with one shard more)."""
-    spark = df.sparkSession
-    body = F.coalesce(df[text], F.lit(""))
+def shuffled_buckets(df: DataFrame, key: str, text: str, shards: int, seed: int, bucket_bytes: int, bucket_rows: int, carry: tuple[str, ...]) -> DataFrame:
+    """The written records in shuffled order: _shard, _bucket, _pos in the bucket, _key, _text and _c0, _c1 ... for carry."""
+    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1), F.lit(0)).alias("b")).first()
+    buckets = max(1, math.ceil(total["b"] / (shards * bucket_bytes)), math.ceil(total["n"] / (shards * bucket_rows)))
+    parts = max(shuffle_partitions(df.sparkSession), min(buckets * shards, 1 << 15))
     records = df.select(
         df[key].alias("_key"),
-        (F.octet_length(body) + 1).cast("long").alias("_size"),
-        F.crc32(body.cast("binary")).alias("_crc"),
+        df[text].alias("_text"),
         *[df[c].alias(f"_c{i}") for i, c in enumerate(carry)],
         rendezvous(df[key], shards, seed).cast("int").alias("_shard"),
-        rendezvous(df[key], shards + 1, seed).cast("int").alias("_grown"),
-    )
-    scattered = cut(records)
-    total = scattered.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("b")).first()
-    held = total["b"] if carry else 64 * total["n"]
-    buckets = max(1, math.ceil(held / (shards * bucket_bytes)), math.ceil(total["n"] / (shards * bucket_rows)))
-    scattered = scattered.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key", "_crc", "_size"), F.lit(buckets)))
-    offsets = scattered.groupBy("_shard", "_bucket").count().select(
-        "_shard", "_bucket", (F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_before")
+        F.pmod(F.xxhash64(F.lit(seed + 1), df[key], df[text]), F.lit(buckets)).alias("_bucket"),
     )
-    parts = max(shuffle_partitions(spark), min(buckets * shards, 1 << 15))
-    items = [c for c in scattered.columns if c not in ("_shard", "_bucket")]
+    items = [c for c in records.columns if c not in ("_shard", "_bucket")]
     shuffled = (
-        scattered.repartition(parts, "_shard", "_bucket")
+        records.repartition(parts, "_shard", "_bucket")
         .groupBy("_shard", "_bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*items))).alias("_items"))
         .sortWithinPartitions("_shard", "_bucket")
         .select("_shard", "_bucket", F.shuffle("_items", F.lit(seed + 2)).alias("_items"))
     )
-    return (
-        shuffled.join(offsets, ["_shard", "_bucket"])
-        .select("_shard", "_before", F.posexplode("_items").alias("_pos", "_item"))
-        .select(
-            F.col("_item._key").alias(key),
-            F.col("_item._size").alias("size"),
-            F.col("_item._crc").alias("text_crc32"),
-            *[F.col(f"_item._c{i}").alias(c) for i, c in enumerate(carry)],
-            F.col("_shard").alias("shard"),
-            (F.col("_before") + F.col("_pos")).cast("long").alias("slot"),
-            F.col("_item._grown").alias("grown_shard"),
-        )
+    return write_table(shuffled.select("_shard", "_bucket", F.posexplode("_items").alias("_pos", "_item")).select("_shard", "_bucket", "_pos", "_item.*"))
+
+
+def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, size, text_crc32, the carried columns, shard, slot and grown_shard (with one shard more), from the written shards."""
+    written = shuffled_buckets(df, key, text, shards, seed, bucket_bytes, bucket_rows, carry)
+    offsets = written.groupBy("_shard", "_bucket").count().select(
+        "_shard", "_bucket", (F.sum("count").over(W.partitionBy("_shard").orderBy("_bucket")) - F.col("count")).alias("_before")
+    )
+    body = F.coalesce("_text", F.lit(""))
+    return written.join(F.broadcast(offsets), ["_shard", "_bucket"]).select(
+        F.col("_key").alias(key),
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
+        F.col("_shard").alias("shard"),
+        (F.col("_before") + F.col("_pos")).cast("long").alias("slot"),
+        rendezvous(F.col("_key"), shards + 1, seed).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(df: DataFrame, path: str, **options) -> None:
-    """Write the shards as one folder each, in slot order, the buckets of a shard as its files."""
-    rows = shuffle_into_shards(df, **options)
+def write_shards(df: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = (), **options) -> None:
+    """Write the shards, texts too, as one folder each, in slot order, the buckets of a shard as its files."""
+    rows = shuffle_into_shards(df, text=text, carry=(text, *[c for c in carry if c != text]), **options)
     parts = shuffle_partitions(df.sparkSession)
     rows.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
