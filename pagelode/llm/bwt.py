@@ -1,21 +1,30 @@
 """Removal of repeated byte strings by a run-length index.
 
 Every 200-byte window is routed by its anchor, the smallest hash of its 32-byte
-grams; only windows whose anchor gram occurs again can repeat. The pieces that
-share an anchor go to one block of bounded size. A block's pieces are sorted as
-one text to their full length (a suffix array), its Burrows-Wheeler transform
-is cut into runs, and the ends of the runs are sampled: where two neighbours in
-the suffix order are preceded by different bytes, their common prefix can't be
-extended to the left, and its length is kept at both. A pass through the text
-streams the matching statistics from the samples alone: each position's match
-is the longest sampled one before it that still reaches here. Windows whose
-match is as long as themselves occur elsewhere. A piece that occurs whole more
-than once is in the index once, and all of its windows repeat.
+grams; only windows whose anchor gram occurs again can repeat. The distinct
+pieces (runs of windows) that share an anchor go to one block. A block's pieces
+are sorted as one text to their full length (a suffix array), its
+Burrows-Wheeler transform is cut into runs, and the ends of the runs are
+sampled: where two neighbours in the suffix order are preceded by different
+bytes, their common prefix can't be extended to the left, and its length is
+kept at both. A pass through the text streams the matching statistics from the
+samples alone: each position's match is the longest sampled one before it that
+still reaches here. Windows whose match is as long as themselves occur
+elsewhere. A piece that occurs whole more than once (its name is a digest of
+its bytes) is in the index once, and all of its windows repeat.
+
+Blocks are bounded: where the pieces of an anchor are together longer than a
+block, each is split by the windows' distance from the anchor, again and again
+until the parts fit. The windows of a part share the bytes that all of them
+hold, and equal windows share anchor and distance, so these bytes are the key
+of a smaller group; at the end a part is one window and a group one string.
 
 Texts are UTF-8 bytes; null is empty. Matches never cross documents. A text
 shorter than the window has nothing removed. Repeated rows are separate
-documents, so each one's windows repeat in the other. Removal can cut a
-character; the kept bytes are what they are (the pipeline drops such rests).
+documents, so each one's windows repeat in the other; a null or repeated key is
+a key like any other, as long as it can be cast to a long. Removal can cut a
+character; the kept bytes are what they are (the pipeline drops such rests). An
+empty table gives an empty result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelode.llm.common import documents, drop_table, keyed, small_batches, write_table
-from pagelode.llm.repeats import anchored, hits, merged, runs, sliding_minimum, spans_by_row, supplied
+from pagelode.llm.common import documents, drop_table, keyed, shuffle_partitions, small_batches, write_table
+from pagelode.llm.repeats import anchored, digests, hits, lists, merged, runs, sliding_minimum, spans_by_row, supplied
 from pagelode.llm.shingles import _CODE, Polynomial, utf8
 
 WINDOW = 200
 GRAM = 32
-CHUNK = 1 << 20
-BLOCK_BYTES = 2 << 20
+CHUNK = 1 << 18
+BLOCK_BYTES = 1 << 18
+TASK_BYTES = 16 << 20
+CORES_BROADCAST = 200_000
 END = 0xFF  # no byte of UTF-8
 
 
@@ -50,6 +61,15 @@ class ByteScanner:
     def prepare(text: bytes) -> bytes:
         return text
 
+    def grams(self, data: bytes) -> np.ndarray:
+        sums = self.polynomial.table(_CODE[np.frombuffer(data, dtype=np.uint8)])
+        at = np.arange(len(data) - self.gram + 1)
+        return self.polynomial.of(sums, at, at + self.gram)
+
+    def anchor(self, piece: bytes) -> int:
+        """Where the anchor of a piece's windows is in it."""
+        return int(np.argmin(self.grams(piece[: self.window]) >> np.uint64(32)))
+
     def pieces(self, texts: list[bytes]):
         """which, first, n, core, piece and anchor arrays, some texts at a time."""
         held: list[tuple[int, int, bytes]] = []
@@ -70,11 +90,9 @@ class ByteScanner:
             yield self._scan(held)
 
     def _scan(self, held: list[tuple[int, int, bytes]]):
-        raw = np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8)
-        sums = self.polynomial.table(_CODE[raw])
-        at = np.arange(len(raw) - self.gram + 1)
-        grams = self.polynomial.of(sums, at, at + self.gram)
-        keys = (grams >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+        data = b"".join(h[2] for h in held)
+        grams = self.grams(data)
+        keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
         low = (sliding_minimum(keys, self.window - self.gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         sizes = np.array([len(h[2]) for h in held])
         ends = np.cumsum(sizes)
@@ -85,7 +103,7 @@ class ByteScanner:
         anchor = low[own]
         first, n = anchored(which, anchor)
         start, p, w = own[first], anchor[first], which[first]
-        piece = self.polynomial.of(sums, start, start + n + self.window - 1)
+        piece = digests(data, start, start + n + self.window - 1)
         back = np.array([h[0] for h in held]), np.array([h[1] for h in held])
         return back[0][w], start - starts[w] + back[1][w], n, grams[p], piece, p
 
@@ -98,22 +116,22 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, n
     wide[:n] = raw
     key = (wide[:-1] << np.uint64(8)) | wide[1:]
     key = (key[:-2] << np.uint64(16)) | key[2:]
-    key = (key[:-4] << np.uint64(32)) | key[4:]
-    key = key[:n]
-    order = np.argsort(key)
-    sorted_key = key[order]
-    fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    group = np.empty(n, dtype=np.int64)
-    group[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    key = ((key[:-4] << np.uint64(32)) | key[4:])[:n]
+    del wide
+    order = np.argsort(key).astype(np.int32)
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.diff(key[order]) != 0
+    group = np.empty(n, dtype=np.int32)
+    group[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
     length = 8
     while length < depth:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
-        slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(tied).astype(np.int32)
         if not len(slots):
             break
         at = order[slots]
-        after = at + length
+        after = at.astype(np.int64) + length
         second = np.where(after < n, group[np.minimum(after, n - 1)] + 1, 0)
         pair = (group[at].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         by = np.argsort(pair)
@@ -121,7 +139,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, n
         order[slots] = at
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         fresh[slots] |= new
-        group[at] = np.maximum.accumulate(np.where(new, slots, 0))
+        group[at] = np.maximum.accumulate(np.where(new, slots, np.int32(0)))
         length *= 2
     return order, group, key
 
@@ -135,7 +153,8 @@ class RunLengthIndex:
         before = np.where(order > 0, raw[order - 1].astype(np.int16), -1)
         # first of each run but the first; what precedes a piece is no common byte
         self.ends = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == END)) + 1
-        a, b = order[self.ends - 1], order[self.ends]
+        a, b = order[self.ends - 1].astype(np.int64), order[self.ends].astype(np.int64)
+        del order, before
         common = self._common(raw, key, a, b, depth)
         long = common >= least
         self.at = np.concatenate([a[long], b[long]])
@@ -183,9 +202,14 @@ def repeated_windows(pieces: list[bytes], window: int = WINDOW) -> list[np.ndarr
     return out
 
 
-def resolve(pieces: DataFrame, blocks: int, window: int = WINDOW) -> DataFrame:
-    """core, piece, lo, hi: ranges of repeated windows of each piece (core, piece, many, bytes)."""
-    rows = pieces.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)).cast("int")).repartition(blocks, "block").sortWithinPartitions("block")
+def resolve(pieces: DataFrame, total: int, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """core, piece, lo, hi: ranges of repeated windows of each piece (core, piece, many, bytes); total: bytes of all pieces.
+
+    The pieces of a core are in one block; a task goes through several blocks, one at a time.
+    """
+    blocks = max(8, -(-total // block_bytes))
+    tasks = max(shuffle_partitions(pieces.sparkSession), -(-total // TASK_BYTES))
+    rows = pieces.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)).cast("long")).repartition(tasks, "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -212,21 +236,101 @@ def resolve(pieces: DataFrame, blocks: int, window: int = WINDOW) -> DataFrame:
     return rows.select("core", "piece", "many", "bytes", "block").mapInArrow(run, "core long, piece long, lo int, hi int")
 
 
+SPLIT = "core long, piece long, at int, group long, part long, many long, x int, lo int, hi int, bytes binary"
+
+
+def split(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Each piece (core, piece, many, x, lo, hi, bytes) cut in two by the distance of its windows
+    from the anchor at x, from lo up to hi: SPLIT, where `at` is the part's first window in the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SPLIT.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        for batch in batches:
+            out = []
+            for core, piece, many, x, lo, hi, data in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                mid = (lo + hi + 1) // 2
+                for low, high in ((lo, mid), (mid, hi)):
+                    first, last = max(0, x - high + 1), min(len(data) - window, x - low)
+                    if low < high and first <= last:
+                        part = data[first : last + window]
+                        shared = b"%d,%d,%d," % (core, low, high) + data[x - low : x - high + 1 + window]
+                        group, name = digests(shared, np.array([0]), np.array([len(shared)])), digests(part, np.array([0]), np.array([len(part)]))
+                        out.append((core, piece, first, int(group.view(np.int64)[0]), int(name.view(np.int64)[0]), many, x - first, low, high, part))
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k.split()[1]]) for c, k in zip(columns, SPLIT.split(", "), strict=True)], names)
+
+    return pieces.select("core", "piece", "many", "x", "lo", "hi", "bytes").mapInArrow(run, SPLIT)
+
+
+def resolve_split(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """resolve() for the pieces of cores that are longer than a block."""
+    gram, block_bytes = min(GRAM, window), max(block_bytes, 4 * window)
+
+    def with_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = ByteScanner(window, gram)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array([scan.anchor(x) for x in batch.column(3).to_pylist()], pa.int32())], ["core", "piece", "many", "bytes", "x"])
+
+    now = pieces.select("core", "piece", "many", "bytes").mapInArrow(with_anchor, "core long, piece long, many long, bytes binary, x int")
+    now = now.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(window - gram + 1))
+    where = None  # which part of a piece each part of a group is
+    done: list[DataFrame] = []
+    used: list[DataFrame] = []
+    while True:
+        parts = write_table(split(now, window))
+        links = parts.select(F.col("core").alias("from_core"), F.col("piece").alias("from_piece"), "at", "group", "part")
+        if where is None:
+            where = links.select(F.col("from_core").alias("core"), F.col("from_piece").alias("piece"), "at", "group", "part")
+        else:
+            link = where.join(links.withColumnRenamed("at", "more"), (where["group"] == links["from_core"]) & (where["part"] == links["from_piece"])).select("core", "piece", (where["at"] + F.col("more")).alias("at"), links["group"], links["part"])
+            where = write_table(link)
+            used.append(where)
+        bodies = parts.groupBy("group", "part").agg(F.sum("many").alias("many"), F.first("x").alias("x"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("bytes").alias("bytes"))
+        bodies = write_table(bodies.select(F.col("group").alias("core"), F.col("part").alias("piece"), "many", "x", "lo", "hi", "bytes"))
+        sizes = bodies.groupBy("core").agg(F.sum(F.length("bytes")).alias("size"))
+        large = write_table(sizes.filter(F.col("size") > block_bytes).select("core"))
+        n_large, total = large.count(), bodies.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).alias("n")).first()["n"]
+        used += [parts, bodies, large]
+        small = bodies.join(large, "core", "left_anti") if n_large else bodies
+        got = resolve(small, total, window, block_bytes).withColumnsRenamed({"core": "group", "piece": "part"})
+        done.append(write_table(where.join(got, ["group", "part"]).select("core", "piece", (F.col("at") + F.col("lo")).cast("int").alias("lo"), (F.col("at") + F.col("hi")).cast("int").alias("hi"))))
+        if not n_large:
+            break
+        now = bodies.join(large, "core", "left_semi")
+    for table in used:
+        drop_table(table)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid and spans (ranges of starts of windows that occur elsewhere) of rows (rid, doc, text)."""
     scanner = lambda: ByteScanner(window)
     found = hits(rows, scanner, F.col("n_at") > 1)
     distinct = found.groupBy("core", "piece").agg(F.count("*").alias("many"), F.min(F.struct("rid", "first", "n")).alias("at"))
     distinct = write_table(distinct.select("core", "piece", F.col("many").cast("long"), "at.rid", "at.first", "at.n"))
-    total = distinct.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(8, -(-total // block_bytes))
+    length = F.col("n") + (window - 1)
+    total = distinct.agg(F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()["b"]
+    large = write_table(distinct.groupBy("core").agg(F.sum(length).alias("b")).filter(F.col("b") > block_bytes).select("core"))
+    n_large = large.count()
 
     def take(scan: ByteScanner, text: bytes, first: int, n: int, carried: list):
         yield carried[0], text[first : first + n + window - 1]
 
     bodies = supplied(rows, distinct, scanner, take, "many long, bytes binary", ["many"])
-    resolved = write_table(resolve(bodies, blocks, window))
+    if n_large:
+        bodies = write_table(bodies)
+        known = F.broadcast(large) if n_large <= CORES_BROADCAST else large
+        resolved = write_table(resolve(bodies.join(known, "core", "left_anti"), total, window, block_bytes))
+        resolved = resolved.unionByName(resolve_split(bodies.join(known, "core", "left_semi"), window, block_bytes))
+        drop_table(bodies)
+    else:
+        resolved = write_table(resolve(bodies, total, window, block_bytes))
     drop_table(distinct)
+    drop_table(large)
     ranges = found.join(resolved, ["core", "piece"]).select("rid", (F.col("first") + F.col("lo")).alias("start"), (F.col("first") + F.col("hi")).alias("end"))
     return spans_by_row(ranges)
 
@@ -245,8 +349,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
         for batch in batches:
             data = utf8(batch.column(1))
             removed, spans, out = [], [], []
-            for raw, each in zip(data, batch.column(2).to_pylist(), strict=True):
-                gone = merged(each, window)
+            for raw, (start, end) in zip(data, lists(batch.column(2), ("start", "end")), strict=True):
+                gone = merged(start, end, window)
                 at, kept = 0, []
                 for a, b in gone:
                     kept.append(raw[at:a])

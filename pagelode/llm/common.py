@@ -29,16 +29,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, made known to its context; on one machine alone a temporary folder will do."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and go on from the files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -47,12 +53,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def write_table(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table into the shared checkpoint folder and read it back; drop_table() removes it."""
+    """Write df as a Parquet table into the checkpoint folder and read it back; drop_table() removes it."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._table_path = path

@@ -22,7 +22,6 @@ window keep all their words.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.llm.common import documents, drop_table, keyed, small_batches, write_table
-from pagelode.llm.repeats import anchored, hits, merged, sliding_minimum, spans_by_row, supplied
+from pagelode.llm.repeats import anchored, hits, lists, merged, sliding_minimum, spans_by_row, supplied
 from pagelode.llm.shingles import Polynomial, Words, mixed, utf8
 
 WINDOW = 50
 LIMITS = (2, 2, 3)  # words that a symbol may stand for after each round
 CHUNK = 1 << 17
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -178,10 +176,10 @@ def without_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, out = [], [], []
-            for raw, each in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = _WORD.findall(raw)
+            for raw, (start, end) in zip(utf8(batch.column(1)), lists(batch.column(2), ("start", "end")), strict=True):
+                words = raw.split()
                 kept, at = [], 0
-                for a, b in merged(each, window):
+                for a, b in merged(start, end, window):
                     kept += words[at:a]
                     at = b
                 kept += words[at:]

@@ -11,6 +11,7 @@ with partial aggregates, so frequent passages are counted where they are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,21 @@ from pagelode.llm.shingles import utf8
 OCCURRENCES = "core long, piece long, rid long, doc long, first int, n int"
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the MD5 of each data[start:end]."""
+    md5 = hashlib.md5
+    return np.frombuffer(b"".join([md5(data[a:b]).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), dtype=np.uint64)[::2]
+
+
+def lists(column: pa.Array, names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """For each row of an array<struct> column its fields as arrays; a null row has empty ones."""
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0), dtype=np.int64))])
+    values = column.flatten()
+    fields = [np.asarray(values.field(values.type.get_field_index(name))) for name in names]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield [f[a:b] for f in fields]
+
+
 def occurrences(rows: DataFrame, scanner: Callable) -> DataFrame:
     """All pieces of all rows (rid, doc, text): OCCURRENCES."""
     small_batches(rows.sparkSession)
@@ -54,35 +70,35 @@ def hits(rows: DataFrame, scanner: Callable, repeats: Column) -> DataFrame:
 
 
 def supplied(rows: DataFrame, pieces: DataFrame, scanner: Callable, extract: Callable, schema: str, carry: list[str]) -> DataFrame:
-    """What extract() makes of each of pieces (core, piece, rid, first, n and carry) from the text of its row.
+    """What extract() makes of each of pieces (core, piece, rid, first, n and carry, all long) from the text of its row.
 
     extract(scanner, prepared text, first, n, carried values) yields rows of schema, after core and piece.
     """
-    wanted = pieces.groupBy("rid").agg(F.collect_list(F.struct("core", "piece", "first", "n", *carry)).alias("wanted"))
+    wanted = pieces.groupBy("rid").agg(F.collect_list(F.struct("core", "piece", *[F.col(c).cast("long").alias(c) for c in ("first", "n", *carry)])).alias("wanted"))
     ids = pieces.select("rid").distinct()
     small = ids.count() <= IDS_BROADCAST
     texts = rows.select("rid", "text").join(F.broadcast(ids) if small else ids, "rid", "left_semi")
     names = ["core", "piece", *[x.strip().split()[0] for x in schema.split(",")]]
+    kinds = ["long", "long", *[x.strip().split()[1] for x in schema.split(",")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner()
         for batch in batches:
-            texts, lists = utf8(batch.column(0)), batch.column(1)
             out: list[tuple] = []
             size = 0
-            for text, each in zip(texts, lists, strict=True):
+            for text, each in zip(utf8(batch.column(0)), lists(batch.column(1), ("core", "piece", "first", "n", *carry)), strict=True):
                 prepared = scan.prepare(text)
-                for w in each.as_py():
-                    for made in extract(scan, prepared, w["first"], w["n"], [w[c] for c in carry]):
-                        out.append((w["core"], w["piece"], *made))
-                        size += 1
-                if size >= 20_000:
-                    yield _batch(out, names, kinds)
-                    out, size = [], 0
+                for at in range(0, len(each[0]), 4096):
+                    for core, piece, first, n, *carried in zip(*[f[at : at + 4096].tolist() for f in each], strict=True):
+                        for made in extract(scan, prepared, first, n, carried):
+                            out.append((core, piece, *made))
+                        size += n
+                    if size >= 1 << 19:
+                        yield _batch(out, names, kinds)
+                        out, size = [], 0
             if out:
                 yield _batch(out, names, kinds)
 
-    kinds = ["long", "long", *[x.strip().split()[1] for x in schema.split(",")]]
     return texts.join(wanted, "rid").select("text", "wanted").mapInArrow(run, f"core long, piece long, {schema}")
 
 
@@ -96,15 +112,15 @@ def spans_by_row(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def merged(spans: list[dict] | None, window: int) -> list[tuple[int, int]]:
+def merged(start: np.ndarray, end: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Maximal covered runs from ranges of window starts, ends exclusive."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"] + window - 1) for s in spans or []):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    a, b = start[order].astype(np.int64), np.maximum.accumulate(end[order].astype(np.int64) + window - 1)
+    fresh = np.concatenate([[True], a[1:] > b[:-1]])
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(a) - 1)
+    return list(zip(a[fresh].tolist(), b[last].tolist(), strict=True))
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:

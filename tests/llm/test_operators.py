@@ -296,6 +296,26 @@ def test_suffix_dedup(docs, rows, empty, odd):
     assert got == sorted((str(r["doc_id"]), *w[:2]) for r, w in zip(odd_rows, bytes_without_repeats([r["text"] for r in odd_rows], 200), strict=True))
 
 
+def test_a_frequent_anchor_is_split(spark):
+    """One passage in many texts, each in other surroundings, parts of which repeat; blocks hold few of its contexts."""
+    rng = random.Random(21)
+    line = "Licensed under the terms of the licence that stands in this very file, as is, without any warranty."
+    letters = "abcdefghij "
+    around = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    ends = [around(150) for _ in range(12)]
+    texts = [around(rng.randint(60, 260)) + line + (rng.choice(ends) if i % 3 else around(120)) + around(40) for i in range(400)] + [around(20) + line * 4, line * 3]
+    texts += [texts[5], texts[6][30:], texts[7][:-20] + "zz"]
+    want = [(w[0], w[1], w[2]) for w in bytes_without_repeats(texts, 200)]
+    df = make(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    rows = bwt.keyed(df, "doc_id", "text")
+    for size in (1, 3000, 1 << 18):
+        spans = {r["rid"]: r["spans"] for r in bwt.repeated_spans(rows, block_bytes=size).collect()}
+        for i, t in enumerate(texts):
+            own = spans.get(i, [])
+            merged = bwt.merged(np.array([s["start"] for s in own], int), np.array([s["end"] for s in own], int), 200)
+            assert (len(t), sum(b - a for a, b in merged), len(merged)) == want[i], (size, i)
+
+
 def test_long_texts_are_scanned_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(bwt, "CHUNK", 500)
     rng = random.Random(8)
