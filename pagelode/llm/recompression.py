@@ -9,14 +9,17 @@ limit, a round changes at most the symbols at the ends of a window: after the
 last round all occurrences of a window have the same symbols in its interior.
 The smallest of these is the window's anchor; the words around it that all
 windows with this anchor hold name it. Anchors that another document shares
-reveal possible repeats. These are verified: pieces of equal words carry the
-smallest document they occur in, and where pieces of an anchor differ, their
-windows are compared one by one.
+reveal possible repeats. These are verified on the words themselves, by their
+MD5 (one space between two): pieces of equal words carry the smallest document
+they occur in, and where pieces of an anchor differ, their windows are compared
+one by one. Names and anchors only bring candidates together; a clash of their
+hashes costs work, not a word.
 
 A window is removed where its words also start in a document with a smaller
 key. Null text has no words. A null key counts as greater than all others.
 Documents that repeat a key are not before one another. Texts shorter than a
-window keep all their words.
+window keep all their words. Keys have to be castable to a long. An empty table
+gives an empty result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.llm.common import documents, drop_table, keyed, small_batches, write_table
-from pagelode.llm.repeats import anchored, hits, lists, merged, sliding_minimum, spans_by_row, supplied
+from pagelode.llm.repeats import anchored, digests, hits, lists, merged, sliding_minimum, spans_by_row, supplied
 from pagelode.llm.shingles import Polynomial, Words, mixed, utf8
 
 WINDOW = 50
@@ -77,42 +80,43 @@ class WordScanner:
 
     def __init__(self, window: int = WINDOW, limits: tuple[int, ...] = LIMITS):
         self.window, self.limits = window, limits
-        self.words, self.polynomial, self.second = Words(), Polynomial(), Polynomial(np.uint64(0xC2B2AE3D27D4EB4F))
+        self.words, self.polynomial = Words(), Polynomial()
         self.edge = edge(limits)
         self.room = window - 2 * self.edge - max(limits) + 1  # positions where an anchor may start
         assert self.room > max(limits), "the window is too short for the rounds"
 
-    def prepare(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix tables of the text's words under two polynomials."""
-        hashes, _ = self.words.of([text])
-        return self.polynomial.table(hashes), self.second.table(hashes)
+    def prepare(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The text's words with one space after each, and where they start and end."""
+        for _, _, data, start, end, _ in self.words.groups([text]):
+            return data, start, end
 
-    def windows(self, prepared, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each of n windows from the first."""
-        start = np.arange(first, first + n)
-        return self.polynomial.of(prepared[0], start, start + self.window), self.second.of(prepared[1], start, start + self.window)
+    def windows(self, prepared, first: int, n: int) -> np.ndarray:
+        """The MD5 of each of n windows from the first, as two integers."""
+        data, start, end = prepared
+        a, b = start[first : first + n].tolist(), end[first + self.window - 1 : first + n + self.window - 1].tolist()
+        return np.frombuffer(b"".join([hashlib.md5(data[x:y]).digest() for x, y in zip(a, b, strict=True)]), dtype=np.int64).reshape(n, 2)
 
     def pieces(self, texts: list[bytes]):
         """which, first, n, core, piece and anchor arrays, some texts at a time."""
-        hashes, counts = self.words.of(texts)
-        ends = np.cumsum(counts)
-        held: list[tuple[int, int, np.ndarray]] = []
-        size = 0
-        for i in np.flatnonzero(counts >= self.window):
-            own = hashes[ends[i] - counts[i] : ends[i]]
-            for at in range(0, len(own) - self.window + 1, CHUNK):
-                part = own[at : at + CHUNK + self.window - 1]
-                held.append((int(i), at, part))
-                size += len(part)
-                if size >= CHUNK:
-                    yield self._scan(held)
-                    held, size = [], 0
-        if held:
-            yield self._scan(held)
-
-    def _scan(self, held: list[tuple[int, int, np.ndarray]]):
-        words = np.concatenate([h[2] for h in held])
-        sizes = np.array([len(h[2]) for h in held])
+        for which, counts, data, start, end, hashes in self.words.groups(texts):
+            ends = np.cumsum(counts)
+            held: list[tuple[int, int, int, int]] = []
+            size = 0
+            for i in np.flatnonzero(counts >= self.window):
+                lo = int(ends[i] - counts[i])
+                for at in range(0, int(counts[i]) - self.window + 1, CHUNK):
+                    hi = min(lo + at + CHUNK + self.window - 1, int(ends[i]))
+                    held.append((which[i], at, lo + at, hi))
+                    size += hi - lo - at
+                    if size >= CHUNK:
+                        yield self._scan(held, data, start, end, hashes)
+                        held, size = [], 0
+            if held:
+                yield self._scan(held, data, start, end, hashes)
+
+    def _scan(self, held: list[tuple[int, int, int, int]], data: bytes, begins: np.ndarray, stops: np.ndarray, hashes: np.ndarray):
+        words, begins, stops = (np.concatenate([x[lo:hi] for _, _, lo, hi in held]) for x in (hashes, begins, stops))
+        sizes = np.array([hi - lo for _, _, lo, hi in held])
         ends = np.cumsum(sizes)
         starts = ends - sizes
         symbols, spans = recompress(words.copy(), np.ones(len(words), dtype=np.int64), np.repeat(np.arange(len(held)), sizes), self.limits)
@@ -126,9 +130,8 @@ class WordScanner:
         anchor = low[own + self.edge]
         first, n = anchored(which, anchor)
         start, p, w = own[first], anchor[first], which[first]
-        sums = self.polynomial.table(words)
-        core = self.polynomial.of(sums, p - self.edge, p - self.edge - self.room + 1 + self.window)
-        piece = self.polynomial.of(sums, start, start + n + self.window - 1)
+        core = self.polynomial.of(self.polynomial.table(words), p - self.edge, p - self.edge - self.room + 1 + self.window)
+        piece = digests(data, begins[start], stops[start + n + self.window - 2])
         back = np.array([h[0] for h in held]), np.array([h[1] for h in held])
         return back[0][w], start - starts[w] + back[1][w], n, core, piece, p
 
@@ -145,9 +148,8 @@ def earlier_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     drop_table(mixed_cores)
 
     def take(scan: WordScanner, prepared, first: int, n: int, carried: list):
-        a, b = scan.windows(prepared, first, n)
-        for i in range(n):
-            yield i, int(a[i].view(np.int64)), int(b[i].view(np.int64)), carried[0]
+        for i, (a, b) in enumerate(scan.windows(prepared, first, n).tolist()):
+            yield i, a, b, carried[0]
 
     windows = supplied(rows, several, scanner, take, "i int, a long, b long, low long", ["low"])
     windows = write_table(windows)
@@ -174,17 +176,19 @@ def without_earlier(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     schema = T.StructType([T.StructField(key, joined.schema["key"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(last, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = WordScanner(window)
         for batch in batches:
             sizes, removed, out = [], [], []
             for raw, (start, end) in zip(utf8(batch.column(1)), lists(batch.column(2), ("start", "end")), strict=True):
-                words = raw.split()
-                kept, at = [], 0
-                for a, b in merged(start, end, window):
-                    kept += words[at:a]
+                data, begins, stops = scan.prepare(raw)
+                kept, at, gone = [], 0, 0
+                for a, b in [*merged(start, end, window), (len(begins), len(begins))]:
+                    if a > at:
+                        kept.append(data[begins[at] : stops[a - 1]])
+                    gone += b - a
                     at = b
-                kept += words[at:]
-                sizes.append(len(words))
-                removed.append(len(words) - len(kept))
+                sizes.append(len(begins))
+                removed.append(gone)
                 joined_words = b" ".join(kept)
                 out.append(hashlib.sha256(joined_words).hexdigest() if digest else joined_words.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], schema.fieldNames())

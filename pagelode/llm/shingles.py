@@ -1,12 +1,16 @@
 """Vectorised hashes of words and of runs of words.
 
 A word is a run of bytes other than space and \\t to \\r, as it stands in the
-text's UTF-8. Its hash is a polynomial over random byte codes, modulo 2**64,
-then mixed; a shingle's hash is a polynomial over its words' hashes.
+text's UTF-8. Its hash mixes its bytes one lane after the other; a shingle's
+hash is a polynomial over the few hashes of its words. Polynomials modulo 2**64
+are for short strings only: they can't tell some strings of 1,024 and more
+symbols apart.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 PIECE = 1 << 19
@@ -55,50 +59,85 @@ class Polynomial:
         return mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-class Words:
-    """Word hashes of many texts at once."""
+LANES = 32
+
 
-    def __init__(self):
-        self.polynomial = Polynomial()
+class Words:
+    """Words of many texts at once: their hashes, and the texts with one space after each word."""
 
-    def _piece(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def split(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """data with one space after each word and nothing else, where its words start and end, and where they started before."""
         raw = np.frombuffer(data, dtype=np.uint8)
-        word = ~_SPACE[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+        word = np.zeros(len(raw) + 2, bool)
+        word[1:-1] = ~_SPACE[raw]
+        edge = np.flatnonzero(word[1:] != word[:-1])
         start, end = edge[::2], edge[1::2]
-        sums = self.polynomial.table(_CODE[raw])
-        return self.polynomial.of(sums, start, end), start
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words of all texts, end to end, and the number of words of each text."""
-        hashes: list[np.ndarray] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
+        out = np.full(int((end - start).sum()) + len(start), 32, dtype=np.uint8)
+        sizes = end - start
+        to = np.cumsum(sizes + 1) - sizes - 1
+        keep = np.ones(len(out), bool)
+        keep[to + sizes] = False
+        out[keep] = raw[word[1:-1]]
+        return out.tobytes(), to, to + sizes, start
+
+    @staticmethod
+    def hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits for each word: its length and its bytes, eight at a time, each mixed into what came before.
+
+        Of words longer than LANES times eight bytes the MD5 is taken.
+        """
+        sizes = end - start
+        lanes = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+        out = mixed(sizes.astype(np.uint64) * _BASE)
+        live = np.arange(len(start))
+        for k in range(LANES):
+            live = live[sizes[live] > 8 * k] if k else live
+            if not len(live):
+                break
+            lane = lanes[start[live] + 8 * k]
+            short = np.flatnonzero(sizes[live] < 8 * k + 8)
+            lane[short] &= (np.uint64(1) << ((sizes[live[short]] - 8 * k) * 8).astype(np.uint64)) - np.uint64(1)
+            out[live] = mixed((out[live] ^ lane) * _STEP + _BASE)
+        for i in np.flatnonzero(sizes > 8 * LANES):
+            out[i] = np.frombuffer(hashlib.md5(data[start[i] : end[i]]).digest()[:8], "<u8")[0]
+        return out
+
+    def groups(self, texts: list[bytes]):
+        """For some texts at a time: which, how many words each, their words laid end to end (data, start, end) and the hashes of these."""
         held: list[int] = []
         size = 0
 
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                got, start = self._piece(b"\n".join([texts[i] for i in held]))
-                ends = np.cumsum([len(texts[i]) + 1 for i in held])
-                counts[held] = np.diff(np.searchsorted(start, ends), prepend=0)
-                hashes.append(got)
-            held, size = [], 0
+        def flush():
+            data, start, end, begins = self.split(b"\n".join([texts[i] for i in held]))
+            counts = np.diff(np.searchsorted(begins, np.cumsum([len(texts[i]) + 1 for i in held])), prepend=0)
+            return held, counts, data, start, end, self.hashes(data, start, end)
 
         for i, text in enumerate(texts):
+            if held and size + len(text) > PIECE:
+                yield flush()
+                held, size = [], 0
             if len(text) > PIECE:
-                flush()
-                for part in pieces(text):
-                    got, _ = self._piece(part)
-                    counts[i] += len(got)
-                    hashes.append(got)
+                parts = [self.split(part) for part in pieces(text)]
+                before = np.cumsum([0, *[len(p[0]) for p in parts]])
+                data = b"".join([p[0] for p in parts])
+                start, end = (np.concatenate([p[k] + at for p, at in zip(parts, before, strict=False)]) for k in (1, 2))
+                hashes = np.concatenate([self.hashes(*p[:3]) for p in parts])
+                yield [i], np.array([len(start)]), data, start, end, hashes
                 continue
-            if size + len(text) > PIECE:
-                flush()
             held.append(i)
             size += len(text) + 1
-        flush()
-        return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+        if held:
+            yield flush()
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words of all texts, end to end, and the number of words of each text."""
+        counts = np.zeros(len(texts), dtype=np.int64)
+        hashes = [np.zeros(0, np.uint64)]
+        for which, number, *_, got in self.groups(texts):
+            counts[which] = number
+            hashes.append(got)
+        return np.concatenate(hashes), counts
 
 
 def pieces(text: bytes):

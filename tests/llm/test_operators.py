@@ -356,6 +356,51 @@ def test_recompression(spark, docs, rows, empty, odd):
     assert got == dict(words_without_earlier(small, 50))
 
 
+def thue_morse(n, a="ab", b="ba"):
+    """Two strings of 2 * n letters that polynomials modulo 2**64 can't tell apart once they are long."""
+    x, y = a, b
+    while len(x) < 2 * n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomials_confuse(spark):
+    from pagelode.llm.shingles import Words
+
+    for n in (16, 128, 512, 1024):
+        x, y = thue_morse(n)
+        hashes, counts = Words().of([x.encode(), y.encode(), f" {x}\n".encode()])
+        assert counts.tolist() == [1, 1, 1] and hashes[0] == hashes[2] != hashes[1]
+        common = [f"w{i}" for i in range(60)]
+        first, second = common.copy(), common.copy()
+        first[31], second[31] = x, y
+        df = make(spark, [(1, " ".join(first), None, None), (2, " ".join(second), None, None), (3, "\t".join(first[2:]), None, None)])
+        got = {r["doc_id"]: r["n_removed"] for r in collected(recompression.without_earlier(df))}
+        assert got == {1: 0, 2: 0, 3: 58}
+    assert len({r["class_id"] for r in collected(probminhash.near_duplicate_classes(make(spark, [(1, x, None, None), (2, y, None, None)])))}) == 2
+    prints = {r["fingerprint"] for r in collected(fingerprints.fingerprint(make(spark, [(1, x, None, None), (2, y, None, None)])))}
+    assert len(prints) == 2
+
+
+def test_word_splitting_matches_a_pattern(monkeypatch):
+    from pagelode.llm import shingles
+
+    monkeypatch.setattr(shingles, "PIECE", 300)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab é\t\n\r\x0b\x0c  \x00\xa0") for _ in range(rng.choice([0, 1, 5, 40, 290, 1500]))) for _ in range(200)] + ["x" * 1000, " " * 1000, "a" * 299 + " b"]
+    words = shingles.Words()
+    seen = {}
+    for which, counts, data, start, end, hashes in words.groups([t.encode() for t in texts]):
+        ends = np.cumsum(counts)
+        for k, i in enumerate(which):
+            at = range(ends[k] - counts[k], ends[k])
+            assert [data[start[j] : end[j]].decode() for j in at] == WORD.findall(texts[i])
+            assert data[start[at[0]] : end[at[-1]]].decode() == " ".join(WORD.findall(texts[i])) if at else True
+            for j in at:
+                assert seen.setdefault(data[start[j] : end[j]], hashes[j]) == hashes[j]
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_anchors_hang_on_the_window_alone():
     rng = np.random.Generator(np.random.PCG64(6))
     scanner = recompression.WordScanner()
