@@ -204,27 +204,98 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in collected(toxicity.score_texts(docs, nothing))} == {0}
 
 
-def test_marginals_match_enumeration():
-    rng = np.random.Generator(np.random.PCG64(2))
-    chain = toxicity.Chain({"a$": 0, "b$": 1})
-    chain.weight, chain.start, chain.step = rng.normal(size=3), rng.normal(size=2), rng.normal(size=(2, 2))
-    lengths = [1, 5, 3, 9]
-    ids = rng.integers(0, 3, sum(lengths))
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum([0, *lengths[:-1]])] = True
-    got = chain.marginals(ids, first)
+def small_chain(seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    chain = toxicity.Chain()
+    for t in (chain.own, chain.left, chain.right):
+        t[:] = rng.normal(size=len(t))
+    chain.own[0] = 0
+    chain.start, chain.step = rng.normal(size=2), rng.normal(size=(2, 2))
+    return chain
+
+
+def enumerated(chain, emit):
+    """P(toxic) of each token by adding up all labellings."""
+    scores = {}
+    for labels in np.ndindex(*[2] * len(emit)):
+        s = chain.start[labels[0]] + sum(chain.step[a, b] for a, b in zip(labels, labels[1:], strict=False)) + sum(e for e, y in zip(emit, labels, strict=True) if y)
+        scores[labels] = math.exp(s)
+    return [sum(v for y, v in scores.items() if y[t]) / sum(scores.values()) for t in range(len(emit))]
+
+
+def slowly_emitted(chain, tokens):
+    """The log weights of label 1, feature by feature."""
+    slots = [toxicity.features([t])[0][0] for t in tokens]
+    out = []
+    for i, own in enumerate(slots):
+        e = sum(chain.own[s] for s in own)
+        e += chain.left[slots[i - 1][0]] if i else 0
+        e += chain.right[slots[i + 1][0]] if i + 1 < len(slots) else 0
+        out.append(e)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_marginals_match_enumeration(monkeypatch, chunk):
+    monkeypatch.setattr(toxicity, "CHUNK_TOKENS", chunk)
+    chain = small_chain(2)
+    texts = ["Vile", "you ROTTEN, rotten fool", "", None, "İ vile word", "ΣΑΣ straße_x 12", "a b c d e f g h i"] + ["filler text"] * 40 + ["über İİ foul"]
+    toxic, lengths = toxicity.ToxicityModel(chain, np.zeros(2)).marginals(texts)
+    assert lengths.tolist() == [len(toxicity.TOKENS.findall(t or "")) for t in texts]
     at = 0
-    for n in lengths:
-        own = ids[at : at + n]
-        scores = {}
-        for labels in np.ndindex(*[2] * n):
-            s = chain.start[labels[0]] + sum(chain.step[a, b] for a, b in zip(labels, labels[1:], strict=False)) + sum(chain.weight[i] for i, y in zip(own, labels, strict=True) if y)
-            scores[labels] = math.exp(s)
-        for t in range(n):
-            assert got[at + t] == pytest.approx(sum(v for y, v in scores.items() if y[t]) / sum(scores.values()))
+    for t, n in zip(texts, lengths, strict=True):
+        want = enumerated(chain, slowly_emitted(chain, toxicity.TOKENS.findall(t or ""))) if n else []
+        assert toxic[at : at + n] == pytest.approx(want)
         at += n
 
 
+def test_chain_learns_from_neighbours(monkeypatch):
+    """The same form is toxic after one word and clean after another."""
+    rng = random.Random(3)
+    texts, labels = [], []
+    for _ in range(300):
+        words, y = [], []
+        for _ in range(20):
+            kind = rng.randrange(3)
+            words += [["you", "dog"], ["the", "dog"], [rng.choice("abcdef") * 3]][kind]
+            y += [[0.0, 1.0], [0.0, 0.0], [0.0]][kind]
+        texts.append(" ".join(words))
+        labels.append(np.array(y))
+    slots, _, lengths = toxicity.features(texts)
+    chain = toxicity.Chain()
+    chain.fit(np.split(slots, np.cumsum(lengths)[:-1]), labels)
+    toxic, _ = toxicity.ToxicityModel(chain, np.zeros(2)).marginals(["abc you dog aaa the dog"])
+    assert (toxic >= 0.5).tolist() == [False, False, True, False, False, False]
+
+
+def test_toxicity_scores_and_offsets_by_hand(spark, odd, rows):
+    chain = small_chain(7)
+    chain.own[:] = -9.0
+    chain.own[0] = 0.0
+    chain.left[:], chain.right[:], chain.step[:], chain.start[:] = 0, 0, 0, 0
+    for form in ("vile", "foul"):
+        chain.own[toxicity.features([form])[0][0][0]] = 400.0
+    model = toxicity.ToxicityModel(chain, np.array([-1.0, 1.5]), (1e-3, 1e-1))
+    long = "plain " * 200_000 + "vile " * 30_000
+    given = ["İ vile word", "a FOUL vile, x foul", "", None, "none", long, "viles"]
+    got = {r["doc_id"]: r for r in collected(toxicity.score_texts(make(spark, [(i, t, None, None) for i, t in enumerate(given)]), model))}
+    assert [[(t or "")[x["start"] : x["end"]] for x in got[i]["spans"]] for i, t in enumerate(given[:5])] == [["vile"], ["FOUL vile", "foul"], [], [], []]
+    assert [(x["start"], x["end"]) for x in got[5]["spans"]] == [(1_200_000, len(long) - 1)] and got[6]["spans"] == []
+    for i, t in enumerate(given):
+        words = toxicity.TOKENS.findall(t or "")
+        bad = sum(w.lower() in ("vile", "foul") for w in words)
+        evidence = min(max(bad * math.log(100) - len(words) * (1e-1 - 1e-3), -5), 5)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(1.0 - 1.5 * evidence)), rel=1e-2)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+    pairs = collections.Counter((r["doc_id"], round(r["score"], 9)) for r in collected(toxicity.score_texts(odd, model)))
+    want = collections.Counter((r["doc_id"], round(float(model.score([r["text"]])[0][0]), 9)) for r in odd.collect())
+    assert pairs == want
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (0, None), (10**9, 1), (1, 0)], "doc_id long, toxic int")
+    fitted = toxicity.fit(odd, labels)
+    assert toxicity.score_texts(odd, fitted).count() == odd.count()
+    assert toxicity.fit(odd.filter("false"), labels).chain is None
+
+
 def test_bpe(spark, docs, rows, empty, odd):
     import regex
 
