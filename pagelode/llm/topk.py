@@ -6,15 +6,21 @@ after each, a candidate's score can still change by at most the product of
 what is left of both norms. Those that can no longer reach the k-th best are
 compacted away. Scores are integers and the survivors' are exact.
 
-Queries are packed and broadcast one superblock at a time, each of proven
-size; every superblock passes over all candidates.
+Queries and candidates are dealt into blocks, each pair of blocks is a cell, and
+a row is sent to all cells of its block: one block of queries of bounded size
+is held in a task while a block of candidates streams past, and neither passes
+through the driver. With n_q and n_c blocks the candidates are shuffled n_q and
+the queries n_c times; up to `query_bytes` of queries n_q is 1. Each cell gives
+its k best, which a window per query merges.
 
 Vectors that are null or hold null or non-finite components take no part, as
 query or candidate. A vector shorter than another counts as ended by zeros. Ties go
 to the smaller id; a query skips the candidates with its own id; repeated ids
-are separate candidates, and a repeated query id gets one answer. Components
-are expected to stay below 2**20 after scaling, which keeps float64 sums of
-products exact. Empty tables give empty results.
+are separate candidates, and a repeated query id gets one answer, for its
+smallest vector. Where products are too large for float64 to add up exactly, the
+pairs concerned are added up as whole numbers without a bound; scores beyond a
+long are cut to its ends before they are ranked. Null ids take no part. Empty
+tables give empty results. Columns other than key and vector are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import table
+from pagelode.llm.common import shuffle_partitions, small_batches, table
 
 DIMS = 8
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 64 << 20
+CANDIDATE_BYTES = 128 << 20
 CANDIDATES = 4096
+EXACT = float(1 << 53)
+LONG = (1 << 63) - 1
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -53,35 +62,49 @@ class Searcher:
     """The k best of all candidates shown so far, for each query."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.k, width = ids, k, vectors.shape[1]
+        self.ids, self.k = ids, k
+        self._blocks(vectors)
+        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
+
+    def _blocks(self, vectors: np.ndarray) -> None:
+        self.vectors, width = vectors, vectors.shape[1]
         self.blocks = [slice(i, min(i + DIMS, width)) for i in range(0, width, DIMS)]
-        self.vectors = vectors
-        self.mass = np.stack([(vectors[:, b] ** 2).sum(1) for b in self.blocks], 1) if self.blocks else np.zeros((len(ids), 0))
+        self.largest = np.abs(vectors).max(1, initial=0)
+        with np.errstate(over="ignore"):
+            self.mass = np.stack([(vectors[:, b] ** 2).sum(1) for b in self.blocks], 1) if self.blocks else np.zeros((len(self.ids), 0))
         self.order = np.argsort(-self.mass, axis=1, kind="stable")
-        self.best = [(np.empty(0, np.int64), np.empty(0)) for _ in ids]
 
     def show(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        width = self.vectors.shape[1]
-        if vectors.shape[1] < width:
-            vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
+        more = vectors.shape[1] - self.vectors.shape[1]
+        if more > 0:
+            self._blocks(np.pad(self.vectors, ((0, 0), (0, more))))
+        elif more < 0:
+            vectors = np.pad(vectors, ((0, 0), (0, -more)))
         vertical = [np.ascontiguousarray(vectors[:, b].T) for b in self.blocks]
-        mass = [(v**2).sum(0) for v in vertical]
+        with np.errstate(over="ignore"):
+            mass = [(v**2).sum(0) for v in vertical]
         total = np.sum(mass, axis=0) if mass else np.zeros(len(ids))
+        largest = np.abs(vectors).max(1, initial=0)
+        most, width = float(largest.max(initial=0)), max(vectors.shape[1], 1)
         for q in range(len(self.ids)):
-            self._query(q, ids, vertical, mass, total)
-
-    def _query(self, q: int, ids: np.ndarray, vertical: list[np.ndarray], mass: list[np.ndarray], total: np.ndarray) -> None:
+            if most < EXACT / width / max(float(self.largest[q]), 1.0):
+                self._query(q, ids, vertical, mass, total, np.flatnonzero(ids != self.ids[q]))
+            else:
+                tame = largest < EXACT / width / max(float(self.largest[q]), 1.0)
+                self._query(q, ids, vertical, mass, total, np.flatnonzero((ids != self.ids[q]) & tame))
+                self._wide(q, ids, vectors, np.flatnonzero((ids != self.ids[q]) & ~tame))
+
+    def _query(self, q: int, ids: np.ndarray, vertical: list[np.ndarray], mass: list[np.ndarray], total: np.ndarray, alive: np.ndarray) -> None:
         k = self.k
         known = self.best[q][1]
-        floor = known[k - 1] if len(known) >= k else -math.inf
-        alive = np.flatnonzero(ids != self.ids[q])
+        floor = float(known[k - 1]) if len(known) >= k else -math.inf
         score, rest = np.zeros(len(alive)), total[alive]
         left = float(self.mass[q].sum())
         for b in self.order[q]:
             score += self.vectors[q, self.blocks[b]] @ vertical[b][:, alive]
             rest = np.maximum(rest - mass[b][alive], 0)
             left = max(left - float(self.mass[q, b]), 0.0)
-            reach = np.sqrt(rest * left) * (1 + 1e-9) + 1e-6
+            reach = np.sqrt(rest * left) * (1 + 1e-9) + 1e-6 * (1 + math.sqrt(left))
             if len(score) > 4 * k:
                 low = score - reach
                 floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
@@ -89,50 +112,78 @@ class Searcher:
             if keep.sum() < 0.7 * len(keep):
                 alive, score, rest = alive[keep], score[keep], rest[keep]
         near = score >= floor
-        all_ids, all_scores = np.concatenate([self.best[q][0], ids[alive[near]]]), np.concatenate([known, score[near]])
-        first = np.lexsort((all_ids, -all_scores))[:k]
-        self.best[q] = (all_ids[first], all_scores[first])
+        self._keep(q, ids[alive[near]], score[near].astype(np.int64))
+
+    def _wide(self, q: int, ids: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> None:
+        """The same for pairs whose sums float64 can't hold, in whole numbers without a bound."""
+        query = [int(x) for x in self.vectors[q].tolist()]
+        scores = [min(max(sum(a * int(b) for a, b in zip(query, row, strict=True) if a and b), -LONG - 1), LONG) for row in vectors[which].tolist()]
+        self._keep(q, ids[which], np.array(scores, dtype=np.int64))
+
+    def _keep(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.best[q][0], ids]), np.concatenate([self.best[q][1], scores])
+        first = np.lexsort((ids, ~scores))[: self.k]  # ~ turns the order around and can't overflow
+        self.best[q] = (ids[first], scores[first])
 
 
 def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    """floor(256 * x) of each component, as a double; from 2**52 on doubles are whole."""
+    return F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) < float(1 << 44), F.floor(x.cast("double") * 256).cast("double")).otherwise(x.cast("double") * 256))
 
 
-def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, prepare=scaled, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, prepare=scaled, query_bytes: int = QUERY_BYTES, candidate_bytes: int = CANDIDATE_BYTES) -> DataFrame:
     """query_id, rank, the key and score of the k best candidates of every query row, by inner product."""
-    spark = df.sparkSession
+    small_batches(df.sparkSession)
     finite = F.forall(df[vector], lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     rows = df.filter(df[vector].isNotNull() & df[key].isNotNull() & finite)
-    narrow = rows.select(rows[key].cast("long").alias("id"), prepare(rows[vector]).alias("v"))
-    queries = rows.filter(is_query).select(rows[key].cast("long").alias("id"), prepare(rows[vector]).alias("v"))
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
-    blocks = max(1, math.ceil(size["n"] * max(size["width"], 1) * 8 / query_bytes))
-    parts = []
-    for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        held = own.toArrow()
-        ids = np.asarray(held.column("id"), dtype=np.int64)
-        ids, first = np.unique(ids, return_index=True)
-        matrix = _matrix(held.column("v"))[first] if len(ids) else np.zeros((0, 0))
-        parts.append(narrow.mapInArrow(_search(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    rows = rows.select(rows[key].cast("long").alias("id"), rows[vector].alias("raw"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    length = 8 * F.greatest(F.size("raw"), F.lit(1)).cast("long")
+    size = rows.agg(F.coalesce(F.sum(F.when(F.col("asks"), length)), F.lit(0)).alias("q"), F.coalesce(F.sum(length), F.lit(0)).alias("c")).first()
+    n_q = max(1, -(-size["q"] // query_bytes))
+    n_c = max(1, -(-shuffle_partitions(df.sparkSession) // n_q), -(-size["c"] // candidate_bytes))
+    q_block = F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")
+    c_block = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_c)).cast("int")  # so that repeated ids spread
+    both = F.array(F.struct(F.lit(0).alias("side"), q_block.alias("own")), F.struct(F.lit(1).alias("side"), c_block.alias("own")))
+    sides = rows.select("id", "raw", F.inline(F.filter(both, lambda s: F.col("asks") | (s["side"] == 1))))
+    others = F.sequence(F.lit(0), F.when(F.col("side") == 0, n_c - 1).otherwise(n_q - 1))
+    cells = sides.select("id", "raw", "side", "own", F.explode(others).alias("other"))
+    cell = F.when(F.col("side") == 0, F.col("own") * F.lit(n_c) + F.col("other")).otherwise(F.col("other") * F.lit(n_c) + F.col("own"))
+    dealt = cells.select(cell.cast("int").alias("cell"), "side", "id", "raw").repartitionById(n_q * n_c, F.col("cell")).sortWithinPartitions("cell", "side", "id", "raw")
+    found = dealt.select("side", "id", prepare(F.col("raw")).alias("v")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")
 
 
-def _search(queries, k: int):
+def _search(k: int):
+    """Each task has one cell: its queries first, then its candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = queries.value
-        searcher = Searcher(ids, vectors, k)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        searcher = None
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            width = max([m.shape[1] for _, m in held], default=0)
+            ids = np.concatenate([np.empty(0, np.int64), *[i for i, _ in held]])
+            vectors = np.concatenate([np.zeros((0, width)), *[np.pad(m, ((0, 0), (0, width - m.shape[1]))) for _, m in held]])
+            held.clear()
+            return ids, vectors
+
         for batch in batches:
-            for start in range(0, batch.num_rows, CANDIDATES):
-                part = batch.slice(start, CANDIDATES)
-                searcher.show(np.asarray(part.column(0), dtype=np.int64), _matrix(part.column(1)))
-        for start in range(0, len(ids), 1024):
-            best = searcher.best[start : start + 1024]
-            out = [np.repeat(ids[start : start + 1024], [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best]).astype(np.int64)]
+            n = int((np.asarray(batch.column(0)) == 0).sum())
+            for side, part in ((0, batch.slice(0, n)), (1, batch.slice(n))):
+                if side and part.num_rows and searcher is None:
+                    ids, vectors = together()
+                    ids, first = np.unique(ids, return_index=True)
+                    searcher = Searcher(ids, vectors[first], k)
+                if part.num_rows:
+                    held.append((np.asarray(part.column(1), dtype=np.int64), _matrix(part.column(2))))
+                if side and sum(len(i) for i, _ in held) >= CANDIDATES:
+                    searcher.show(*together())
+        if searcher and held:
+            searcher.show(*together())
+        for start in range(0, len(searcher.ids) if searcher else 0, 1024):
+            best, ids = searcher.best[start : start + 1024], searcher.ids[start : start + 1024]
+            out = [np.repeat(ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
     return run
@@ -140,7 +191,6 @@ def _search(queries, k: int):
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all other vectors for every vector whose id is divisible by 50."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATES))
     df = table(spark, sf_dir, "embeddings")
     return top_k(df, F.col("vec_id") % 50 == 0)
 
