@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,36 +103,42 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def with_following(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of df in ranges of the key, sorted downwards within a partition, and each
+    """Rows of df in ranges of the key, one range a task, sorted downwards, and each
     range's successor repeated at its end (halo = 1), so that every row can see
     the next one in descending order; after the last row comes the first.
 
-    The ranges come from approximate quantiles of the keys, one key for each
-    partition; only they and each range's largest key are gathered.
+    The ranges come from approximate quantiles of the keys, one for each
+    partition; only they and each range's largest key are gathered. A row finds its
+    range by binary search. Rows of one key are in one range, null keys in the last.
     """
     spark = df.sparkSession
     lowest = -(1 << 63)
     narrow = df.select(F.coalesce(df[key].cast("long"), F.lit(lowest)).alias("order"), df[key].alias("key"), df[text].alias("text"))
     parts = shuffle_partitions(spark)
     got = narrow.agg(F.percentile_approx("order", F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(1.0)), F.lit(10 * parts)).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(got or []))
-    bucket = lambda c: F.expr(f"cast(aggregate(array({','.join(f'{x}L' for x in cuts)}), 0, (n, x) -> n + if({c} > x, 1, 0)) as int)") if cuts else F.lit(0)
-    if lowest in cuts:
-        cuts.remove(lowest)
-    narrow = narrow.withColumn("bucket", bucket("order"))
-    tops = {r["bucket"]: r["top"] for r in narrow.groupBy("bucket").agg(F.max("order").alias("top")).collect()}
-    used = sorted(tops)
-    above = {b: (used[i + 1] if i + 1 < len(used) else used[0]) for i, b in enumerate(used)}  # whose end needs b's first row
-    if used:
-        to = F.create_map(*[F.lit(x) for b in used for x in (b, above[b])])[F.col("bucket")]
-        top = F.create_map(*[F.lit(x) for b in used for x in (b, tops[b])])[F.col("bucket")]
-    else:
-        to, top = F.lit(0), F.lit(lowest)
-    own = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("halo"))
-    extra = F.struct(to.alias("to"), F.lit(1).alias("halo"))
-    spread = narrow.select("order", "key", "text", F.explode(F.when(F.col("order") == top, F.array(own, extra)).otherwise(F.array(own))).alias("d"))
-    spread = spread.select("order", "key", "text", "d.to", "d.halo")
-    return spread.repartition(max(len(used), 1), "to").sortWithinPartitions("to", "halo", F.desc("order"), "text")
+    cuts = np.array(sorted({x for x in got or [] if x != lowest}), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(order: pd.Series) -> pd.Series:
+        return pd.Series((len(cuts) - np.searchsorted(cuts, order.to_numpy(), side="left")).astype(np.int32))
+
+    tops = np.full(len(cuts) + 1, lowest, dtype=np.int64)
+    used = []
+    for r in narrow.groupBy(bucket("order").alias("bucket")).agg(F.max("order").alias("top")).orderBy("bucket").collect():
+        tops[r["bucket"]] = r["top"]
+        used.append(r["bucket"])
+    above = np.zeros(len(cuts) + 1, dtype=np.int32)  # the range whose end needs a range's first row
+    above[used] = np.roll(used, 1)
+
+    @F.pandas_udf("array<int>")
+    def places(order: pd.Series) -> pd.Series:
+        """A row's range and, for a range's largest key, the range before."""
+        values = order.to_numpy()
+        own = len(cuts) - np.searchsorted(cuts, values, side="left")
+        return pd.Series([[b, int(above[b])] if first else [b] for b, first in zip(own.tolist(), (tops[own] == values).tolist(), strict=True)])
+
+    spread = narrow.select("order", "key", "text", F.posexplode(places("order")).alias("halo", "to"))
+    return spread.repartitionById(len(cuts) + 1, F.col("to")).sortWithinPartitions("to", "halo", F.desc("order"), "text")
 
 
 def compare_following(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

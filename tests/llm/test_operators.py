@@ -150,7 +150,36 @@ def test_fingerprints(docs, rows, empty, odd):
     assert got[0]["fingerprint"] == got[14]["fingerprint"] and len(prints) <= len({(t or "").strip() for _, t, *_ in rows})
     assert fingerprints.compare_following(empty).count() == 0
     assert fingerprints.compare_following(odd).count() == odd.count()
-    assert fingerprints.near_duplicates(docs).count() == len(rows)
+    parent = list(range(len(rows)))
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = shingles(rows[i][1] or ""), shingles(rows[j][1] or "")
+            if (rows[i][1] or "") == (rows[j][1] or "") or a and b and len(a & b) >= 0.8 * len(a | b):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert {r["doc_id"]: r["class_id"] for r in collected(fingerprints.near_duplicates(docs))} == {i: root(i) for i in range(len(rows))}
+    assert fingerprints.near_duplicates(empty).count() == 0
+
+
+def test_following_rows_at_every_boundary(spark, odd):
+    """Many ranges, ties and null keys: the successors form one cycle through all rows."""
+    df = make(spark, [(i * 7 % 1000, f"text {i}", None, None) for i in range(1000)] + [(None, "none", None, None), (5, "again", None, None), (-(1 << 63), "least", None, None)])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = collected(fingerprints.with_following(df, "doc_id", "text").select("to", "halo", "order", "text", F.spark_partition_id().alias("part")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    ranges = collections.defaultdict(list)
+    for r in got:
+        ranges[r["to"]].append(r)
+    assert len(ranges) > 30 and all(len({r["part"] for r in own}) == 1 for own in ranges.values())
+    chain = [r["text"] for to in sorted(ranges) for r in ranges[to] if not r["halo"]]
+    want = sorted([(-(i * 7 % 1000), f"text {i}") for i in range(1000)] + [(1 << 63, "none"), (-5, "again"), (1 << 63, "least")])
+    assert chain == [t for _, t in want]
+    for to, own in ranges.items():
+        at = chain.index([r["text"] for r in own if not r["halo"]][-1])
+        assert next(r["text"] for r in own if r["halo"]) == chain[(at + 1) % len(chain)]
 
 
 def test_sharding(spark, docs, rows, empty, odd):
@@ -329,12 +358,28 @@ def test_topk(spark):
         scored = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q)[:5]
         want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
     for size in (16 << 20, 400):
-        got = collected(topk.top_k(df, F.col("vec_id") % 50 == 0, query_bytes=size))
+        got = collected(topk.top_k(df, F.col("vec_id") % 50 == 0, query_bytes=size, candidate_bytes=size))
         assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
     assert topk.top_k(df.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_is_exact_for_large_components(spark):
+    """Sums beyond float64 and beyond a long, null and repeated ids, equal vectors."""
+    rng = random.Random(5)
+    vectors = [(i, [rng.choice([-1, 1]) * rng.random() * 10 ** rng.choice([0, 4, 6, 7]) for _ in range(12)]) for i in range(120)]
+    vectors += [(120, [1e300] * 12), (150, [-1e300, 3.0]), (151, [5e6 + i for i in range(12)]), (152, [5e6 + i for i in range(12)]), (152, [2.0]), (50, vectors[50][1]), (None, [1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, cell int").repartition(3)
+    whole = [(i, [int(math.floor(256 * x)) if abs(x) < 1e15 else int(256 * x) for x in v] + [0] * (12 - len(v))) for i, v in vectors if i is not None]
+    want = set()
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        own = dict(reversed(whole))[q]
+        clipped = sorted((-min(max(sum(a * b for a, b in zip(own, v, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, v in whole if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(clipped)}
+    got = collected(topk.top_k(df, F.col("vec_id") % 50 == 0, query_bytes=100, candidate_bytes=1000))
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
+
+
 def test_repeated_windows_match_counting():
     rng = random.Random(1)
     for _ in range(150):
