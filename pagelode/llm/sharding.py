@@ -10,8 +10,11 @@ read from the written shards; slots go on from the buckets before.
 
 A null key is a key like any other. A null text stays null and has no bytes.
 Repeated rows are shuffled like others and keep separate slots; their order
-among themselves can't be told apart. An empty table gives an empty result. A
-text is never split, so the array of its bucket is at least as large. Columns
+among themselves can't be told apart; exact repeats are in one bucket. An empty
+table gives an empty result. A text is never split, so the array of its bucket
+is at least as large. A bucket is alone in its task (up to MOST_TASKS of them),
+whose number seeds the shuffle: the order hangs on the records and the seed, not
+on the session's settings. Columns
 other than the key, the text and those asked for in `carry` are not read.
 """
 
@@ -23,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelode.llm.common import documents, shuffle_partitions, write_table
+from pagelode.llm.common import documents, drop_table, write_table
 
 SEED = 20241
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 1 << 13
+MOST_TASKS = 1 << 15
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -40,7 +44,8 @@ def shuffled_buckets(df: DataFrame, key: str, text: str, shards: int, seed: int,
     """The written records in shuffled order: _shard, _bucket, _pos in the bucket, _key, _text and _c0, _c1 ... for carry."""
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1), F.lit(0)).alias("b")).first()
     buckets = max(1, math.ceil(total["b"] / (shards * bucket_bytes)), math.ceil(total["n"] / (shards * bucket_rows)))
-    parts = max(shuffle_partitions(df.sparkSession), min(buckets * shards, 1 << 15))
+    parts = min(buckets * shards, MOST_TASKS)
+    place = F.col("_shard") * F.lit(buckets) + F.col("_bucket")
     records = df.select(
         df[key].alias("_key"),
         df[text].alias("_text"),
@@ -50,7 +55,7 @@ def shuffled_buckets(df: DataFrame, key: str, text: str, shards: int, seed: int,
     )
     items = [c for c in records.columns if c not in ("_shard", "_bucket")]
     shuffled = (
-        records.repartition(parts, "_shard", "_bucket")
+        records.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int"))
         .groupBy("_shard", "_bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*items))).alias("_items"))
         .sortWithinPartitions("_shard", "_bucket")
@@ -77,11 +82,14 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
-def write_shards(df: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = (), **options) -> None:
-    """Write the shards, texts too, as one folder each, in slot order, the buckets of a shard as its files."""
-    rows = shuffle_into_shards(df, text=text, carry=(text, *[c for c in carry if c != text]), **options)
-    parts = shuffle_partitions(df.sparkSession)
-    rows.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> None:
+    """Write the shards as folders shard=0, shard=1 and so on, the buckets of a shard as folders in order and
+    the records of a bucket in order: the key, the text, the carried columns and _pos, the place in the bucket."""
+    written = shuffled_buckets(df, key, text, shards, seed, bucket_bytes, bucket_rows, carry)
+    columns = [F.col("_key").alias(key), F.col("_text").alias(text), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]]
+    rows = written.select(F.col("_shard").alias("shard"), F.col("_bucket").alias("bucket"), "_pos", *columns)
+    rows.sortWithinPartitions("shard", "bucket", "_pos").write.partitionBy("shard", "bucket").parquet(path)
+    drop_table(written)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,9 @@ def test_sharding(spark, docs, rows, empty, odd):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     again = {r["doc_id"]: (r["shard"], r["slot"]) for r in collected(sharding.shuffle_into_shards(docs.repartition(5), bucket_rows=4))}
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in collected(sharding.shuffle_into_shards(docs, bucket_rows=4))}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sharding.shuffle_into_shards(empty).count() == 0
     assert sharding.shuffle_into_shards(odd).count() == odd.count()
     spread = spark.range(20000).select(sharding.rendezvous(F.col("id"), 8, 1).alias("s")).groupBy("s").count().collect()
@@ -201,9 +204,12 @@ def test_sharding(spark, docs, rows, empty, odd):
 
 
 def test_written_shards_hold_all_columns(spark, docs, rows, tmp_path):
-    sharding.write_shards(docs, str(tmp_path / "out"), carry=("text", "source"))
+    sharding.write_shards(docs, str(tmp_path / "out"), carry=("source",), bucket_rows=2)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(i, t) for i, t, *_ in rows}
+    slots = {r["doc_id"]: (r["shard"], r["slot"]) for r in collected(sharding.shuffle_into_shards(docs, bucket_rows=2))}
+    order = [r["doc_id"] for r in got.orderBy("shard", "bucket", "_pos").collect()]
+    assert order == sorted(order, key=slots.get) and len({slots[i] for i in order}) == len(order)
 
 
 def test_toxicity(spark, empty):
