@@ -93,16 +93,15 @@ def check(args) -> int:
     else:
         from pyspark.sql import SparkSession
 
-        from pagelode.operators.relations import parse, relation
         from pagelode.plans import reports, rules
 
         spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
         with open(args.file, "rb") as f:
             docs = spark.createDataFrame([(1, os.path.basename(args.file), bytearray(f.read()))], "doc_id long, path string, content binary")
-        parsed = parse(docs, *rules.PARTS).persist()
-        found, meta = rules.findings(docs, parsed=parsed).persist(), relation(parsed, "metadata")
-        text, markdown = (maker(meta, found).first()["report"] for maker in (reports.json_reports, reports.markdown_reports))
-        errors = found.filter("severity = 'error'").count()
+        rows = rules.finding_rows(docs).persist()
+        text, markdown = (maker(rows).first()["report"] for maker in (reports.json_reports, reports.markdown_reports))
+        errors = sum(f["severity"] == "error" for f in rows.first()["found"])
+        rows.unpersist()
     for path, body in ((args.json, text), (args.markdown, markdown)):
         if path:
             with open(path, "w", encoding="utf-8") as f:

@@ -141,3 +141,32 @@ def fonts_used(ops: list[Operator]) -> set[str]:
 
 def xobjects_used(ops: list[Operator]) -> set[str]:
     return {next(t.lexeme for t in reversed(op.operands) if t.kind == "name") for op in ops if op.name == "Do" and any(t.kind == "name" for t in op.operands)}
+
+
+def problems(ops: list[Operator]):
+    """(index, name, start, end, depth, rule, rank) of what is wrong with a stream's operators, in order; depth is what is open at the end."""
+    open_text, depth = False, 0
+    for i, op in enumerate(ops):
+        at = i, op.name, op.start, op.end, None
+        if not op.known:
+            yield *at, "content.unknown_operator", 0
+        if op.name == "BT":
+            if open_text:
+                yield *at, "content.nested_text_object", 1
+            open_text = True
+        elif op.name == "ET":
+            if not open_text:
+                yield *at, "content.unmatched_text_end", 1
+            open_text = False
+        elif op.name == "q":
+            depth += 1
+        elif op.name == "Q":
+            if not depth:
+                yield *at, "content.unmatched_graphics_restore", 1
+            depth = max(0, depth - 1)
+    if ops:
+        at = len(ops) - 1, ops[-1].name, ops[-1].start, ops[-1].end, depth
+        if open_text:
+            yield *at, "content.unclosed_text_object", 2
+        if depth:
+            yield *at, "content.unbalanced_graphics_state", 3

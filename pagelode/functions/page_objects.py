@@ -342,3 +342,31 @@ class Inspector:
         held = self.stream, self.context, self.state, self.stack, self.path
         self._replay(ref, decoded.data, Context(outer.fonts | own.fonts, outer.xobjects | own.xobjects, ctm, told, (*outer.inside, ref)))
         self.stream, self.context, self.state, self.stack, self.path = held
+
+
+class TextInspector(Inspector):
+    """The texts that a page's operators show, in order, without places, properties or warnings."""
+
+    def __init__(self, doc: Document, page: Page):
+        super().__init__(doc, page)
+        self.texts: list[str] = []
+        for name in ("re", "h", *"mlcvy", *"S s f F f* B B* b b* n".split(), "cm", "Tm", "Td", "TD", "T*", "Tc", "Tw", "Tz", "TL"):
+            del self.handlers[name]
+
+    def _annotations(self, d: dict) -> None:
+        pass
+
+    def _add(self, *args, **more) -> None:
+        pass
+
+    def _show(self, op) -> None:
+        used = self.context.fonts.get(self.state.font) if self.state.font else None
+        raw = fonts.glyph_bytes(op)
+        text = fonts.text_of(raw, used)[0] if raw else ""
+        if text:
+            self.texts.append(text)
+
+    def _show_line(self, op) -> None:
+        self._show(op)
+
+    _show_spaced = _show_line

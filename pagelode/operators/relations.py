@@ -9,19 +9,22 @@ error instead of failing the job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, DataType, StructType, _parse_datatype_string
 
 from pagelode.functions import content, structure, views
-from pagelode.functions.page_objects import Inspector
+from pagelode.functions.page_objects import Inspector, TextInspector, rectangle
 from pagelode.functions.document import FULL_LIMIT, Document, parse_document
 from pagelode.functions.values import references, summary, walk
 
-ROWS = 64  # documents in one Arrow batch
+ROWS = 64  # documents parsed at a time
+BYTES = 32 << 20
 
 BOX = "struct<llx:double,lly:double,urx:double,ury:double,width:double,height:double>"
 # Each relation's columns; all but metadata are arrays of these.
@@ -30,8 +33,10 @@ SCHEMAS = {
     "warnings": "ord int, byte_offset long, message string",
     "xref": "obj long, gen int, section int, byte_offset long, in_use boolean, valid_offset boolean",
     "objects": "obj long, gen int, value_type string, type string, subtype string, summary string, raw_start long, raw_end long, is_stream boolean, container long, keys array<string>",
-    "nodes": "obj long, gen int, node int, parent int, depth int, key string, idx int, path array<int>, type string, num double, str string, ref_obj long, ref_gen int, summary string",
+    "index": "obj long, gen int, type string",
+    "nodes": "obj long, gen int, container long, node int, parent int, depth int, key string, idx int, path array<int>, type string, num double, str string, ref_obj long, ref_gen int, summary string",
     "refs": "obj long, gen int, ref_obj long, ref_gen int",
+    "targets": "obj long, gen int",
     "streams": "obj long, gen int, declared_length long, actual_length long, filters array<string>, raw_start long, raw_end long, decoded_length long, steps array<struct<filter:string,status:string,message:string>>, issues array<struct<filter:string,kind:string,message:string>>, image_missing array<string>",
     "stream_bytes": "obj long, gen int, raw binary, decoded binary, clean boolean",
     "pages": f"page int, obj long, gen int, media_box {BOX}, crop_box {BOX}, bleed_box {BOX}, trim_box {BOX}, art_box {BOX}, rotation int, contents int, annotations int, fonts int, xobjects int, images int",
@@ -39,10 +44,12 @@ SCHEMAS = {
     "tree_problems": "ord int, rule_id string, obj long, gen int, page int, byte_offset long, detail string",
     "page_checks": "ord int, page int, obj long, gen int, has_media_box boolean, byte_offset long, fonts array<string>, xobjects array<string>, fonts_used array<string>, xobjects_used array<string>",
     "page_operators": "ord int, page int, obj long, gen int, i int, name string, start long, end long, operands array<string>",
+    "page_warnings": "ord int, page int, obj long, gen int, i int, name string, start long, end long, depth int, rule_id string, k int",
     "tree": "ord int, path array<int>, label string, kind string, obj long, gen int, summary string",
-    "fields": "name string, obj long, gen int, field_type string",
+    "fields": "ord int, name string, obj long, gen int, field_type string",
     "field_warnings": "ord int, message string",
-    "annotations": "page int, page_obj long, page_gen int, obj long, gen int, subtype string, rect string, flags string, contents string, color string, border string, appearance string, ca string, keys array<string>",
+    "annotations": "ord int, page int, page_obj long, page_gen int, obj long, gen int, subtype string, rect string, flags string, contents string, color string, border string, appearance string, ca string, keys array<string>, llx double, lly double, urx double, ury double",
+    "text_runs": "page int, seq int, text string",
     "page_objects": "page int, seq int, id string, kind string, label string, summary string, llx double, lly double, urx double, ury double, obj long, gen int, stream_obj long, stream_gen int, start long, end long, text string, properties array<struct<name:string,value:string>>, warnings array<string>",
     "page_object_warnings": "page int, ord int, rule_id string, obj long, gen int, message string",
     "images": "obj long, gen int, width int, height int, bits int, color_space string, jpeg boolean, renderable boolean",
@@ -64,15 +71,15 @@ def _objects(doc: Document):
 
 
 def _nodes(doc: Document):
-    roots = [(o.ref, ("Dictionary", o.stream.dictionary) if o.stream else o.value) for o in doc.ordered()]
+    roots = [(o.ref, o.container[0] if o.container else None, ("Dictionary", o.stream.dictionary) if o.stream else o.value) for o in doc.ordered()]
     if doc.trailer:
-        roots.append(((-1, 0), doc.trailer))
-    for ref, value in roots:
+        roots.append(((-1, 0), None, doc.trailer))
+    for ref, container, value in roots:
         for node, parent, depth, key, idx, path, (kind, x) in walk(value):
             num = x if kind == "Number" else float(x) if kind == "Boolean" else None
             text = x if kind in ("Name", "String", "HexString", "Raw") else None
             to = x if kind == "Reference" else (None, None)
-            yield *ref, node, parent, depth, key, idx, list(path), kind, num, text, *to, summary((kind, x))
+            yield *ref, container, node, parent, depth, key, idx, list(path), kind, num, text, *to, summary((kind, x))
 
 
 def _refs(doc: Document):
@@ -109,24 +116,42 @@ def _page_links(doc: Document):
             yield p.number, i, kind, label, *ref
 
 
+def _targets(doc: Document):
+    """What any value names, once each."""
+    named = {to for o in doc.objects.values() for to in references(("Dictionary", o.stream.dictionary) if o.stream else o.value)}
+    yield from sorted(named | set(references(doc.trailer) if doc.trailer else ()))
+
+
+def _checked(doc: Document) -> list:
+    """The page tree as the rules see it, each page with its operators; made once a document."""
+    made = doc.__dict__.get("_checked")
+    if made is None:
+        made = doc.__dict__["_checked"] = [(i, p, structure.page_operators(p.data) if isinstance(p, structure.PageContent) and p.data else []) for i, p in enumerate(structure.check_pages(doc))]
+    return made
+
+
 def _tree_problems(doc: Document):
-    for i, p in enumerate(structure.check_pages(doc)):
+    for i, p, _ in _checked(doc):
         if isinstance(p, structure.Problem):
             yield i, p.rule, *(p.ref or (None, None)), p.page, p.offset, p.detail
 
 
 def _page_checks(doc: Document):
-    for i, p in enumerate(structure.check_pages(doc)):
+    for i, p, ops in _checked(doc):
         if isinstance(p, structure.PageContent):
-            ops = structure.page_operators(p.data) if p.data else []
             yield i, p.page, *p.ref, p.has_media_box, p.offset, p.fonts, p.xobjects, sorted(content.fonts_used(ops)), sorted(content.xobjects_used(ops))
 
 
 def _page_operators(doc: Document):
-    for i, p in enumerate(structure.check_pages(doc)):
-        if isinstance(p, structure.PageContent) and p.data:
-            for j, op in enumerate(structure.page_operators(p.data)):
-                yield i, p.page, *p.ref, j, op.name, op.start, op.end, [t.lexeme for t in op.operands]
+    for i, p, ops in _checked(doc):
+        for j, op in enumerate(ops):
+            yield i, p.page, *p.ref, j, op.name, op.start, op.end, [t.lexeme for t in op.operands]
+
+
+def _page_warnings(doc: Document):
+    for i, p, ops in _checked(doc):
+        for found in content.problems(ops):
+            yield i, p.page, *p.ref, *found
 
 
 def _tree(doc: Document):
@@ -135,8 +160,15 @@ def _tree(doc: Document):
 
 
 def _annotations(doc: Document):
-    for a in structure.annotations(doc, structure.pages(doc))[0]:
-        yield a["page"], *a["page_ref"], *a["ref"], *[a[k] for k in ("subtype", "rect", "flags", "contents", "color", "border", "appearance", "ca", "keys")]
+    for i, a in enumerate(structure.annotations(doc, structure.pages(doc))[0]):
+        box = rectangle((doc.dictionary(("Reference", a["ref"])) or {}).get("Rect")) or [None] * 4
+        yield i, a["page"], *a["page_ref"], *a["ref"], *[a[k] for k in ("subtype", "rect", "flags", "contents", "color", "border", "appearance", "ca", "keys")], *box
+
+
+def _text_runs(doc: Document):
+    for p in structure.pages(doc):
+        for i, text in enumerate(TextInspector(doc, p).run().texts):
+            yield p.number, i + 1, text
 
 
 def _page_objects(doc: Document):
@@ -188,7 +220,9 @@ MAKERS: dict[str, Callable] = {
     "xref": lambda d: ((*e.ref, e.section, e.offset, e.in_use, e.valid) for e in d.xref),
     "objects": _objects,
     "nodes": _nodes,
+    "index": lambda d: ((*o.ref, _name_of(o.dictionary, "Type")) for o in d.ordered()),
     "refs": _refs,
+    "targets": _targets,
     "streams": _streams,
     "stream_bytes": _stream_bytes,
     "pages": _pages,
@@ -196,10 +230,12 @@ MAKERS: dict[str, Callable] = {
     "tree_problems": _tree_problems,
     "page_checks": _page_checks,
     "page_operators": _page_operators,
+    "page_warnings": _page_warnings,
     "tree": _tree,
-    "fields": lambda d: ((n, *r, t) for n, r, t in structure.form_fields(d)[0]),
+    "fields": lambda d: ((i, n, *r, t) for i, (n, r, t) in enumerate(structure.form_fields(d)[0])),
     "field_warnings": lambda d: enumerate(structure.form_fields(d)[1]),
     "annotations": _annotations,
+    "text_runs": _text_runs,
     "page_objects": _page_objects,
     "page_object_warnings": _page_object_warnings,
     "images": _images,
@@ -212,55 +248,72 @@ def _struct(part: str) -> StructType:
     return _parse_datatype_string(SCHEMAS[part])
 
 
-def _typed(value, kind):
-    """Tuples of value as dictionaries where kind has a struct."""
-    if value is None:
-        return None
+def column(values: list, kind: DataType, arrow: pa.DataType) -> pa.Array:
+    """values, in which tuples stand for structs, as an Arrow array."""
     if isinstance(kind, StructType):
-        return {f.name: _typed(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+        rows = [(None,) * len(kind) if v is None else tuple(v) for v in values]
+        children = [column([r[i] for r in rows], f.dataType, arrow.field(i).type) for i, f in enumerate(kind.fields)]
+        return pa.StructArray.from_arrays(children, fields=list(arrow), mask=pa.array([v is None for v in values], pa.bool_()))
     if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StructType, ArrayType)):
-        return [_typed(v, kind.elementType) for v in value]
-    return value
+        lengths = [0 if v is None else len(v) for v in values]
+        offsets = [0, *accumulate(lengths)]
+        flat = column([x for v in values if v is not None for x in v], kind.elementType, arrow.value_type)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=arrow, mask=pa.array([v is None for v in values], pa.bool_()))
+    return pa.array([list(v.items()) if isinstance(v, dict) else v for v in values], arrow)
+
+
+def batches_of(batch: pa.RecordBatch, content: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in parts of at most `rows` rows and, more than one row in it, `size` bytes of its column `content`."""
+    lengths = [x or 0 for x in pc.binary_length(batch.column(content)).to_pylist()]
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def parse(docs: DataFrame, *parts: str, gui: bool = False) -> DataFrame:
-    """doc_id, error and a column for each of parts, from docs (doc_id, content and, if there, path).
+    """doc_id, error and a column for each of parts, from docs (doc_id, content and, if there, path and length).
 
     gui picks the reading mode that skips table entries whose offsets fail instead of
-    scanning the file. Contents over the full-parse limit get an error, as do failures.
+    scanning the file. Contents that are null or over the full-parse limit get an error, as do failures.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     name = F.col("path") if "path" in docs.columns else F.col("doc_id").cast("string")
-    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "page_objects", "page_object_warnings", "tokens", "operators", "tree_problems"} & set(parts))
+    length = F.col("length").cast("long") if "length" in docs.columns else F.length("content").cast("long")
+    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "page_warnings", "text_runs", "page_objects", "page_object_warnings", "tokens", "operators", "tree_problems"} & set(parts))
     schema = StructType().add("doc_id", kind).add("error", "string")
     for part in parts:
         schema.add(part, _struct(part) if part == "metadata" else ArrayType(_struct(part)))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     arrow = to_arrow_schema(schema)
 
-    def one(doc_id, path, data: bytes | None) -> dict:
-        row: dict = {"doc_id": doc_id, "error": None} | dict.fromkeys(parts)
+    def one(path, size: int | None, data: bytes | None) -> list:
         try:
-            if len(data or b"") > FULL_LIMIT:
-                raise ValueError(f"file is {len(data)} bytes, over the full parse limit of {FULL_LIMIT}")
-            doc = parse_document(data or b"", skip_invalid=gui, keep_streams=needs_bytes)
+            if data is None or len(data) > FULL_LIMIT:
+                raise ValueError("file has no content" if size is None else f"file is {size} bytes, over the full parse limit of {FULL_LIMIT}")
+            doc = parse_document(data, skip_invalid=gui, keep_streams=needs_bytes)
+            made = []
             for part in parts:
                 if part == "metadata":
-                    row[part] = doc.metadata(path)
+                    own = doc.metadata(path)
+                    made.append(tuple(own[f.name] for f in schema[part].dataType.fields))
                 else:
-                    row[part] = [_typed(r, schema[part].dataType.elementType) for r in MAKERS[part](doc)]
+                    made.append(list(MAKERS[part](doc)))
+            return [None, *made]
         except Exception as e:  # one bad file must not end the job
-            row = {"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"} | dict.fromkeys(parts)
-        return row
+            return [f"{type(e).__name__}: {e}", *[None] * len(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, paths, data = (batch.column(i) for i in range(3))
-            rows = [one(ids[i].as_py(), paths[i].as_py(), data[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        for whole in batches:
+            for batch in batches_of(whole, 3):
+                rows = [one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) for i in range(batch.num_rows)]
+                columns = [column([r[k] for r in rows], f.dataType, arrow.field(k + 1).type) for k, f in enumerate(schema.fields[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
 
-    return docs.select("doc_id", name.alias("path"), "content").mapInArrow(run, schema)
+    return docs.select("doc_id", name.alias("path"), length.alias("length"), "content").mapInArrow(run, schema)
 
 
 def relation(parsed: DataFrame, part: str) -> DataFrame:

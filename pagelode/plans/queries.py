@@ -49,7 +49,7 @@ SELECT c_custkey AS doc_id, count(*) FILTER (severity = 'error') AS errors, coun
 FROM customer JOIN rule ON c_custkey % 8 = kind GROUP BY ALL""")
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by severity and the exit code of each document that has findings."""
-    return rules.summarize(rules.findings(corpus.customers(spark, sf_dir)))
+    return rules.summarize(rules.finding_rows(corpus.customers(spark, sf_dir)))
 
 
 @registered("""
@@ -64,8 +64,7 @@ def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""
 SELECT DISTINCT l_partkey AS doc_id, 100 + l_suppkey AS obj, CAST(0 AS INTEGER) AS gen FROM lineitem WHERE (100 + l_suppkey) % 3 <> 0""")
 def missing_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse(corpus.linked(spark, sf_dir), "refs", "objects").persist()
-    return rules.missing_references(relation(parsed, "refs"), relation(parsed, "objects"))
+    return rules.missing_references(corpus.linked(spark, sf_dir))
 
 
 @registered("SELECT l_orderkey AS doc_id, count(*) AS pages, count(*) AS page_count FROM lineitem GROUP BY 1")
@@ -109,11 +108,11 @@ def incremental_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT p_partkey AS doc_id, p_name AS name, p_brand AS brand, CAST(p_size AS DOUBLE) AS size, CAST(6 AS BIGINT) AS container FROM part")
 def object_stream_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects inside object streams, behind whatever filters."""
-    parsed = parse(corpus.object_streams(spark, sf_dir), "nodes", "objects").persist()
-    members = relation(parsed, "objects").filter("container is not null").select("doc_id", "obj", "gen", "container")
-    nodes = relation(parsed, "nodes").filter("depth = 1").join(members, ["doc_id", "obj", "gen"])
-    value = lambda key, column: F.max(F.when(F.col("key") == key, F.col(column)))
-    return nodes.groupBy("doc_id").agg(value("Name", "str").alias("name"), value("Brand", "str").alias("brand"), value("Size", "num").alias("size"), F.max("container").alias("container"))
+    parsed = parse(corpus.object_streams(spark, sf_dir), "nodes")
+    own = F.filter("nodes", lambda n: (n["depth"] == 1) & n["container"].isNotNull())
+    value = lambda key, column: F.get(F.filter("own", lambda n: n["key"] == key), 0)[column]
+    members = parsed.select("doc_id", own.alias("own")).filter(F.size("own") > 0)
+    return members.select("doc_id", value("Name", "str").alias("name"), value("Brand", "str").alias("brand"), value("Size", "num").alias("size"), F.array_max("own.container").alias("container"))
 
 
 @registered("""
@@ -157,8 +156,8 @@ w AS (
 SELECT doc_id, rule_id, count(*) AS n FROM w GROUP BY ALL""")
 def content_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is wrong with content streams, by rule."""
-    ops = relation(parse(corpus.event_content(spark, sf_dir), "page_operators"), "page_operators")
-    return rules.content_warnings(ops, ["doc_id", "page"]).groupBy("doc_id", F.col("rule").alias("rule_id")).agg(F.count("*").alias("n"))
+    warned = relation(parse(corpus.event_content(spark, sf_dir), "page_warnings"), "page_warnings")
+    return warned.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
 @registered("""
@@ -218,13 +217,10 @@ def annotation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, x, y, arg_min(obj, (q * 2 * q, obj)) AS obj, min(q * 2 * q)::DOUBLE AS area FROM a JOIN p USING (doc_id) WHERE x BETWEEN n AND n + q AND y BETWEEN n AND n + 2 * q GROUP BY ALL""")
 def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For a point on each document's page the smallest annotation rectangle that holds it."""
-    nodes = relation(parse(corpus.annotated(spark, sf_dir), "nodes"), "nodes")
-    rects = nodes.filter((F.size("path") == 2) & (F.col("type") == "Number") & F.col("obj").between(10, 1 << 40))
-    boxes = rects.groupBy("doc_id", "obj").pivot("idx", [0, 1, 2, 3]).agg(F.first("num"))
-    boxes = boxes.select("doc_id", F.lit(1).alias("page"), F.col("obj").alias("seq"), F.col("0").alias("llx"), F.col("1").alias("lly"), F.col("2").alias("urx"), F.col("3").alias("ury"))
     s = corpus.table(spark, sf_dir, "supplier")
     points = s.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("s_suppkey") % 30).cast("double").alias("x"), (F.col("s_suppkey") % 40).cast("double").alias("y"))
-    return search.hit_test(boxes, points).select("doc_id", "x", "y", F.col("seq").alias("obj"), F.round("area", 6).alias("area"))
+    found = search.hit_test_annotations(parse(corpus.annotated(spark, sf_dir), "annotations"), points)
+    return found.select("doc_id", "x", "y", "obj", F.round("area", 6).alias("area"))
 
 
 @registered("SELECT s_suppkey AS doc_id, CAST(30 + i AS BIGINT) AS obj, '/Type /Extra' AS summary FROM supplier, range(5) t(i) WHERE i < s_suppkey % 5")
@@ -249,13 +245,12 @@ def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_tree(tree, "extra ORPHANED").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT s_suppkey AS doc_id, CAST(30 + i AS BIGINT) AS obj, 'Name,N,Type' AS keys, s_name AS name, CAST(s_nationkey AS DOUBLE) AS n FROM supplier, range(5) t(i) WHERE i < s_suppkey % 5")
+@registered("SELECT s_suppkey AS doc_id, CAST(30 + i AS BIGINT) AS obj, 'N,Name,Type' AS keys, s_name AS name, CAST(s_nationkey AS DOUBLE) AS n FROM supplier, range(5) t(i) WHERE i < s_suppkey % 5")
 def object_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shredded dictionaries put together again by key."""
     nodes = relation(parse(corpus.suppliers(spark, sf_dir), "nodes"), "nodes").filter("obj >= 30 and depth = 1")
     value = lambda key, column: F.max(F.when(F.col("key") == key, F.col(column)))
-    keys = F.array_join(F.array_sort(F.collect_list("key"), lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).otherwise(0)), ",")
-    return nodes.groupBy("doc_id", "obj").agg(F.replace(keys, F.lit("N,Name"), F.lit("Name,N")).alias("keys"), value("Name", "str").alias("name"), value("N", "num").alias("n"))
+    return nodes.groupBy("doc_id", "obj").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"), value("Name", "str").alias("name"), value("N", "num").alias("n"))
 
 
 @registered("SELECT s_suppkey AS doc_id, CAST(5 + s_suppkey % 5 AS INTEGER) AS n_objects, CAST(s_suppkey AS DOUBLE) AS count, '/Edited' AS marked FROM supplier")
@@ -270,39 +265,46 @@ def edit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_objects").join(read, "doc_id")
 
 
-@registered("""
+# What the report of a document with each defect says after its head.
+REPORTED = """
+WITH reported(kind, title, lines, steps) AS (VALUES
+  (0, NULL, [], ['- No diagnostics were emitted. Keep this report with the fixture for regression tracking.']),
+  (1, 'Errors', ['- Object `99 0 R`: Referenced object 99 0 R was not found among parsed indirect objects'], ['- Check whether 99 0 R is absent, hidden in an object stream, or omitted from the xref table']),
+  (2, 'Errors', ['- Object `5 0 R`: Xref entry for object 5 0 R points to byte 330, but that offset does not contain the expected object header Byte offset `330`.', '- Object `5 0 R`: Referenced object 5 0 R was not found among parsed indirect objects'], ['- Dump object 5 0 R and compare the xref offset against the raw file bytes', '- Check whether 5 0 R is absent, hidden in an object stream, or omitted from the xref table']),
+  (3, 'Errors', ['- Object `6 0 R`: Stream 6 0 R filter /FlateDecode could not be decoded: Error -3 while decompressing data: incorrect header check Byte offset `446`.'], ['- Dump stream 6 0 R and verify the /Filter chain and encoded bytes']),
+  (4, 'Warnings', ['- Page `1`: Object `3 0 R`: Page 1 content stream: Unknown or unsupported content stream operator `ZZ` at content byte range 21..23'], ['- Check whether the content stream contains a typo, unsupported extension, or corrupted operator bytes']),
+  (5, 'Warnings', ['- Object `6 0 R`: Stream 6 0 R declares /Length 80, but 5 byte(s) were found before endstream Byte offset `426`.'], ['- Regenerate or inspect stream 6 0 R and verify the writer''s /Length calculation']),
+  (6, 'Warnings', ['- Page `1`: Object `3 0 R`: Page 1 (3 0 R) has no /MediaBox and does not inherit one Byte offset `123`.'], ['- Add /MediaBox to the page or an ancestor /Pages node']),
+  (7, 'Warnings', ['- Page `1`: Object `3 0 R`: Page 1 content stream: Content stream ended with 1 unmatched q graphics state save operator(s)'], ['- Add matching Q operators or inspect whether the content stream was truncated']))
+"""
+
+
+@registered(REPORTED + """
 SELECT c_custkey AS doc_id, '## PDF Debug Report' || chr(10) || chr(10) || 'File: `' || c_custkey || '`' || chr(10) || 'PDF version: 1.4' || chr(10) || 'Pages: 1' || chr(10) || 'Encrypted: no' || chr(10) || 'Linearized: no' || chr(10)
-  || 'Incremental updates: 0' || chr(10) || 'Objects: 5' || chr(10) || 'Streams: 1' || chr(10) || chr(10)
-  || CASE WHEN c_custkey % 8 = 6 THEN '### Warnings' || chr(10) || chr(10) || '- Page `1`: Object `3 0 R`: Page 1 (3 0 R) has no /MediaBox and does not inherit one Byte offset `123`.' || chr(10) || chr(10) ELSE '' END
-  || '### Suggested Next Steps' || chr(10) || chr(10)
-  || CASE WHEN c_custkey % 8 = 6 THEN '- Add /MediaBox to the page or an ancestor /Pages node' ELSE '- No diagnostics were emitted. Keep this report with the fixture for regression tracking.' END || chr(10) AS report
-FROM customer WHERE c_custkey % 8 IN (0, 6)""")
+  || 'Incremental updates: 0' || chr(10) || 'Objects: ' || (5 + CAST(kind IN (3, 5) AS INTEGER) - CAST(kind = 2 AS INTEGER)) || chr(10) || 'Streams: ' || (1 + CAST(kind IN (3, 5) AS INTEGER)) || chr(10) || chr(10)
+  || coalesce('### ' || title || chr(10) || chr(10) || array_to_string(lines, chr(10)) || chr(10) || chr(10), '')
+  || '### Suggested Next Steps' || chr(10) || chr(10) || array_to_string(steps, chr(10)) || chr(10) AS report
+FROM customer JOIN reported ON c_custkey % 8 = kind""")
 def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown reports of all documents, with and without findings."""
-    docs = corpus.customers(spark, sf_dir)
-    parsed = parse(docs, *rules.PARTS).persist()
-    return reports.markdown_reports(relation(parsed, "metadata"), rules.findings(docs, parsed=parsed))
+    return reports.markdown_reports(rules.finding_rows(corpus.customers(spark, sf_dir)))
 
 
 @registered(DEFECTS + """
 SELECT c_custkey AS doc_id, '0.1.0' AS schema_version, count(*) FILTER (severity = 'error') AS errors, count(kind) AS findings, min(rule_id) AS first_rule FROM customer LEFT JOIN rule ON c_custkey % 8 = kind GROUP BY 1""")
 def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON reports, read back."""
-    docs = corpus.customers(spark, sf_dir)
-    parsed = parse(docs, *rules.PARTS).persist()
-    texts = reports.json_reports(relation(parsed, "metadata"), rules.findings(docs, parsed=parsed))
+    texts = reports.json_reports(rules.finding_rows(corpus.customers(spark, sf_dir)))
     shape = "schema_version string, diagnostics struct<errors:long>, findings array<struct<rule_id:string>>"
     back = texts.select("doc_id", F.from_json("report", shape).alias("r"))
     return back.select("doc_id", "r.schema_version", "r.diagnostics.errors", F.size("r.findings").cast("long").alias("findings"), F.array_min("r.findings.rule_id").alias("first_rule"))
 
 
-@registered("SELECT doc_id, md5(text) AS text_md5, CAST(ceil(length(text) / 200.0) AS BIGINT) AS runs FROM documents")
+@registered("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CAST(ceil(length(coalesce(text, '')) / 200.0) AS BIGINT) AS runs FROM documents")
 def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole text of each document, put together again from the runs its page shows."""
-    shown = relation(parse(corpus.texts(spark, sf_dir), "page_objects"), "page_objects").filter("kind = 'text'")
-    runs = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    rows = shown.groupBy("doc_id").agg(runs.alias("runs"))
-    return rows.select("doc_id", F.md5(F.array_join("runs.text", "").cast("binary")).alias("text_md5"), F.size("runs").cast("long").alias("runs"))
+    """The whole text of each document, put together again from the runs its page shows; a null text has none."""
+    parsed = parse(corpus.texts(spark, sf_dir), "text_runs")
+    return parsed.select("doc_id", F.md5(F.array_join("text_runs.text", "").cast("binary")).alias("text_md5"), F.size("text_runs").cast("long").alias("runs"))
 
 
 @registered("""

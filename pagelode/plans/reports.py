@@ -1,4 +1,4 @@
-"""Reports of findings as JSON and Markdown, one text per document."""
+"""Reports of findings as JSON and Markdown, one text per document, made inside its row."""
 
 from __future__ import annotations
 
@@ -9,22 +9,16 @@ SCHEMA_VERSION = "0.1.0"
 NEXT_STEPS = 8
 
 
-def _grouped(metadata: DataFrame, found: DataFrame) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("ord", "rule_id", "severity", "message", "obj", "gen", "page", "byte_offset", "suggested_next_step")))
-    return metadata.join(found.groupBy("doc_id").agg(rows.alias("found")), "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<ord:array<bigint>,rule_id:string,severity:string,message:string,obj:bigint,gen:int,page:int,byte_offset:bigint,suggested_next_step:string>>")))
-
-
 def _count(severity: str):
     return F.size(F.filter("found", lambda f: f["severity"] == severity))
 
 
-def json_reports(metadata: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and report, a pretty JSON text."""
-    file = F.struct(*[F.col(c) for c in metadata.columns if c != "doc_id"])
+def json_reports(rows: DataFrame) -> DataFrame:
+    """doc_id and report, a pretty JSON text, of rules.finding_rows(); documents that can't be parsed have none."""
     finding = lambda f: F.struct(f["rule_id"].alias("rule_id"), f["severity"].alias("severity"), f["message"].alias("message"), F.when(f["obj"].isNotNull(), F.struct(f["obj"].alias("object"), f["gen"].alias("generation"))).alias("object"), f["page"].alias("page"), f["byte_offset"].alias("byte_offset"), f["suggested_next_step"].alias("suggested_next_step"))
     counts = F.struct(_count("error").alias("errors"), _count("warning").alias("warnings"), _count("info").alias("info"))
-    whole = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), file.alias("file"), counts.alias("diagnostics"), F.transform("found", finding).alias("findings"))
-    return _grouped(metadata, found).select("doc_id", F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))
+    whole = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("metadata").alias("file"), counts.alias("diagnostics"), F.transform("found", finding).alias("findings"))
+    return rows.filter("metadata is not null").select("doc_id", F.to_json(whole, {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))
 
 
 # The lines of a Markdown report.
@@ -41,14 +35,13 @@ HEAD = (
 NO_FINDINGS = "No diagnostics were emitted. Keep this report with the fixture for regression tracking."
 
 
-def markdown_reports(metadata: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id and report, a Markdown text: the file, the findings by severity, the first next steps."""
-    kinds = dict(metadata.dtypes)
+def markdown_reports(rows: DataFrame) -> DataFrame:
+    """doc_id and report, a Markdown text, of rules.finding_rows(): the file, the findings by severity, the first next steps."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["metadata"].dataType.fields}
 
     def shown(name: str):
-        if kinds[name] == "boolean":
-            return F.when(F.col(name), "yes").otherwise("no")
-        return F.coalesce(F.col(name).cast("string"), F.lit("unknown"))
+        value = F.col(f"metadata.{name}")
+        return F.when(value, "yes").otherwise("no") if kinds[name] == "boolean" else F.coalesce(value.cast("string"), F.lit("unknown"))
 
     head = F.concat(F.lit("## PDF Debug Report\n\n"), *[F.concat(F.lit(a), shown(name), F.lit(b + "\n")) for a, name, b in HEAD], F.lit("\n"))
 
@@ -65,4 +58,4 @@ def markdown_reports(metadata: DataFrame, found: DataFrame) -> DataFrame:
     steps = F.transform(F.slice("found", 1, NEXT_STEPS), lambda f: F.concat(F.lit("- "), f["suggested_next_step"], F.lit("\n")))
     tail = F.concat(F.lit("### Suggested Next Steps\n\n"), F.when(F.size(steps) > 0, F.array_join(steps, "")).otherwise(F.lit(f"- {NO_FINDINGS}\n")))
     text = F.concat(head, section("Errors", "error"), section("Warnings", "warning"), section("Info", "info"), tail)
-    return _grouped(metadata, found).select("doc_id", text.alias("report"))
+    return rows.filter("metadata is not null").select("doc_id", text.alias("report"))

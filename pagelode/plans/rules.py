@@ -1,22 +1,21 @@
-"""Diagnostics: one DataFrame per group of rules over the relations, united in a fixed order.
+"""Diagnostics: each rule is an expression over the array columns that parse() gives a document.
 
-All findings have COLUMNS; ord sorts those of a document. Rows of a relation never
-leave their document, so all windows and joins are keyed by doc_id first.
+The findings of a document are put together inside its row and exploded once at
+the end, so no rule needs a shuffle. All findings have COLUMNS; ord sorts those of
+a document.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelode.functions.content import CHECKS, OPERATORS
-from pagelode.operators.relations import parse, relation
+from pagelode.operators.relations import parse
 
 COLUMNS = ["doc_id", "ord", "rule_id", "severity", "message", "obj", "gen", "page", "byte_offset", "suggested_next_step"]
-PARTS = ("metadata", "warnings", "xref", "objects", "refs", "streams", "tree_problems", "page_checks", "page_operators")
+PARTS = ("metadata", "warnings", "xref", "index", "targets", "streams", "tree_problems", "page_checks", "page_warnings")
 
 # Severity, message and next step of each rule; {} are columns.
 TEXTS = {
@@ -48,12 +47,11 @@ TEXTS = {
 TEXTS |= {rule: ("warning", "Page {page} content stream: " + message, step) for rule, (message, step) in CHECKS.items()}
 
 
-def ref_text() -> Column:
-    return F.concat_ws(" ", F.col("obj"), F.col("gen"), F.lit("R"))
+FINDING = "struct<ord:array<bigint>,rule_id:string,severity:string,message:string,obj:bigint,gen:int,page:int,byte_offset:bigint,suggested_next_step:string>"
 
 
-def fill(template: str, columns: list[str]) -> Column:
-    """template with each {name} replaced by the column of that name; {ref} is obj and gen."""
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """template with each {name} replaced by the value of that name; {ref} is obj and gen."""
     parts: list[Column] = []
     rest = template
     while rest:
@@ -62,62 +60,73 @@ def fill(template: str, columns: list[str]) -> Column:
             parts.append(F.lit(text))
         if rest:
             name, _, rest = rest.partition("}")
-            parts.append(ref_text() if name == "ref" else F.coalesce(F.col(name).cast("string"), F.lit("")) if name in columns else F.lit("{" + name + "}"))
+            ref = name == "ref" and F.concat_ws(" ", values["obj"], values["gen"], F.lit("R"))
+            parts.append(ref if name == "ref" else F.coalesce(values[name].cast("string"), F.lit("")) if name in values else F.lit("{" + name + "}"))
     return F.concat(*parts) if parts else F.lit("")
 
 
-def finding(df: DataFrame, rule: str | list[str], order: list[Column | int]) -> DataFrame:
-    """df's rows as findings of one rule, or of several that df's column rule_id tells apart."""
-    has = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
-    ord_column = F.array(*[F.lit(o).cast("long") if isinstance(o, int) else o.cast("long") for o in order])
+def finding(values: dict[str, Column], rule: str | list[str], order: list[Column | int]) -> Column:
+    """A FINDING of one rule, or of that of several which the value rule_id names."""
+    has = lambda c, kind: values[c].cast(kind) if c in values else F.lit(None).cast(kind)
     if isinstance(rule, str):
-        severity, message, step = F.lit(TEXTS[rule][0]), fill(TEXTS[rule][1], df.columns), fill(TEXTS[rule][2], df.columns)
-        name = F.lit(rule)
+        name, (severity, message, step) = F.lit(rule), TEXTS[rule]
+        texts = F.lit(severity), fill(message, values), fill(step, values)
     else:
-        name = F.col("rule_id")
+        name = values["rule_id"]
         pick = lambda i, make: F.coalesce(*[F.when(name == r, make(TEXTS[r][i])) for r in rule])
-        severity, message, step = pick(0, F.lit), pick(1, lambda t: fill(t, df.columns)), pick(2, lambda t: fill(t, df.columns))
-    return df.select(
-        "doc_id", ord_column.alias("ord"), name.alias("rule_id"), severity.alias("severity"), message.alias("message"),
-        has("obj", "long").alias("obj"), has("gen", "int").alias("gen"), has("page", "int").alias("page"), has("byte_offset", "long").alias("byte_offset"), step.alias("suggested_next_step"),
+        texts = pick(0, F.lit), pick(1, lambda t: fill(t, values)), pick(2, lambda t: fill(t, values))
+    return F.struct(
+        F.array(*[F.lit(o).cast("long") if isinstance(o, int) else o.cast("long") for o in order]).alias("ord"), name.alias("rule_id"), texts[0].alias("severity"), texts[1].alias("message"),
+        has("obj", "long").alias("obj"), has("gen", "int").alias("gen"), has("page", "int").alias("page"), has("byte_offset", "long").alias("byte_offset"), texts[2].alias("suggested_next_step"),
     )
 
 
-def document_rules(parsed: DataFrame) -> list[DataFrame]:
-    warnings = relation(parsed, "warnings")
-    first = lambda kind: F.array_min(F.transform(F.filter("objects", lambda o: o["type"] == kind), lambda o: F.struct(o["obj"], o["gen"])))
-    features = parsed.filter("metadata is not null").select("doc_id", "metadata.*", first("ObjStm").alias("ObjStm"), first("XRef").alias("XRef"))
-    no_ref = F.lit(None).cast("struct<obj:bigint,gen:int>")
-    flag = lambda rule, k, test, at=no_ref: F.when(test, F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("k"), at.cast("struct<obj:bigint,gen:int>").alias("at")))
+def fields(x: Column, *names: str, **more: Column) -> dict[str, Column]:
+    return {n: x[n] for n in names} | more
+
+
+def document_rules() -> list[Column]:
+    first = lambda kind: F.array_min(F.transform(F.filter("index", lambda o: o["type"] == kind), lambda o: F.struct(o["obj"].alias("obj"), o["gen"].alias("gen"))))
+    meta, objstm, xref = F.col("metadata"), first("ObjStm"), first("XRef")
     flags = F.array(
-        flag("document.encryption_detected", 0, F.col("encrypted")),
-        flag("document.incremental_updates_detected", 1, F.col("incremental_update_count") > 0),
-        flag("document.object_stream_detected", 2, F.col("ObjStm").isNotNull(), F.col("ObjStm")),
-        flag("document.xref_stream_detected", 3, F.col("XRef").isNotNull(), F.col("XRef")),
+        F.when(meta["encrypted"], finding({}, "document.encryption_detected", [1, 0])),
+        F.when(meta["incremental_update_count"] > 0, finding(fields(meta, "incremental_update_count"), "document.incremental_updates_detected", [1, 1])),
+        F.when(objstm.isNotNull(), finding(fields(objstm, "obj", "gen"), "document.object_stream_detected", [1, 2])),
+        F.when(xref.isNotNull(), finding(fields(xref, "obj", "gen"), "document.xref_stream_detected", [1, 3])),
     )
-    found = features.select("doc_id", "incremental_update_count", F.explode(F.filter(flags, lambda f: f.isNotNull())).alias("f")).select("doc_id", "incremental_update_count", "f.rule_id", "f.k", "f.at.obj", "f.at.gen")
+    bad = F.filter("xref", lambda e: e["in_use"] & ~F.coalesce(e["valid_offset"], F.lit(True)))
     return [
-        finding(warnings, "parse.warning", [0, F.col("ord")]),
-        finding(found, [r for r in TEXTS if r.startswith("document.")], [1, F.col("k")]),
-        finding(relation(parsed, "xref").filter("in_use and valid_offset = false"), "xref.invalid_offset", [2, F.col("obj"), F.col("gen")]),
+        F.transform("warnings", lambda w: finding(fields(w, "message", "byte_offset"), "parse.warning", [0, w["ord"]])),
+        F.filter(flags, lambda f: f.isNotNull()),
+        F.transform(bad, lambda e: finding(fields(e, "obj", "gen", "byte_offset"), "xref.invalid_offset", [2, e["obj"], e["gen"]])),
     ]
 
 
-def missing_references(refs: DataFrame, objects: DataFrame) -> DataFrame:
+def missing_targets() -> Column:
+    """Targets that some value names and no object has, as structs of obj and gen.
+
+    Both sides are texts, so that the set difference hashes them: it stays linear in a document's references.
+    """
+    text = lambda x: F.concat_ws(" ", x["obj"], x["gen"])
+    left = F.array_except(F.transform("targets", text), F.transform("index", text))
+    return F.transform(left, lambda t: F.struct(F.substring_index(t, " ", 1).cast("long").alias("obj"), F.substring_index(t, " ", -1).cast("int").alias("gen")))
+
+
+def missing_references(docs: DataFrame) -> DataFrame:
     """doc_id, obj, gen of every target that some value names and no object has."""
-    targets = refs.select("doc_id", F.col("ref_obj").alias("obj"), F.col("ref_gen").alias("gen")).distinct()
-    return targets.join(objects.select("doc_id", "obj", "gen"), ["doc_id", "obj", "gen"], "left_anti")
+    return parse(docs, "targets", "index").select("doc_id", F.inline(missing_targets()))
 
 
-def stream_rules(streams: DataFrame) -> list[DataFrame]:
-    at = streams.withColumn("byte_offset", F.col("raw_start"))
-    issues = at.select("*", F.posexplode("issues").alias("k", "x")).select("*", F.col("x.filter").alias("filter"), F.col("x.message").alias("issue"), F.col("x.kind").alias("kind"))
-    images = at.select("*", F.posexplode("image_missing").alias("k", "missing"))
-    key = [4, F.col("obj"), F.col("gen")]
+def stream_rules() -> list[Column]:
+    at = lambda s: fields(s, "obj", "gen", "declared_length", "actual_length", byte_offset=s["raw_start"])
+    key = lambda s: [4, s["obj"], s["gen"]]
+    both = ["stream.decode_failed", "stream.unsupported_filter"]
+    issue = lambda s: lambda x, k: finding(at(s) | fields(x, "filter", issue=x["message"], rule_id=F.when(x["kind"] == "failed", both[0]).otherwise(both[1])), both, [*key(s), 1, k])
+    lacking = lambda s: lambda name, k: finding(at(s) | {"missing": name}, "image.missing_required_key", [*key(s), 2, k])
     return [
-        finding(at.filter("declared_length <> actual_length"), "stream.length_mismatch", [*key, 0, 0]),
-        finding(issues.withColumn("rule_id", F.when(F.col("kind") == "failed", "stream.decode_failed").otherwise("stream.unsupported_filter")), ["stream.decode_failed", "stream.unsupported_filter"], [*key, 1, F.col("k")]),
-        finding(images, "image.missing_required_key", [*key, 2, F.col("k")]),
+        F.transform(F.filter("streams", lambda s: s["declared_length"] != s["actual_length"]), lambda s: finding(at(s), "stream.length_mismatch", [*key(s), 0, 0])),
+        F.flatten(F.transform("streams", lambda s: F.transform(s["issues"], issue(s)))),
+        F.flatten(F.transform("streams", lambda s: F.transform(s["image_missing"], lacking(s)))),
     ]
 
 
@@ -150,28 +159,38 @@ def content_warnings(operators: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "i", "name", "start", "end", depth.alias("depth"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(*by, "i", "name", "start", "end", "depth", "f.rule", "f.k")
 
 
-def page_rules(parsed: DataFrame) -> list[DataFrame]:
-    problems, checks, ops = relation(parsed, "tree_problems"), relation(parsed, "page_checks"), relation(parsed, "page_operators")
-    out = [finding(problems, [rule for rule in TEXTS if rule.startswith("page_tree.")], [5, F.col("ord"), 0, 0, 0])]
-    out.append(finding(checks.filter("not has_media_box"), "page.missing_mediabox", [5, F.col("ord"), 0, 0, 0]))
-    warned = content_warnings(ops, ["doc_id", "ord", "page", "obj", "gen"]).withColumnRenamed("rule", "rule_id")
-    out.append(finding(warned, list(CHECKS), [5, F.col("ord"), 1, F.col("i") + F.when(F.col("k") > 1, 1 << 40).otherwise(0), F.col("k")]))
-    lack = lambda rule, k, used, defined: F.transform(F.array_except(used, defined), lambda n, i: F.struct(F.lit(rule).alias("rule_id"), F.lit(k).alias("k"), i.alias("i"), n.alias("name")))
-    both = F.concat(lack("page.missing_font_resource", 2, "fonts_used", "fonts"), lack("page.missing_xobject_resource", 3, "xobjects_used", "xobjects"))
-    lacking = checks.select("doc_id", "ord", "page", "obj", "gen", F.explode(both).alias("l")).select("doc_id", "ord", "page", "obj", "gen", "l.*")
-    out.append(finding(lacking, ["page.missing_font_resource", "page.missing_xobject_resource"], [5, F.col("ord"), F.col("k"), F.col("i"), 0]))
-    return out
+def page_rules() -> list[Column]:
+    tree = [rule for rule in TEXTS if rule.startswith("page_tree.")]
+    place = ("page", "obj", "gen")
+    lack = lambda p, rule, k, used, defined: F.transform(F.array_except(p[used], p[defined]), lambda n, i: finding(fields(p, *place, name=n), rule, [5, p["ord"], k, i, 0]))
+    warned = lambda w: finding(fields(w, *place, "rule_id", "name", "start", "end", "depth"), list(CHECKS), [5, w["ord"], 1, w["i"] + F.when(w["k"] > 1, 1 << 40).otherwise(0), w["k"]])
+    return [
+        F.transform("tree_problems", lambda p: finding(fields(p, *place, "byte_offset", "detail", "rule_id"), tree, [5, p["ord"], 0, 0, 0])),
+        F.transform(F.filter("page_checks", lambda p: ~p["has_media_box"]), lambda p: finding(fields(p, *place, "byte_offset"), "page.missing_mediabox", [5, p["ord"], 0, 0, 0])),
+        F.transform("page_warnings", warned),
+        F.flatten(F.transform("page_checks", lambda p: F.concat(lack(p, "page.missing_font_resource", 2, "fonts_used", "fonts"), lack(p, "page.missing_xobject_resource", 3, "xobjects_used", "xobjects")))),
+    ]
+
+
+def finding_rows(docs: DataFrame, gui: bool = False) -> DataFrame:
+    """doc_id, metadata and found, all FINDINGs of the document in order: one row per document, no shuffle.
+
+    A document that can't be parsed has no metadata and no findings.
+    """
+    missing = F.transform(missing_targets(), lambda t: finding(fields(t, "obj", "gen"), "object.missing_reference", [3, t["obj"], t["gen"]]))
+    groups = [*document_rules(), missing, *stream_rules(), *page_rules()]
+    found = F.concat(*[g.cast(f"array<{FINDING}>") for g in groups])
+    empty = F.array().cast(f"array<{FINDING}>")
+    return parse(docs, *PARTS, gui=gui).select("doc_id", "metadata", F.coalesce(F.array_sort(found), empty).alias("found"))
 
 
-def findings(docs: DataFrame, gui: bool = False, parsed: DataFrame | None = None) -> DataFrame:
+def findings(docs: DataFrame, gui: bool = False) -> DataFrame:
     """All findings of all rules: COLUMNS."""
-    parsed = parsed if parsed is not None else parse(docs, *PARTS, gui=gui).persist()
-    missing = missing_references(relation(parsed, "refs"), relation(parsed, "objects"))
-    groups = [*document_rules(parsed), finding(missing, "object.missing_reference", [3, F.col("obj"), F.col("gen")]), *stream_rules(relation(parsed, "streams")), *page_rules(parsed)]
-    return reduce(DataFrame.unionByName, groups).select(COLUMNS)
+    return finding_rows(docs, gui).select("doc_id", F.inline("found")).select(COLUMNS)
 
 
-def summarize(found: DataFrame) -> DataFrame:
-    """doc_id, errors, warnings, info and exit_code from findings."""
-    count = lambda s: F.count_if(F.col("severity") == s)
-    return found.groupBy("doc_id").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("info")).withColumn("exit_code", (F.col("errors") > 0).cast("int"))
+def summarize(rows: DataFrame) -> DataFrame:
+    """doc_id, errors, warnings, info and exit_code of each of finding_rows() that has findings."""
+    count = lambda s: F.size(F.filter("found", lambda f: f["severity"] == s)).cast("long")
+    counted = rows.filter(F.size("found") > 0).select("doc_id", count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("info"))
+    return counted.withColumn("exit_code", (F.col("errors") > 0).cast("int"))

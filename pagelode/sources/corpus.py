@@ -27,10 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def render(rows: DataFrame, build: Callable[[dict], bytes]) -> DataFrame:
     """doc_id and content from rows that have a doc_id and whatever build reads."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             got = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in got], pa.int64()), pa.array([build(r) for r in got], pa.binary())], ["doc_id", "content"])
 

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from pagelode.functions.lazy import BytesReader, FileReader, LazyDocument, LazyError, fast_findings, open_lazy
 from pagelode.functions.structure import object_summary
-from pagelode.operators.relations import SCHEMAS, _pages, _typed
+from pagelode.operators.relations import SCHEMAS, _pages, batches_of, column
 
 OBJECTS = "path string, obj long, gen int, in_use boolean, byte_offset long, container long, value_type string, summary string, stream_start long, stream_length long, error string"
 FINDINGS = "ord int, rule_id string, severity string, message string, obj long, gen int, page int, byte_offset long, suggested_next_step string"
@@ -97,6 +97,9 @@ def _finding_rows(doc: LazyDocument):
         yield i, rule, severity, message, *(ref or (None, None)), page, offset, step
 
 
+MAKERS = {"pages": _pages, "findings": _finding_rows}
+
+
 def parse_lazy(docs: DataFrame, *parts: str) -> DataFrame:
     """doc_id, error, touched (bytes read) and a column for each of PARTS, from docs (doc_id, content), read by ranges."""
     schema = StructType().add("doc_id", docs.schema["doc_id"].dataType).add("error", "string").add("touched", "long")
@@ -105,20 +108,26 @@ def parse_lazy(docs: DataFrame, *parts: str) -> DataFrame:
         schema.add(part, own if part == "metadata" else ArrayType(own))
     arrow = to_arrow_schema(schema)
 
+    def one(doc_id, data: bytes | None) -> list:
+        reader = BytesReader(data or b"")
+        try:
+            doc = open_lazy(reader)
+            made = []
+            for part in parts:
+                if part == "metadata":
+                    own = doc.metadata(str(doc_id))
+                    made.append(tuple(own[f.name] for f in schema[part].dataType.fields))
+                else:
+                    made.append(list(MAKERS[part](doc)))
+            return [None, reader.touched, *made]
+        except Exception as e:  # one bad file must not end the job
+            return [str(e) if isinstance(e, LazyError) else f"{type(e).__name__}: {e}", reader.touched, *[None] * len(parts)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = {"pages": _pages, "findings": _finding_rows}
-        for batch in batches:
-            rows = []
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                reader = BytesReader(data or b"")
-                row: dict = {"doc_id": doc_id, "error": None} | dict.fromkeys(parts)
-                try:
-                    doc = open_lazy(reader)
-                    for part in parts:
-                        row[part] = doc.metadata(str(doc_id)) if part == "metadata" else [_typed(r, schema[part].dataType.elementType) for r in makers[part](doc)]
-                except LazyError as e:
-                    row = {"doc_id": doc_id, "error": str(e)} | dict.fromkeys(parts)
-                rows.append(row | {"touched": reader.touched})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        for whole in batches:
+            for batch in batches_of(whole, 1):
+                rows = [one(doc_id, data.as_py()) for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+                columns = [column([r[k] for r in rows], f.dataType, arrow.field(k + 1).type) for k, f in enumerate(schema.fields[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
 
     return docs.select("doc_id", "content").mapInArrow(run, schema)
