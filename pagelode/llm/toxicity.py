@@ -291,26 +291,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def toxic_slots(slots: list[np.ndarray], forms: list[np.ndarray], labels: list[int], chance: float = CHANCE, ratio: float = RATIO) -> np.ndarray:
-    """Which features (forms, beginnings and ends of tokens) are in more toxic texts than their share of the other texts explains, by a Poisson tail."""
-    seen: set = set()
-    texts = np.zeros((2, SLOTS))
-    n = [0, 0]
-    for own, each, label in zip(slots, forms, labels, strict=True):
-        mid = len(each) // 2
-        keys = {each[:6].tobytes(), each[mid : mid + 6].tobytes(), each[-6:].tobytes()}
-        if keys & seen or not len(each):
-            continue
-        seen |= keys
-        n[label] += 1
-        texts[label][np.unique(own[:, :-1])] += 1
-    mean = n[1] * (texts[0] + 1) / (n[0] + 1)
-    found = np.zeros(SLOTS, bool)
-    for slot in np.flatnonzero((texts[1] > ratio * mean) & (texts[1] > 1)).tolist():
-        at, k = mean[slot], int(texts[1][slot])
-        found[slot] = 1 - sum(math.exp(-at + i * math.log(at) - math.lgamma(i + 1)) for i in range(k)) < chance
-    found[0] = False
-    return found
+class Excess:
+    """Counts the texts that features (forms, beginnings and ends of tokens) occur in, to find those that toxic texts have in excess."""
+
+    def __init__(self):
+        self.seen: set = set()
+        self.texts = np.zeros((2, SLOTS), dtype=np.int32)
+        self.n = [0, 0]
+
+    def add(self, own: np.ndarray, forms: np.ndarray, label: int) -> None:
+        mid = len(forms) // 2
+        keys = {hash(forms[:6].tobytes()), hash(forms[mid : mid + 6].tobytes()), hash(forms[-6:].tobytes())}
+        if len(forms) and not keys & self.seen:
+            self.seen |= keys
+            self.n[label] += 1
+            self.texts[label][np.unique(own[:, :-1])] += 1
+
+    def found(self, chance: float = CHANCE, ratio: float = RATIO) -> np.ndarray:
+        """Which features are in more toxic texts than their share of the other texts explains, by a Poisson tail."""
+        mean = self.n[1] * (self.texts[0] + 1) / (self.n[0] + 1)
+        out = np.zeros(SLOTS, bool)
+        for slot in np.flatnonzero((self.texts[1] > ratio * mean) & (self.texts[1] > 1)).tolist():
+            at, k = mean[slot], int(self.texts[1][slot])
+            out[slot] = 1 - sum(math.exp(-at + i * math.log(at) - math.lgamma(i + 1)) for i in range(k)) < chance
+        out[0] = False
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicityModel:
@@ -329,24 +334,31 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = texts.join(F.broadcast(spark.createDataFrame(kept, marked.schema)), "key").toArrow().to_pydict() if kept else {"text": [], "label": [], "key": []}
     order = sorted(range(len(got["key"])), key=lambda i: (got["key"][i], got["text"][i], got["label"][i]))
     samples, ys = [got["text"][i] for i in order], [int(got["label"][i] > 0) for i in order]
-    slots, forms, lengths = features(samples)
-    cuts = np.cumsum(lengths)[:-1]
-    slots, forms = (np.split(x, cuts) if len(lengths) else [] for x in (slots, forms))
-    seeds = toxic_slots(slots, forms, ys)
     clean = [i for i, y in enumerate(ys) if not y][: CLEAN_SHARE * sum(ys) + 100]
     chosen = sorted([i for i, y in enumerate(ys) if y] + clean)
-    targets = [seeds[slots[i][:, :-1]].any(1).astype(float) * ys[i] for i in chosen]
+    excess, slots = Excess(), dict.fromkeys(chosen)
+    for at in range(0, len(samples), 64):
+        own, forms, lengths = features(samples[at : at + 64])
+        cuts = np.cumsum(lengths)[:-1]
+        for i, (x, f) in enumerate(zip(np.split(own, cuts), np.split(forms, cuts), strict=True), at):
+            excess.add(x, f, ys[i])
+            if i in slots:
+                slots[i] = x.copy()
+    seeds = excess.found()
+    texts_of = [slots[i] for i in chosen]
+    targets = [seeds[x[:, :-1]].any(1).astype(float) * ys[i] for i, x in zip(chosen, texts_of, strict=True)]
     if not sum(t.sum() for t in targets):
         return ToxicityModel(None, np.array([-2.0, 0]))
     chain = Chain()
-    chain.fit([slots[i] for i in chosen], targets)
+    chain.fit(texts_of, targets)
     model = ToxicityModel(chain, np.array([-2.0, 0]))
     for k, i in enumerate(chosen):
-        if ys[i] and len(slots[i]):
-            toxic = chain.marginals(*model._inputs(slots[i], np.array([len(slots[i])])))
+        if ys[i] and len(texts_of[k]):
+            toxic = chain.marginals(*model._inputs(texts_of[k], np.array([len(texts_of[k])])))
             targets[k] = (toxic >= 0.5).astype(float)
-    chain.fit([slots[i] for i in chosen], targets)
-    marginals, truth = chain.marginals(*model._inputs(np.concatenate(slots), lengths)), np.array(ys, float)
+    chain.fit(texts_of, targets)
+    marginals, lengths = model.marginals(samples)
+    truth = np.array(ys, float)
     total = model.expected(marginals, lengths)
     rate = [(total[truth == v].sum() + 0.5) / (lengths[truth == v].sum() + 1000) for v in (0, 1)]
     model.rates = (rate[0], max(rate[1], 2 * rate[0]))
