@@ -12,8 +12,8 @@ A null key is a key like any other. A null text stays null and has no bytes.
 Repeated rows are shuffled like others and keep separate slots; their order
 among themselves can't be told apart; exact repeats are in one bucket. An empty
 table gives an empty result. A text is never split, so the array of its bucket
-is at least as large. A bucket is alone in its task (up to MOST_TASKS of them),
-whose number seeds the shuffle: the order hangs on the records and the seed, not
+is at least as large. The number of tasks follows from the records, too, as
+their numbers seed the shuffle: the order hangs on the records and the seed, not
 on the session's settings. Columns
 other than the key, the text and those asked for in `carry` are not read.
 """
@@ -31,7 +31,7 @@ from pagelode.llm.common import documents, drop_table, write_table
 SEED = 20241
 BUCKET_BYTES = 64 << 20
 BUCKET_ROWS = 1 << 13
-MOST_TASKS = 1 << 15
+LEAST_TASKS, MOST_TASKS = 64, 1 << 15
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -44,8 +44,7 @@ def shuffled_buckets(df: DataFrame, key: str, text: str, shards: int, seed: int,
     """The written records in shuffled order: _shard, _bucket, _pos in the bucket, _key, _text and _c0, _c1 ... for carry."""
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1), F.lit(0)).alias("b")).first()
     buckets = max(1, math.ceil(total["b"] / (shards * bucket_bytes)), math.ceil(total["n"] / (shards * bucket_rows)))
-    parts = min(buckets * shards, MOST_TASKS)
-    place = F.col("_shard") * F.lit(buckets) + F.col("_bucket")
+    parts = min(max(4 * buckets * shards, LEAST_TASKS), MOST_TASKS)
     records = df.select(
         df[key].alias("_key"),
         df[text].alias("_text"),
@@ -55,7 +54,7 @@ def shuffled_buckets(df: DataFrame, key: str, text: str, shards: int, seed: int,
     )
     items = [c for c in records.columns if c not in ("_shard", "_bucket")]
     shuffled = (
-        records.repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int"))
+        records.repartition(parts, "_shard", "_bucket")
         .groupBy("_shard", "_bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*items))).alias("_items"))
         .sortWithinPartitions("_shard", "_bucket")
