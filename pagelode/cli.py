@@ -11,7 +11,7 @@ import os
 import sys
 from dataclasses import asdict
 
-from pagelode.functions import deep, structure, views
+from pagelode.functions import deep, lazy_report, structure, views
 from pagelode.functions.document import FULL_LIMIT, parse_document
 from pagelode.functions.lazy import FileReader, LazyError, fast_findings, open_lazy
 from pagelode.functions.values import reference_text
@@ -54,11 +54,9 @@ def lazy_inspect(args) -> int:
     if args.object:
         _show(views.inspect_object(doc.read_object(tuple(args.object)), decode=False))
     elif args.stream:
-        found = doc.read_object(tuple(args.stream))
-        if not found.stream:
-            raise LazyError(f"stream {reference_text(found.ref)} was not found")
-        found.stream.raw = doc.reader.read(found.stream.start, min(found.stream.end - found.stream.start, views.PREVIEW))
-        _show(views.inspect_stream(found, decode=False) | {"preview": views.stream_preview(found, "hex")})
+        made = doc.stream_view(tuple(args.stream))
+        previews = {k: None if made[k] is None else made[k].decode("utf-8", "replace") for k in ("raw_preview", "decoded_preview")}
+        _show(made | previews | {"hex_preview": views.hex_dump(made["raw_preview"])})
     elif args.deep_page is not None:
         _show(asdict(deep.deep_page(doc, args.deep_page)))
     elif args.deep_stream:
@@ -66,12 +64,12 @@ def lazy_inspect(args) -> int:
     elif args.deep_object:
         _show(asdict(deep.deep_object(doc, tuple(args.deep_object))))
     elif args.pages or args.page_list:
-        pages = structure.pages(doc)
+        pages = doc.page_index()
         _show([p._asdict() for p in pages] if args.pages else [{"page_number": p.number, "reference": reference_text(p.ref)} for p in pages])
     elif args.diagnostics:
         _show([dict(zip(FINDING, f, strict=True)) for f in fast_findings(doc)])
     elif args.structure:
-        _show({"trailer": sorted(doc.trailer[1]) if doc.trailer else None, "entries": [e._asdict() for _, e in sorted(doc.entries.items())][:512]})
+        _show(_tree(doc.tree()))
     else:
         _show(doc.metadata(os.path.basename(args.file)))
     return 0
@@ -84,12 +82,8 @@ def check(args) -> int:
         doc = open_lazy(FileReader(args.file))
         extra = [deep.deep_page(doc, p) for p in args.lazy_page or []]
         extra += [deep.deep_stream(doc, tuple(r)) for r in args.lazy_stream or []] + [deep.deep_object(doc, tuple(r)) for r in args.lazy_object or []]
-        rows = [dict(zip(FINDING, f, strict=True)) for f in fast_findings(doc)]
-        every = [r["severity"] for r in rows] + [f[1] for e in extra for f in e.findings]
-        report = {"schema_version": "0.1.0", "kind": "lazy_debug_report", "open_mode": "lazy", "file": doc.metadata(os.path.basename(args.file)), "diagnostics": {s + ("" if s == "info" else "s"): every.count(s) for s in ("error", "warning", "info")}, "findings": rows, "enrichments": [asdict(e) for e in extra]}
-        text = json.dumps(report, indent=2, ensure_ascii=False, default=str)
-        markdown = "## PDF Debug Report (lazy)\n\n" + "".join(f"- {r['severity']}: {r['message']}\n" for r in rows)
-        errors = every.count("error")
+        made = lazy_report.report(doc, os.path.basename(args.file), extra)
+        text, markdown, errors = lazy_report.as_json(made), lazy_report.as_markdown(made), made["diagnostics"]["errors"]
     else:
         from pyspark.sql import SparkSession
 

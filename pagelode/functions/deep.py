@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pagelode.functions import filters, structure, views
+from pagelode.functions import filters, views
 from pagelode.functions.document import Ref
 from pagelode.functions.lazy import LazyDocument, LazyError
 from pagelode.functions.structure import page_operators
@@ -93,9 +93,11 @@ def deep_object(doc: LazyDocument, ref: Ref) -> Enrichment:
 
 
 def deep_page(doc: LazyDocument, number: int) -> Enrichment:
-    page = next((p for p in structure.pages(doc) if p.number == number), None)
+    if number < 1:
+        raise LazyError("Page numbers start at 1.")
+    page = next(iter(doc.page_index(number)), None)
     if page is None:
-        raise LazyError(f"page {number} was not found in the lazy page index")
+        raise LazyError(f"Page {number} was not found in the lazy page tree")
     own = reference_text(page.ref)
     streams = [r for kind, _, r in page.links if kind == "contents"]
     out = Enrichment("page", f"Page {number}", number, page.ref, f"Page {number} lazy deep diagnostics inspected {len(page.links)} link(s) and {min(len(streams), STREAMS)} content stream(s).", limitations=[PAGE_LIMIT])

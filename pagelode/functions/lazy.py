@@ -14,7 +14,8 @@ from typing import NamedTuple
 
 from pagelode.functions import filters, structure
 from pagelode.functions.document import Document, Object, Ref, _body, _digits, _line_end, _skip_blank, header_at, member_table
-from pagelode.functions.values import Value, as_count, is_name, parse_value, reference_text, white
+from pagelode.functions.values import Value, as_count, is_name, parse_value, reference_text, summary, white
+from pagelode.functions.values import entries as listed
 
 HEAD = 1024
 TAIL = 1 << 20
@@ -25,6 +26,32 @@ STREAM_IN = 16 << 20
 STREAM_OUT = 32 << 20
 SECTIONS = 32
 STREAM_CHECKS = 256
+PREVIEW = 1 << 20
+EXPORT_RAW = 512 << 20
+PAGE_DEPTH = 64
+PAGE_NODES = 20_000
+PAGES = 20_000
+XREF_CHILDREN = 512
+# What the page index and the stream view warn of.
+WARNINGS = {
+    "page_tree.root_missing": "Lazy page index could not run because the trailer has no Root reference",
+    "page_tree.catalog_missing": "Could not read Root catalog {ref}",
+    "page_tree.pages_missing": "Root catalog {ref} does not contain a /Pages reference",
+    "page_tree.depth_limit": "Page tree traversal reached depth limit {most} at {ref}",
+    "page_tree.node_limit": "Page tree traversal reached node limit {most}",
+    "page_tree.page_limit": "Page tree traversal reached page limit {most}",
+    "page_tree.cycle": "Cycle detected while traversing page tree at {ref}",
+    "page_tree.object_unavailable": "Could not read page tree object {ref}: {error}",
+    "page_tree.non_dictionary": "Page tree object {ref} is not a dictionary",
+    "page_tree.kids_missing": "Pages node {ref} does not contain a /Kids array",
+    "page_tree.invalid_kid": "Pages node {ref} contains a non-reference /Kids entry",
+    "page_tree.unexpected_type": "Page tree object {ref} has unexpected /Type /{kind}",
+    "stream.preview_truncated": "Stream preview is truncated to {most} bytes from {size} total bytes",
+    "stream.decoded_preview_truncated": "Decoded stream preview is truncated to {most} bytes from {size} decoded bytes",
+    "stream.decode_preview_skipped": "Decoded preview skipped because raw stream length {size} exceeds lazy decode input limit {most}",
+    "stream.raw_export_limit": "Raw stream export is disabled because stream length {size} exceeds export limit {most}",
+}
+WARNING_STEP = "Continue with lazy inspection; if this affects a branch, inspect the referenced object by xref offset."
 DEFERRED = "Large PDF opened in lazy mode. Fast diagnostics are ready; stream decode validation, content stream analysis, page object extraction, image/font deep validation, and full report generation are deferred."
 
 
@@ -77,14 +104,14 @@ class LazyObjects(Mapping):
     """Objects by reference, read when asked for and kept."""
 
     def __init__(self, owner: LazyDocument):
-        self.owner, self.known = owner, {}
+        self.owner, self.known, self.errors = owner, {}, {}
 
     def get(self, ref, default=None):
         if ref not in self.known:
             try:
                 self.known[ref] = self.owner.read_object(ref)
-            except LazyError:
-                self.known[ref] = None
+            except LazyError as e:
+                self.known[ref], self.errors[ref] = None, str(e)
         return self.known[ref] or default
 
     def __getitem__(self, ref):
@@ -110,10 +137,124 @@ class LazyDocument(Document):
     entries: dict[Ref, Entry] = field(default_factory=dict)
     notes: list[Warned] = field(default_factory=list)
     eofs: int = 0
+    indexed: bool = False
 
     def note(self, rule: str, message: str, offset: int | None) -> None:
         self.notes.append(Warned(f"lazy.{rule}", message, offset))
 
+    def warn(self, rule: str, offset: int | None = None, ref: Ref | None = None, **values) -> None:
+        self.note(rule, WARNINGS[rule].format(ref=reference_text(ref) if ref else None, **values), offset)
+
+    def page_index(self, only: int | None = None) -> list[structure.Page]:
+        """Pages in tree order, within limits, or the page with number `only` alone; what is amiss is noted."""
+        self.indexed = True
+        root = self.reference("Root")
+        if root is None:
+            self.warn("page_tree.root_missing")
+            return []
+        catalog = self.objects.get(root)
+        if catalog is None:
+            self.warn("page_tree.catalog_missing", ref=root)
+            return []
+        start = (catalog.dictionary or {}).get("Pages")
+        if not start or start[0] != "Reference":
+            self.warn("page_tree.pages_missing", catalog.start, root)
+            return []
+        out: list[structure.Page] = []
+        seen: set[Ref] = set()
+        count = 0
+        stack: list[tuple] = [(start, {}, 0, None)]
+        while stack:
+            value, above, depth, holder = stack.pop()
+            if value[0] != "Reference":
+                self.warn("page_tree.invalid_kid", holder.start, holder.ref)
+                continue
+            ref = value[1]
+            if depth > PAGE_DEPTH:
+                self.warn("page_tree.depth_limit", ref=ref, most=PAGE_DEPTH)
+                continue
+            if len(seen) >= PAGE_NODES or count >= PAGES:
+                which = ("node", PAGE_NODES) if len(seen) >= PAGE_NODES else ("page", PAGES)
+                self.warn(f"page_tree.{which[0]}_limit", most=which[1])
+                break
+            if ref in seen:
+                self.warn("page_tree.cycle", ref=ref)
+                continue
+            seen.add(ref)
+            found = self.objects.get(ref)
+            if found is None:
+                self.warn("page_tree.object_unavailable", ref=ref, error=self.objects.errors.get(ref))
+                continue
+            d = found.dictionary
+            if d is None:
+                self.warn("page_tree.non_dictionary", found.start, ref)
+                continue
+            kind, state = structure.type_name(d), structure.inherited(self, d, above)
+            if kind == "Page":
+                count += 1
+                if only in (None, count):
+                    out.append(structure.page_of(self, count, ref, d, state))
+                if only == count:
+                    break
+            elif kind in ("Pages", None):
+                kids = d.get("Kids")
+                if not kids or kids[0] != "Array":
+                    self.warn("page_tree.kids_missing", found.start, ref)
+                else:
+                    stack.extend((k, state, depth + 1, found) for k in reversed(kids[1]))
+            else:
+                self.warn("page_tree.unexpected_type", found.start, ref, kind=kind)
+        return out
+
+    def stream_view(self, ref: Ref) -> dict:
+        """Sizes, decoding and previews of a stream within limits, and the warnings these give rise to."""
+        found = self.read_object(ref)
+        if not found.stream:
+            raise LazyError(f"stream {reference_text(ref)} was not found")
+        s = found.stream
+        size, warned = s.end - s.start, []
+
+        def warn(rule: str, most: int, n: int) -> None:
+            warned.append((f"lazy.{rule}", WARNINGS[rule].format(most=most, size=n), s.start))
+
+        whole = size <= STREAM_IN
+        raw = self.reader.read(s.start, size if whole else min(size, PREVIEW))
+        if size > min(len(raw), PREVIEW):
+            warn("stream.preview_truncated", PREVIEW, size)
+        got = filters.decode(raw, s.filters, STREAM_OUT) if whole else None
+        clean = got is not None and not got.issues
+        if clean and got.length > PREVIEW:
+            warn("stream.decoded_preview_truncated", PREVIEW, got.length)
+        if not whole:
+            warn("stream.decode_preview_skipped", STREAM_IN, size)
+        if size > EXPORT_RAW:
+            warn("stream.raw_export_limit", EXPORT_RAW, size)
+        error = "; ".join(f"/{f}: {m}" for f, _, m in got.issues) if got else f"Decoded preview skipped because raw stream length exceeds {STREAM_IN} bytes"
+        return {
+            "declared_length": s.declared, "actual_length": size, "raw_start": s.start, "raw_end": s.end, "filters": s.filters, "decoded_length": got.length if clean else None,
+            "steps": got.steps if got else [], "issues": got.issues if got else [], "warnings": warned, "raw_preview": raw[:PREVIEW], "raw_truncated": size > min(len(raw), PREVIEW),
+            "decoded_preview": got.data[:PREVIEW] if clean else None, "decoded_truncated": clean and got.length > PREVIEW, "decoded_error": None if clean else error,
+            "can_export_raw": size <= EXPORT_RAW, "can_export_decoded": clean,
+        }
+
+    def tree(self) -> list[structure.Node]:
+        """The first look at a lazily opened document: trailer, catalog and some entries, without reading an object."""
+        used = [e for e in self.entries.values() if e.in_use]
+        out = [structure.Node((), "PDF", "root", None, f"lazy open, {len(self.entries)} xref entrie(s), {len(used)} in-use object(s)")]
+        out.append(structure.Node((0,), "Trailer", "trailer", None, summary(self.trailer) if self.trailer else None))
+        for i, (key, value) in enumerate(listed(self.trailer[1]) if self.trailer else ()):
+            out.append(structure.Node((0, i), key, "reference", value[1] if value[0] == "Reference" else None, summary(value)))
+        root = self.reference("Root")
+        if root:
+            out.append(structure.Node((1,), "Catalog", "catalog", root, "lazy object, click to inspect by xref offset"))
+        at = (1 + (root is not None),)
+        out.append(structure.Node(at, "Cross-reference", "xref", None, f"startxref {'unknown' if self.startxref is None else self.startxref}, {len(self.entries)} entrie(s)"))
+        for i, e in enumerate(sorted(used)[:XREF_CHILDREN]):
+            out.append(structure.Node((*at, i), reference_text(e.ref), "object", e.ref, f"xref offset {e.offset}, lazy object"))
+        if len(used) > XREF_CHILDREN:
+            out.append(structure.Node((*at, XREF_CHILDREN), "More xref objects", "xref", None, f"{len(used) - XREF_CHILDREN} additional in-use object(s) hidden in this first lazy tree"))
+        return out
+
     def read_object(self, ref: Ref) -> Object:
         entry = self.entries.get(ref)
         if entry is None or not entry.in_use:
@@ -326,11 +467,13 @@ def fast_findings(doc: LazyDocument) -> list[tuple]:
     """Findings that need no stream bytes: (rule, severity, message, ref, page, offset, next step), each once."""
     out: list[tuple] = []
     checked: set[Ref] = set()
+    said: set[tuple] = set()
+    index = doc.page_index()
 
     def add(rule, severity, message, ref=None, page=None, offset=None, step="") -> None:
-        row = (rule, severity, message, ref, page, offset, step)
-        if row[:1] + row[2:6] not in {r[:1] + r[2:6] for r in out}:
-            out.append(row)
+        if (rule, message, ref, page, offset) not in said:
+            said.add((rule, message, ref, page, offset))
+            out.append((rule, severity, message, ref, page, offset, step))
 
     def check(ref: Ref, rule: str, label: str) -> None:
         if ref in checked:
@@ -345,7 +488,7 @@ def fast_findings(doc: LazyDocument) -> list[tuple]:
             add("xref.invalid_offset", "error", f"Xref entry for {text} points outside the file at byte {entry.offset}", ref, None, entry.offset, "Compare the xref table against the raw file length and object header")
 
     for n in doc.notes:
-        add(n.rule, "warning", n.message, offset=n.offset, step="Inspect the lazy xref metadata and object offsets")
+        add(n.rule, "warning", n.message, offset=n.offset, step=WARNING_STEP)
     if doc.trailer is None:
         add("lazy.trailer_missing", "error", "Lazy open did not find a trailer dictionary", offset=doc.startxref, step="Verify startxref and the classic xref trailer section")
     if doc.startxref is None:
@@ -364,7 +507,7 @@ def fast_findings(doc: LazyDocument) -> list[tuple]:
     if meta["has_object_stream"]:
         add("document.object_stream_detected", "info", "Object stream detected; lazy object inspection can expand selected compressed members on demand", step="Open a referenced object to inspect the selected object-stream member within lazy limits")
     streams: set[Ref] = set()
-    for page in structure.pages(doc):
+    for page in index:
         check(page.ref, "lazy.page_missing_from_xref", "Page reference")
         for kind, label, ref in page.links:
             check(ref, "lazy.page_link_missing_from_xref", f"Page {page.number} {label} reference")

@@ -62,7 +62,7 @@ class Page(NamedTuple):
     links: list[tuple[str, str, Ref]]  # kind, label, target
 
 
-def _type(d: dict) -> str | None:
+def type_name(d: dict) -> str | None:
     v = d.get("Type")
     return v[1] if v and v[0] == "Name" else None
 
@@ -84,6 +84,19 @@ def _resources(doc: Document, value: Value | None, counts: dict[str, int], links
             links.append(("image", f"/{name} Image", v[1]) if image else ("xobject", f"/{name} XObject", v[1]))
 
 
+def inherited(doc: Document, d: dict, above: dict) -> dict:
+    """What the pages below a node of the page tree get from it and from what is above."""
+    state = dict(above)
+    for key in BOXES:
+        if key in d:
+            state[key] = page_box(doc, d[key])
+    if "Rotate" in d:
+        state["Rotate"] = rotation(doc, d["Rotate"])
+    if "Resources" in d:
+        state["Resources"] = d["Resources"]
+    return state
+
+
 def pages(doc: Document) -> list[Page]:
     """Pages in tree order with what they inherit. A node without type holds pages; a node met before is skipped."""
     root = doc.reference("Root")
@@ -93,24 +106,17 @@ def pages(doc: Document) -> list[Page]:
     seen: set[Ref] = set()
     stack = [(start[1], {})] if start and start[0] == "Reference" else []
     while stack:
-        ref, inherited = stack.pop()
+        ref, above = stack.pop()
         if ref in seen:
             continue
         seen.add(ref)
         d = doc.dictionary(("Reference", ref))
         if d is None:
             continue
-        state = dict(inherited)
-        for key in BOXES:
-            if key in d:
-                state[key] = page_box(doc, d[key])
-        if "Rotate" in d:
-            state["Rotate"] = rotation(doc, d["Rotate"])
-        if "Resources" in d:
-            state["Resources"] = d["Resources"]
-        kind = _type(d) if d.get("Type", ("",))[0] == "Name" else None
+        state = inherited(doc, d, above)
+        kind = type_name(d)
         if kind == "Page":
-            out.append(_page(doc, len(out) + 1, ref, d, state))
+            out.append(page_of(doc, len(out) + 1, ref, d, state))
         elif kind in ("Pages", None):
             kids = d.get("Kids")
             if kids and kids[0] == "Array":
@@ -118,7 +124,7 @@ def pages(doc: Document) -> list[Page]:
     return out
 
 
-def _page(doc: Document, number: int, ref: Ref, d: dict, state: dict) -> Page:
+def page_of(doc: Document, number: int, ref: Ref, d: dict, state: dict) -> Page:
     links: list[tuple[str, str, Ref]] = [("page", "Page", ref)]
     if d.get("Parent", ("",))[0] == "Reference":
         links.append(("parent", "Parent", d["Parent"][1]))
@@ -208,7 +214,7 @@ def check_pages(doc: Document) -> list[Problem | PageContent]:
             out.append(Problem("page_tree.node_not_dictionary", ref, None, found.start, None))
             continue
         boxed, resources = boxed or "MediaBox" in d, d.get("Resources", resources)
-        kind = _type(d)
+        kind = type_name(d)
         if kind == "Pages":
             kids = d.get("Kids")
             if not kids or kids[0] != "Array":
@@ -324,7 +330,7 @@ class _Tree:
                 self.add(at, "Invalid page tree node", "object", ref, object_summary(found))
             else:
                 d = found.dictionary
-                kind = _type(d)
+                kind = type_name(d)
                 if kind == "Page":
                     self.page(at, ref, d)
                 elif kind in ("Pages", None):

@@ -46,8 +46,8 @@ def test_only_what_is_asked_for_is_read():
 
 def test_fast_rules():
     b = Builder().add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, "<< /Type /Pages /Kids [3 0 R 9 0 R] >>").add(3, "<< /Type /Page /Contents [4 0 R 8 0 R] >>").stream(4, b"x", "/Filter /MysteryDecode").add(5, FONT)
-    assert rules(b.table(ROOT.format(6)).bytes()) == ["stream.unsupported_filter", "lazy.page_link_missing_from_xref", "lazy.stream.metadata_unavailable", "lazy.deep_diagnostics_deferred"]
-    assert rules(b"%PDF-1.4\n") == ["lazy.trailer_missing", "lazy.startxref_missing", "lazy.root_missing", "lazy.deep_diagnostics_deferred"]
+    assert rules(b.table(ROOT.format(6)).bytes()) == ["lazy.page_tree.object_unavailable", "stream.unsupported_filter", "lazy.page_link_missing_from_xref", "lazy.stream.metadata_unavailable", "lazy.deep_diagnostics_deferred"]
+    assert rules(b"%PDF-1.4\n") == ["lazy.page_tree.root_missing", "lazy.trailer_missing", "lazy.startxref_missing", "lazy.root_missing", "lazy.deep_diagnostics_deferred"]
     with pytest.raises(LazyError):
         open_lazy(BytesReader(b"%PDF-1.4\nstartxref\n999\n%%EOF"))
 
