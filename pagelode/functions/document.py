@@ -147,41 +147,35 @@ def header_at(data: bytes, offset: int) -> tuple[int, Ref] | None:
     return m.end(), (int(m[1]), int(m[2]))
 
 
+# a subsection's head, an entry's line and the trailer, each after blank lines
+_SUBSECTION = re.compile(rb"[\x00\t\n\x0c\r ]*(?:(trailer)|(\d+)[\x00\t\n\x0c\r ]+(\d+)[^\r\n]*(?:\r\n?|\n|$))")
+_ENTRY = re.compile(rb"[\x00\t\n\x0c\r ]*(?:(\d+)[\x00\t\x0c ]+(\d+)[\x00\t\x0c ]*([^\x00\t\n\x0c\r ])|(?!trailer)[^\r\n]+)[^\r\n]*(?:\r\n?|\n|$)")
+
+
 def xref_section(data: bytes, start: int, warnings: list | None):
     """Entries, trailer and /Prev of the classic section at start, or None."""
     if not data.startswith(b"xref", start):
         return None
     found: list[tuple[Ref, int, bool]] = []
-    pos = _line_end(data, start) + 1
-    while True:
-        pos = _skip_blank(data, pos)
-        if pos >= len(data):
-            return found, None, None
-        if data.startswith(b"trailer", pos):
-            got = parse_value(data, pos + 7)
-            if not got:
-                if warnings is not None:
-                    warnings.append((pos + 7, "Could not parse trailer dictionary"))
-                return found, None, None
-            value = got[0]
-            return found, value, as_count(value[1].get("Prev")) if value[0] == "Dictionary" else None
-        first = _digits(data, pos, 32)
-        count = _digits(data, white(data, first[1]), 64) if first else None
-        if not count:
-            return found, None, None
-        pos = _line_end(data, pos) + 1
-        for i in range(count[0]):
-            pos = _skip_blank(data, pos)
-            if pos >= len(data):
+    pos = _line_end(data, start)
+    while head := _SUBSECTION.match(data, pos):
+        if head[1]:
+            got = parse_value(data, head.end())
+            if not got and warnings is not None:
+                warnings.append((head.end(), "Could not parse trailer dictionary"))
+            value = got[0] if got else None
+            return found, value, as_count(value[1].get("Prev")) if value and value[0] == "Dictionary" else None
+        first, count, pos = int(head[2]), int(head[3]), head.end()
+        if first >= 1 << 32 or count >= 1 << 64:
+            break
+        for number in range(first, first + count):
+            entry = _ENTRY.match(data, pos)
+            if not entry:
                 break
-            end = _line_end(data, pos)
-            at = white(data, pos)
-            offset = _digits(data, at, 64) if at < end else None
-            gen = _digits(data, white(data, offset[1]), 16) if offset else None
-            flag = white(data, gen[1]) if gen else len(data)
-            if gen and flag < len(data):
-                found.append(((first[0] + i, gen[0]), offset[0], data[flag : flag + 1] == b"n"))
-            pos = end + 1
+            pos = entry.end()
+            if entry[1] and int(entry[1]) < 1 << 64 and int(entry[2]) < 1 << 16:
+                found.append(((number, int(entry[2])), int(entry[1]), entry[3] == b"n"))
+    return found, None, None
 
 
 def read_xref(doc: Document, data: bytes) -> list[list[tuple[Ref, int, bool]]]:

@@ -6,6 +6,8 @@ import re
 import zlib
 from typing import NamedTuple
 
+import numpy as np
+
 # Short names of filters.
 ALIASES = {"Fl": "FlateDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "DCT": "DCTDecode"}
 KNOWN = {*ALIASES, *ALIASES.values()}
@@ -18,6 +20,8 @@ DONE = {
 }
 BOMB_LIMIT = 256 << 20  # executors are protected even where no limit is asked for
 _WHITE = re.compile(rb"[ \t\n\x0c\r]+")
+_NOT_BASE85 = re.compile(rb"[^!-uz]")
+_POWERS85 = np.array([85**4, 85**3, 85**2, 85, 1], dtype=np.uint64)
 
 
 class Decoded(NamedTuple):
@@ -32,8 +36,9 @@ class FilterError(ValueError):
 
 
 def _within(size: int, limit: int | None) -> None:
-    if limit is not None and size > limit:
-        raise FilterError(f"decoded stream exceeds output limit of {limit} bytes")
+    most = BOMB_LIMIT if limit is None else limit
+    if size > most:
+        raise FilterError(f"decoded stream exceeds output limit of {most} bytes")
 
 
 def flate(data: bytes, limit: int | None) -> bytes:
@@ -54,45 +59,34 @@ def ascii_hex(data: bytes, limit: int | None) -> bytes:
     bad = re.search(rb"[^0-9A-Fa-f]", digits)
     if bad:
         raise FilterError(f"invalid ASCIIHex byte 0x{bad[0][0]:02X}")
-    out = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    _within(len(out), limit)
-    return out
+    _within(-(-len(digits) // 2), limit)
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
 
 
 def ascii85(data: bytes, limit: int | None) -> bytes:
-    data = _WHITE.sub(b"", data)
-    if data.startswith(b"<~"):
-        data = data[2:]
-    out, group = bytearray(), []
-    for c in data.split(b"~", 1)[0]:
-        if c == 0x7A:
-            if group:
-                raise FilterError("'z' short form appeared inside an ASCII85 group")
-            out += bytes(4)
-        elif 0x21 <= c <= 0x75:
-            group.append(c - 0x21)
-            if len(group) == 5:
-                out += _base85(group)
-                group = []
-        else:
-            raise FilterError(f"invalid ASCII85 byte 0x{c:02X}")
-        _within(len(out), limit)
-    if len(group) == 1:
+    """Groups of five digits at once; a z stands for a group of zeros and ends the digits before it."""
+    body = _WHITE.sub(b"", data).removeprefix(b"<~").partition(b"~")[0]
+    runs = body.split(b"z")
+    odd = next((i for i, r in enumerate(runs[:-1]) if len(r) % 5), None)
+    bad = _NOT_BASE85.search(body)
+    if bad and (odd is None or bad.start() < sum(map(len, runs[: odd + 1])) + odd):
+        raise FilterError(f"invalid ASCII85 byte 0x{bad[0][0]:02X}")
+    if odd is not None:
+        raise FilterError("'z' short form appeared inside an ASCII85 group")
+    rest = len(runs[-1]) % 5
+    _within((sum(map(len, runs)) // 5 + len(runs) - 1) * 4 + max(rest - 1, 0), limit)
+    if rest == 1:
         raise FilterError("ASCII85 final group has only one digit")
-    if group:
-        out += _base85(group + [84] * (5 - len(group)))[: len(group) - 1]
-    _within(len(out), limit)
-    return bytes(out)
-
-
-def _base85(group: list[int]) -> bytes:
-    value = 0
-    for digit in group:
-        value = value * 85 + digit
-    return (value & 0xFFFFFFFF).to_bytes(4, "big")
+    out = []
+    for run in runs:
+        digits = np.frombuffer(run + b"u" * (-len(run) % 5), np.uint8).reshape(-1, 5).astype(np.uint64) - np.uint64(33)
+        out.append((digits @ _POWERS85).astype(">u4").tobytes())  # a group beyond 32 bits wraps
+    whole = bytes(4).join(out)
+    return whole[: len(whole) - 5 + rest] if rest else whole
 
 
 def run_length(data: bytes, limit: int | None) -> bytes:
+    most = BOMB_LIMIT if limit is None else limit
     out, i = bytearray(), 0
     while i < len(data) and data[i] != 128:
         n = data[i]
@@ -106,7 +100,7 @@ def run_length(data: bytes, limit: int | None) -> bytes:
                 raise FilterError("RunLengthDecode repeat run is missing its byte")
             out += data[i + 1 : i + 2] * (257 - n)
             i += 2
-        _within(len(out), limit)
+        _within(len(out), most)
     return bytes(out)
 
 

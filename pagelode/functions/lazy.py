@@ -28,6 +28,7 @@ SECTIONS = 32
 STREAM_CHECKS = 256
 PREVIEW = 1 << 20
 EXPORT_RAW = 512 << 20
+EXPORT_DECODED = 256 << 20
 PAGE_DEPTH = 64
 PAGE_NODES = 20_000
 PAGES = 20_000
@@ -237,6 +238,21 @@ class LazyDocument(Document):
             "can_export_raw": size <= EXPORT_RAW, "can_export_decoded": clean,
         }
 
+    def export(self, ref: Ref, decoded: bool = False) -> bytes:
+        """A stream's bytes as they stand or decoded; sizes are tested before anything is read."""
+        found, name = self.read_object(ref), reference_text(ref)
+        if not found.stream:
+            raise LazyError(f"stream {name} was not found")
+        size = found.stream.end - found.stream.start
+        if not decoded:
+            if size > EXPORT_RAW:
+                raise LazyError(WARNINGS["stream.raw_export_limit"].format(size=size, most=EXPORT_RAW))
+            return self.reader.read(found.stream.start, size)
+        got = self.stream_data(found, out=EXPORT_DECODED)
+        if got.issues:
+            raise LazyError("; ".join(f"/{f}: {m}" for f, _, m in got.issues))
+        return got.data
+
     def tree(self) -> list[structure.Node]:
         """The first look at a lazily opened document: trailer, catalog and some entries, without reading an object."""
         used = [e for e in self.entries.values() if e.in_use]

@@ -13,7 +13,7 @@ from pagelode.operators.edits import apply_edits
 from pagelode.operators.relations import parse, relation
 from pagelode.plans import reports, rules
 from pagelode.sources import corpus
-from pagelode.sources.lazy import parse_lazy
+from pagelode.sources.lazy import deep_diagnostics, lazy_reports, parse_lazy
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -352,3 +352,162 @@ def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse(corpus.nations(spark, sf_dir), "images", "streams")
     missing = F.aggregate("streams", F.lit(0).cast("long"), lambda n, s: n + F.size(s["image_missing"]))
     return parsed.select("doc_id", F.explode("images").alias("i"), missing.alias("missing_keys")).select("doc_id", "i.width", "i.height", "i.renderable", "missing_keys")
+
+
+FAULTS = """
+WITH rule(kind, rule_id, severity, n) AS (VALUES
+  (0, 'page_tree.missing_catalog', 'error', 1), (1, 'page_tree.invalid_catalog_reference', 'error', 1), (2, 'page_tree.missing_pages', 'error', 1),
+  (3, 'page_tree.invalid_pages_reference', 'error', 1), (4, 'page_tree.cyclic_reference', 'error', 1), (5, 'page_tree.missing_node', 'error', 1),
+  (5, 'object.missing_reference', 'error', 1), (6, 'page_tree.node_not_dictionary', 'error', 1), (7, 'page_tree.pages_without_kids', 'error', 1),
+  (8, 'page_tree.invalid_kid_reference', 'error', 1), (9, 'page_tree.invalid_node_type', 'error', 1), (10, 'document.encryption_detected', 'warning', 1),
+  (11, 'document.object_stream_detected', 'info', 1), (12, 'document.xref_stream_detected', 'info', 1), (13, 'stream.unsupported_filter', 'warning', 1),
+  (14, 'image.missing_required_key', 'warning', 3), (15, 'document.incremental_updates_detected', 'info', 1), (16, 'parse.warning', 'warning', 1))
+"""
+LAZY_FAULTS = """
+WITH rule(kind, rule_id, severity) AS (VALUES
+  (0, 'lazy.page_tree.root_missing', 'warning'), (0, 'lazy.root_missing', 'error'), (1, 'lazy.page_tree.pages_missing', 'warning'), (2, 'lazy.page_tree.pages_missing', 'warning'),
+  (3, 'lazy.page_tree.pages_missing', 'warning'), (4, 'lazy.page_tree.cycle', 'warning'), (5, 'lazy.page_tree.object_unavailable', 'warning'),
+  (6, 'lazy.page_tree.non_dictionary', 'warning'), (7, 'lazy.page_tree.kids_missing', 'warning'), (8, 'lazy.page_tree.invalid_kid', 'warning'),
+  (9, 'lazy.page_tree.unexpected_type', 'warning'), (10, 'document.encryption_detected', 'warning'), (15, 'document.incremental_updates_detected', 'info'),
+  (16, 'lazy.header_missing', 'warning'), (17, 'lazy.page_tree.depth_limit', 'warning'))
+, f AS (SELECT c_custkey AS doc_id, rule_id, severity FROM customer JOIN rule ON c_custkey % 18 = kind
+  UNION ALL SELECT c_custkey, 'lazy.deep_diagnostics_deferred', 'info' FROM customer)
+"""
+
+
+@registered(FAULTS + "SELECT c_custkey AS doc_id, rule_id, severity, CAST(n AS BIGINT) AS n FROM customer JOIN rule ON c_custkey % 18 = kind")
+def faults_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents with one fault each of the page tree, the document, its streams or its head."""
+    return rules.findings(corpus.faulty(spark, sf_dir)).groupBy("doc_id", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
+@registered(LAZY_FAULTS + "SELECT doc_id, rule_id, severity FROM f")
+def lazy_faults_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the fast rules, those of the page index among them."""
+    got = parse_lazy(corpus.faulty(spark, sf_dir), "findings")
+    return got.select("doc_id", F.inline("findings")).select("doc_id", "rule_id", "severity")
+
+
+@registered(LAZY_FAULTS + """
+SELECT doc_id, 'lazy_fast_diagnostics' AS report_kind, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS info,
+  CAST(6 AS INTEGER) AS deferred, 'Scope: fast diagnostics only' AS scope, CAST(5 + CAST(doc_id % 18 = 0 AS INTEGER) + CAST(doc_id % 18 NOT IN (11, 12, 13, 14, 15) AS INTEGER) AS INTEGER) AS sections
+FROM f GROUP BY doc_id""")
+def lazy_report_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy reports, read back: counts by severity from the JSON, scope and sections from the Markdown."""
+    made = lazy_reports(corpus.faulty(spark, sf_dir))
+    shape = "report_kind string, diagnostics struct<errors:long,warnings:long,info:long>, deferred_deep_diagnostics array<string>"
+    back = made.select("doc_id", "markdown", F.from_json("report", shape).alias("r"))
+    return back.select("doc_id", "r.report_kind", "r.diagnostics.*", F.size("r.deferred_deep_diagnostics").alias("deferred"), F.regexp_extract("markdown", "(?m)^(Scope: .*)$", 1).alias("scope"), F.regexp_count("markdown", F.lit("(?m)^### ")).alias("sections"))
+
+
+@registered(LAZY_FAULTS + "SELECT doc_id, min(rule_id) AS rule_id FROM f WHERE rule_id LIKE 'lazy.page_tree.%' OR rule_id = 'lazy.header_missing' GROUP BY 1")
+def lazy_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What opening and the page walk of a lazy document warn of."""
+    return parse_lazy(corpus.faulty(spark, sf_dir), "notes").select("doc_id", F.inline("notes")).select("doc_id", "rule_id")
+
+
+@registered(ORACLES["content_warnings"].replace("SELECT doc_id, rule_id, count(*) AS n FROM w", "SELECT doc_id, 'lazy.deep.' || rule_id AS rule_id, count(*) AS n FROM w"))
+def deep_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep diagnostics of the first page of each document, by rule."""
+    docs = corpus.event_content(spark, sf_dir)
+    targets = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit("page").alias("kind"), F.lit(1).alias("number"), F.lit(0).alias("gen")).distinct()
+    found = deep_diagnostics(docs, targets).select("doc_id", F.inline("findings"))
+    return found.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+
+
+@registered("""
+SELECT s_suppkey AS doc_id, 'object' AS scope, 'Object 2 0 R' AS target, '1' AS referenced, false AS partial FROM supplier
+UNION ALL SELECT s_suppkey, 'stream', 'Stream 4 0 R', NULL, false FROM supplier""")
+def deep_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep diagnostics of a page tree node and of a content stream of each document."""
+    docs = corpus.suppliers(spark, sf_dir)
+    keys = corpus.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    ask = lambda kind, number: keys.select("doc_id", F.lit(kind).alias("kind"), F.lit(number).alias("number"), F.lit(0).alias("gen"))
+    got = deep_diagnostics(docs, ask("object", 2).unionByName(ask("stream", 4)))
+    referenced = F.get(F.filter("details", lambda d: d["name"] == "Referenced objects"), 0)["value"]
+    return got.select("doc_id", "scope", "target", referenced.alias("referenced"), "partial")
+
+
+@registered(OPS + """
+, t AS (SELECT doc_id, string_agg(event_id || ' ' || name, chr(10) ORDER BY i) AS content FROM o GROUP BY 1)
+SELECT doc_id, CAST(length(content) AS BIGINT) AS actual_length, CAST(length(content) AS BIGINT) AS decoded_length, content AS preview, CAST(0 AS INTEGER) AS warnings, true AS can_export FROM t""")
+def lazy_stream_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content streams read by ranges, with their previews."""
+    views = parse_lazy(corpus.event_content(spark, sf_dir), "stream_views").select("doc_id", F.inline("stream_views"))
+    return views.select("doc_id", "actual_length", "decoded_length", F.col("decoded_preview").cast("string").alias("preview"), F.size("warnings").alias("warnings"), (F.col("can_export_raw") & F.col("can_export_decoded")).alias("can_export"))
+
+
+@registered("SELECT c_custkey AS doc_id, CAST(11 AS INTEGER) AS nodes, 'lazy open, ' || (6 + CAST(c_custkey % 8 IN (3, 5) AS INTEGER)) || ' xref entrie(s), ' || (5 + CAST(c_custkey % 8 IN (3, 5) AS INTEGER)) || ' in-use object(s)' AS summary FROM customer WHERE c_custkey % 8 NOT IN (3, 5)"
+            " UNION ALL SELECT c_custkey, 12, 'lazy open, 7 xref entrie(s), 6 in-use object(s)' FROM customer WHERE c_custkey % 8 IN (3, 5)")
+def lazy_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first look at each document: trailer, catalog and entries."""
+    got = parse_lazy(corpus.customers(spark, sf_dir), "tree")
+    return got.select("doc_id", F.size("tree").alias("nodes"), F.col("tree")[0]["summary"].alias("summary"))
+
+
+@registered("""
+SELECT CAST(n_regionkey AS BIGINT) AS doc_id, '/X' || n_nationkey || ' Image' AS label, CAST(6 AS BIGINT) AS obj FROM nation WHERE n_nationkey % 2 = 1""")
+def page_link_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of pages that a search finds by label or number."""
+    links = relation(parse(corpus.nations(spark, sf_dir), "page_links"), "page_links")
+    return search.search_page_links(links, " image 6 0 ").select("doc_id", "label", "obj")
+
+
+@registered(RECTS + """
+, w AS (SELECT doc_id, obj, n::DOUBLE AS x, q FROM a)
+SELECT doc_id, obj, round(x / 200 * 100, 9) AS "left", round(100 - (x + 2 * q) / 200 * 100, 9) AS top, round(greatest(1, q / 200 * 100), 9)::DOUBLE AS width, round(greatest(1, 2 * q / 200 * 100), 9)::DOUBLE AS height FROM w""")
+def annotation_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where annotations lie on their page, in per cent from the top left."""
+    parsed = parse(corpus.annotated(spark, sf_dir), "annotations", "pages").select("doc_id", "pages", F.explode("annotations").alias("a"))
+    place = search.overlay(F.col("a"), F.get(F.filter("pages", lambda p: p["page"] == F.col("a.page")), 0)["media_box"])
+    rows = parsed.select("doc_id", "a.obj", place.alias("p"))
+    return rows.select("doc_id", "obj", F.round("p.left", 9).alias("left"), F.round("p.top", 9).alias("top"), F.round("p.width", 9).alias("width"), F.round("p.height", 9).alias("height"))
+
+
+@registered(RECTS + "SELECT doc_id, obj, 'order ' || l_orderkey AS contents FROM a WHERE obj BETWEEN 20 AND 29")
+def annotation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each document's list of annotations: ten from the eleventh."""
+    rows = relation(parse(corpus.annotated(spark, sf_dir), "annotations"), "annotations")
+    return search.window(rows, ["doc_id"], "ord", 10, 10).select("doc_id", "obj", "contents")
+
+
+@registered("SELECT s_suppkey AS doc_id, '1,0,0,0,0,0' AS path FROM supplier")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first node of each document's tree stands that stands for its font."""
+    tree = relation(parse(corpus.suppliers(spark, sf_dir), "tree"), "tree")
+    return search.find_path(tree, 5, 0).select("doc_id", F.array_join("path", ",").alias("path"))
+
+
+@registered(OPS + "SELECT doc_id, kind, count(*) AS n FROM o, (VALUES ('keyword'), ('number')) k(kind) GROUP BY ALL")
+def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of content streams by kind."""
+    tokens = relation(parse(corpus.event_content(spark, sf_dir), "tokens"), "tokens")
+    return tokens.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@registered("""
+WITH r AS (SELECT user_id, event_type || '.PDF' AS path, max(ts) AS opened_at FROM events WHERE event_type <> 'view' GROUP BY ALL),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY opened_at DESC, path) AS INTEGER) AS place FROM r)
+SELECT user_id, path, place FROM p WHERE place <= 3""")
+def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that each user opened last; what is no PDF doesn't count."""
+    events = corpus.table(spark, sf_dir, "events")
+    opened = events.select("user_id", F.concat("event_type", F.when(F.col("event_type") == "view", ".txt").otherwise(".PDF")).alias("path"), F.col("ts").alias("opened_at"))
+    return search.recent_files(opened, ["user_id"], 3).select("user_id", "path", "place")
+
+
+@registered("""
+WITH t AS (SELECT doc_id, substr(repeat(chr(1), doc_id % 40) || coalesce(text, ''), 1, 8192) AS s, least(doc_id % 40, 8192) AS odd FROM documents)
+SELECT doc_id, odd > 24 OR odd > 0.02 * length(s) AS is_binary FROM t""")
+def binary_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which previews are no text; each document's text is led in by some control characters."""
+    docs = corpus.table(spark, sf_dir, "documents")
+    text = F.concat(F.repeat(F.lit(chr(1)), (F.col("doc_id") % 40).cast("int")), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", search.looks_binary(text).alias("is_binary"))
+
+
+@registered("SELECT CAST(n_regionkey AS BIGINT) AS doc_id, string_agg(k, ',' ORDER BY k) AS names FROM (SELECT DISTINCT n_regionkey, 'N' || unnest([n_nationkey, n_nationkey + 1]) AS k FROM nation) GROUP BY 1")
+def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fonts that a page has or uses, each once."""
+    checks = relation(parse(corpus.nations(spark, sf_dir), "page_checks"), "page_checks")
+    return checks.select("doc_id", F.array_join(F.sort_array(search.merged(F.col("fonts"), F.col("fonts_used"))), ",").alias("names"))

@@ -265,3 +265,53 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return b.table(ROOT.format(7)).bytes()
 
     return render(rows, build)
+
+
+PAGE = "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 9 9] /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>"
+# The documents of faulty(), by kind: the catalog, the root of the page tree, object 8 and the trailer; None is as in a sound document.
+FAULTS = (
+    (None, None, None, "<< /Size 9 >>"),  # no catalog
+    ("[1 2]", None, None, None),  # a catalog that is no dictionary
+    ("<< /Type /Catalog >>", None, None, None),  # no pages
+    ("<< /Type /Catalog /Pages << /Kids [] >> >>", None, None, None),  # pages that are no reference
+    (None, "<< /Type /Pages /Kids [3 0 R 2 0 R] /Count 1 >>", None, None),  # a cycle
+    (None, "<< /Type /Pages /Kids [3 0 R 77 0 R] /Count 1 >>", None, None),  # a missing node
+    (None, "<< /Type /Pages /Kids [3 0 R 8 0 R] /Count 1 >>", "(text)", None),  # a node that is no dictionary
+    (None, "<< /Type /Pages /Kids [3 0 R 8 0 R] /Count 1 >>", "<< /Type /Pages >>", None),  # a node without kids
+    (None, "<< /Type /Pages /Kids [3 0 R 12] /Count 1 >>", None, None),  # a kid that is no reference
+    (None, "<< /Type /Pages /Kids [3 0 R 8 0 R] /Count 1 >>", "<< /Type /Font >>", None),  # a node of another type
+    (None, None, None, "<< /Root 1 0 R /Size 9 /Encrypt << /V 1 >> >>"),  # encryption
+    (None, None, "<< /Type /ObjStm /N 0 /First 0 >>", None),  # an object stream
+    (None, None, "<< /Type /XRef >>", None),  # a cross-reference stream
+    (None, None, "<< /Filter /JBIG2Decode >>", None),  # a filter that isn't supported
+    (None, None, "<< /Subtype /Image /Width 1 >>", None),  # an image without three of its keys
+    (None, None, None, None),  # an update, see faulty_document()
+    (None, None, None, None),  # no header
+    (None, "<< /Type /Pages /Kids [3 0 R 100 0 R] /Count 1 >>", None, None),  # a tree 80 nodes deep
+)
+DEPTH = 80
+
+
+def faulty_document(kind: int) -> bytes:
+    """A document with one fault of those that FAULTS lists."""
+    catalog, tree, other, trailer = FAULTS[kind]
+    b = Builder("1.4").add(1, catalog or "<< /Type /Catalog /Pages 2 0 R >>").add(2, tree or "<< /Type /Pages /Kids [3 0 R] /Count 1 >>").add(3, PAGE).stream(4, TEXT).add(5, FONT)
+    if other and other.startswith("<<") and kind >= 11:
+        b.stream(8, b"", other[2:-2])
+    elif other:
+        b.add(8, other)
+    if kind == 17:
+        for i in range(DEPTH):
+            b.add(100 + i, f"<< /Type /Pages /Kids [{101 + i} 0 R] >>")
+        b.add(100 + DEPTH, PAGE)
+    b.table(trailer or ROOT.format(9))
+    if kind == 15:
+        start = b.out.rfind(b"xref\n0 ")
+        b.add(8, "(new)").table(f"<< /Root 1 0 R /Size 9 /Prev {start} >>")
+    return b.bytes().replace(b"%PDF-", b"%XXX-") if kind == 16 else b.bytes()
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per customer; its fault is the key modulo the number of kinds."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return render(rows, lambda r: faulty_document(r["doc_id"] % len(FAULTS)))

@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelode.functions import content, filters, structure
 from pagelode.functions.document import parse_document
@@ -225,13 +226,35 @@ def test_files_and_errors(spark, tmp_path):
 
 
 def test_streaming_ingestion(spark, tmp_path):
-    from pagelode.streaming.ingest import latest, stream_pdfs, write_relations
+    """The latest version of a path counts across batches, and a batch that runs again adds nothing."""
+    import os
+    import shutil
+
+    from pagelode.streaming.ingest import current, stream_pdfs, write_relations
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.pdf").write_bytes(minimal())
-    query = write_relations(stream_pdfs(spark, str(tmp_path / "in")), lambda df: relation(parse(latest(df), "metadata"), "metadata").select("file_name", "page_count"), str(tmp_path / "out"), str(tmp_path / "check"))
-    query.awaitTermination()
-    assert [r["page_count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    out = str(tmp_path / "out")
+
+    def arrive(check: str) -> None:
+        made = lambda df: relation(parse(df, "metadata"), "metadata").select("doc_id", "file_size", "page_count")
+        docs = stream_pdfs(spark, str(tmp_path / "in")).withColumn("doc_id", F.regexp_extract("path", r"/(\w)\d\.pdf$", 1))
+        write_relations(docs, made, out, str(tmp_path / check)).awaitTermination()
+
+    def now() -> list:
+        return sorted((r["doc_id"], r["page_count"], r["file_size"]) for r in current(spark, out).collect())
+
+    (tmp_path / "in" / "a1.pdf").write_bytes(minimal())
+    arrive("check")
+    assert now() == [("a", 1, len(minimal()))]
+    shutil.copytree(tmp_path / "check", tmp_path / "before")
+    (tmp_path / "in" / "a2.pdf").write_bytes(defective(3))
+    os.utime(tmp_path / "in" / "a2.pdf", (2e9, 2e9))
+    (tmp_path / "in" / "b1.pdf").write_bytes(minimal())
+    arrive("check")
+    want = [("a", 1, len(defective(3))), ("b", 1, len(minimal()))]
+    assert now() == want
+    arrive("before")  # the second batch once more
+    assert now() == want and spark.read.parquet(f"{out}/rows").count() == 3
 
 
 def test_exports(spark, tmp_path):
@@ -249,3 +272,109 @@ def test_images_relation(spark):
     b = simple(TEXT).stream(6, b"123", "/Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB")
     docs = spark.createDataFrame([(1, bytearray(b.table(ROOT.format(7)).bytes()))], "doc_id long, content binary")
     assert relation(parse(docs, "images"), "images").first()["renderable"]
+
+
+def test_over_limit_files_are_errors(spark, monkeypatch, tmp_path):
+    from pagelode.sources.files import read_pdfs
+
+    (tmp_path / "a.pdf").write_bytes(minimal())
+    (tmp_path / "b.pdf").write_bytes(minimal() + b"%" * 5000)
+    got = {r["doc_id"].rsplit("/", 1)[1]: r for r in parse(read_pdfs(spark, str(tmp_path), most=4000), "metadata").collect()}
+    assert got["a.pdf"]["error"] is None and got["a.pdf"]["metadata"]["page_count"] == 1
+    assert got["b.pdf"]["metadata"] is None and "over the full parse limit" in got["b.pdf"]["error"]
+    assert parse(spark.createDataFrame([(1, None)], "doc_id long, content binary"), "metadata").first()["error"] == "ValueError: file has no content"
+
+
+def test_every_filter_has_a_bound(monkeypatch):
+    from pagelode.functions import filters
+
+    monkeypatch.setattr(filters, "BOMB_LIMIT", 1000)
+    for name, raw in (("RunLengthDecode", b"\x81a" * 100), ("ASCII85Decode", b"z" * 300 + b"~>"), ("ASCIIHexDecode", b"41" * 2000 + b">"), ("FlateDecode", zlib.compress(bytes(5000)))):
+        got = filters.decode(raw, [name])
+        assert got.issues and "exceeds output limit of 1000 bytes" in got.issues[0][2]
+
+
+def test_ascii85_matches_the_standard_library():
+    import base64
+    import random
+
+    from pagelode.functions.filters import FilterError, ascii85
+
+    rng = random.Random(1)
+    for n in [*range(12), 50, 333]:
+        data = bytes(rng.choice([0, 0, 0, rng.randrange(256)]) for _ in range(n))
+        coded = base64.a85encode(data)
+        assert ascii85(b"<~" + coded[:7] + b"\n " + coded[7:] + b"~>", None) == data
+    for bad, message in ((b"ab|", "invalid ASCII85 byte 0x7C"), (b"abz|", "'z' short form"), (b"a|bz", "invalid ASCII85 byte 0x7C"), (b"abcdef", "only one digit")):
+        with pytest.raises(FilterError, match=message):
+            ascii85(bad, None)
+
+
+def test_safe_saves_and_guarded_exports(spark, tmp_path):
+    from pagelode.operators.exports import ExportError, draft_snapshots, export_documents, export_lazy_streams, save_in_place
+
+    for name, data in (("a", minimal()), ("b", defective(3))):
+        (tmp_path / f"{name}.pdf").write_bytes(data)
+    path = lambda name: str(tmp_path / f"{name}.pdf")
+    edited = minimal().replace(b"200 200", b"300 300")
+    rows = spark.createDataFrame([(path("a"), bytearray(edited)), (path("b"), bytearray(b"no document")), (path("c"), bytearray(edited)), (path("b"), None)], "path string, content binary")
+    got = [(r["path"], r["bytes"], r["error"]) for r in save_in_place(rows).collect()]
+    assert (path("a"), len(edited), None) in got and sum(e is not None for *_, e in got) == 3
+    assert (tmp_path / "a.pdf").read_bytes() == edited and (tmp_path / "b.pdf").read_bytes() == defective(3)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.pdf", "b.pdf"]
+    docs = spark.createDataFrame([(1, path("a"), bytearray(edited)), (2, path("b"), bytearray(defective(3)))], "doc_id long, path string, content binary")
+    with pytest.raises(ExportError):
+        export_documents(docs, str(tmp_path), sources=[f"file://{tmp_path}"])
+    wanted = spark.createDataFrame([(1, 4, 0), (2, 6, 0), (2, 3, 0), (1, 99, 0)], "doc_id long, obj long, gen int")
+    got = {(r["doc_id"], r["obj"]): (r["bytes"], r["error"]) for r in export_lazy_streams(docs, wanted, str(tmp_path / "raw")).collect()}
+    assert got[(1, 4)] == (len(TEXT), None) and got[(2, 6)] == (20, None) and got[(2, 3)][1] == "stream 3 0 R was not found" and "was not found" in got[(1, 99)][1]
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) == ["1-4-0.bin", "2-6-0.bin"] and (tmp_path / "raw" / "1-4-0.bin").read_bytes() == TEXT
+    got = {(r["doc_id"], r["obj"]): r["error"] for r in export_lazy_streams(docs, wanted.filter("obj in (4, 6)"), str(tmp_path / "decoded"), decoded=True).collect()}
+    assert got[(1, 4)] is None and got[(2, 6)].startswith("/FlateDecode: ")
+    edits = spark.createDataFrame([(1, 0, 2, 0, ["Count"], "7", None)], "doc_id long, ord int, obj long, gen int, path array<string>, value string, stream_text string")
+    draft_snapshots(docs, edits, str(tmp_path / "drafts"))
+    assert [p.name for p in (tmp_path / "drafts").iterdir()] == ["1-draft.pdf"] and b"/Count 7" in (tmp_path / "drafts" / "1-draft.pdf").read_bytes() and (tmp_path / "a.pdf").read_bytes() == edited
+
+
+def test_lazy_limits(monkeypatch):
+    from pagelode.functions import lazy
+
+    def walked(data, only=None):
+        doc = lazy.open_lazy(lazy.BytesReader(data))
+        return [p.number for p in doc.page_index(only)], [(n.rule, n.message) for n in doc.notes]
+
+    kids = " ".join(f"{10 + i} 0 R" for i in range(6))
+    b = Builder().add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, f"<< /Type /Pages /Kids [{kids}] >>")
+    for i in range(6):
+        b.add(10 + i, "<< /Type /Page >>")
+    data = b.table(ROOT.format(20)).bytes()
+    assert walked(data) == ([1, 2, 3, 4, 5, 6], []) and walked(data, 3) == ([3], [])
+    monkeypatch.setattr(lazy, "PAGES", 4)
+    assert walked(data) == ([1, 2, 3, 4], [("lazy.page_tree.page_limit", "Page tree traversal reached page limit 4")])
+    monkeypatch.setattr(lazy, "PAGE_NODES", 3)
+    assert walked(data) == ([1, 2], [("lazy.page_tree.node_limit", "Page tree traversal reached node limit 3")])
+    big = simple(b"x" * 3000).table(ROOT.format(6)).bytes()
+    monkeypatch.setattr(lazy, "PREVIEW", 1000)
+    view = lambda: lazy.open_lazy(lazy.BytesReader(big)).stream_view((4, 0))
+    assert [w[0] for w in view()["warnings"]] == ["lazy.stream.preview_truncated", "lazy.stream.decoded_preview_truncated"] and len(view()["raw_preview"]) == 1000
+    monkeypatch.setattr(lazy, "STREAM_IN", 2000)
+    monkeypatch.setattr(lazy, "EXPORT_RAW", 2500)
+    got = view()
+    assert [w[0] for w in got["warnings"]] == ["lazy.stream.preview_truncated", "lazy.stream.decode_preview_skipped", "lazy.stream.raw_export_limit"]
+    assert not got["can_export_raw"] and not got["can_export_decoded"] and got["decoded_preview"] is None
+    with pytest.raises(lazy.LazyError, match="export limit 2500"):
+        lazy.open_lazy(lazy.BytesReader(big)).export((4, 0))
+    monkeypatch.setattr(lazy, "XREF_CHILDREN", 2)
+    tree = lazy.open_lazy(lazy.BytesReader(big)).tree()
+    assert [n.label for n in tree][-3:] == ["1 0 R", "2 0 R", "More xref objects"] and tree[-1].summary == "3 additional in-use object(s) hidden in this first lazy tree"
+
+
+def test_xref_sections_read_odd_tables():
+    from pagelode.functions.document import xref_section
+
+    table = b"xref\r\n0 2\r\n0000000000 65535 f \r\n0000000017 00000 n \r\n\r\n5 1 \n 0000000099 00002 n\ngarbage\ntrailer\n<< /Size 3 /Prev 12 >>"
+    assert xref_section(table, 0, None)[0] == [((0, 65535), 0, False), ((1, 0), 17, True), ((5, 2), 99, True)]
+    assert xref_section(b"xref\n0 1\nbroken line\ntrailer << /Prev 7 >>", 0, None) == ([], ("Dictionary", {"Prev": ("Number", 7.0)}), 7)
+    notes = []
+    assert xref_section(b"xref\n0 0\ntrailer", 0, notes)[1] is None and notes == [(16, "Could not parse trailer dictionary")]
+    assert xref_section(b"none", 0, None) is None
