@@ -7,7 +7,9 @@ and progressively shorter ones after. Words are runs of letters, lower case.
 The model is fitted on a bounded sample of the labelled training rows, at most
 `max_rows` rows and `max_chars` characters of each language, picked by a hash
 of the key (documented bounds; every row is used while they aren't reached).
-Counting is done by Spark. Every text is then scored whole.
+Counting, of n-grams too, is done by Spark. A word or n-gram that the sample
+holds fewer than `least` times has no row of its own; the n-grams of such a word
+count all the same. Every text is then scored whole.
 
 Null text or text without a letter: `und`, score 0. No training rows at all:
 `und`, score 0. No known piece in the text: the language with the most training
@@ -33,6 +35,7 @@ MAX_ROWS = 4_000
 MAX_CHARS = 12_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
+LEAST = 2
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -49,31 +52,31 @@ def grams(word: str, order: int) -> list[str]:
 class Model:
     """Log frequencies by language, one row for each word and for each n-gram, the mean of a row taken off."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], priors: dict[str, int]):
+    def __init__(self, counts: list[tuple[str, int, str, int]], priors: dict[str, int]):
+        """counts: piece, order (0 for a whole word, else the length of an n-gram), language, number."""
         self.langs = sorted(priors)
         at = {lang: i for i, lang in enumerate(self.langs)}
         self.prior = np.array([priors[x] for x in self.langs], float)
-        words: dict[str, np.ndarray] = {}
-        pieces: dict[int, dict[str, np.ndarray]] = {n: {} for n in ORDERS}
-        zero = np.zeros(len(self.langs))
-        for lang, word, n in counts:
-            words.setdefault(word, zero.copy())[at[lang]] += n
-            for order in ORDERS:
-                for g in grams(word, order):
-                    pieces[order].setdefault(g, zero.copy())[at[lang]] += n
-        self.logs = np.zeros((0, len(self.langs)))
-        self.words = self._add({w: c for w, c in words.items() if c.sum() > 1})
-        self.pieces = {n: self._add({g: c for g, c in t.items() if c.sum() > 1}) for n, t in pieces.items()}
-
-    def _add(self, table: dict[str, np.ndarray]) -> dict[str, int]:
-        """Rows for table's entries; where each one's row is."""
-        if not table:
-            return {}
-        m = np.stack(list(table.values())) + SMOOTHING
-        logs = np.log(m / m.sum(0))
-        start = len(self.logs)
-        self.logs = np.concatenate([self.logs, logs - logs.mean(1, keepdims=True)])
-        return {key: start + i for i, key in enumerate(table)}
+        self.words: dict[str, int] = {}
+        self.pieces: dict[int, dict[str, int]] = {n: {} for n in ORDERS}
+        parts = [np.zeros((0, len(self.langs)))]
+        start = 0
+        for order in (0, *ORDERS):
+            own = [(piece, lang, n) for piece, o, lang, n in counts if o == order]
+            rows = {piece: i for i, piece in enumerate(sorted({piece for piece, *_ in own}))}
+            table = np.full((len(rows), len(self.langs)), SMOOTHING)
+            for piece, lang, n in own:
+                table[rows[piece], at[lang]] += n
+            if rows:
+                logs = np.log(table / table.sum(0))
+                parts.append(logs - logs.mean(1, keepdims=True))
+            held = {piece: start + i for piece, i in rows.items()}
+            if order:
+                self.pieces[order] = held
+            else:
+                self.words = held
+            start += len(rows)
+        self.logs = np.concatenate(parts)
 
     def backoff(self, word: str) -> list[int]:
         """Rows of the known n-grams of the longest order that has any."""
@@ -108,7 +111,22 @@ class Model:
         return self.langs[best], float(shares[best] / shares.sum())
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+def piece_counts(words: DataFrame, least: int = LEAST) -> DataFrame:
+    """piece, order, lang and number of all words and n-grams of words (lang, word, n) that occur at least `least` times in all languages together."""
+    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+
+    def grams_of(order: int) -> Column:
+        starts = F.when(F.length(marked) >= order, F.sequence(F.lit(1), F.length(marked) - (order - 1)))
+        return F.transform(starts, lambda i: F.struct(F.substring(marked, i, F.lit(order)).alias("piece"), F.lit(order).alias("order")))
+
+    own = F.array(F.struct(F.col("word").alias("piece"), F.lit(0).alias("order")))
+    every = F.concat(own, *[F.coalesce(p, F.filter(own, lambda x: F.lit(False))) for p in map(grams_of, ORDERS)])
+    counted = words.select("lang", "n", F.inline(every)).groupBy("piece", "order", "lang").agg(F.sum("n").alias("number"))
+    by = counted.groupBy("piece", "order").agg(F.sum("number").alias("total"), F.collect_list(F.struct("lang", "number")).alias("langs"))
+    return by.filter(F.col("total") >= least).select("piece", "order", F.inline("langs"))
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, least: int = LEAST) -> Model:
     """The model of the labelled rows of df; rows without text or language are no training rows."""
     rows = df.select(df[key].alias("key"), df[text].alias("text"), df[lang].alias("lang")).filter("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
@@ -118,8 +136,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     of_lang = F.create_map(*[F.lit(x) for lang_part in part.items() for x in lang_part])[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit(9), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     words = rows.filter(draw < of_lang).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("lang", "word").count().filter("count > 1").toArrow().to_pydict()
-    return Model(list(zip(counts["lang"], counts["word"], counts["count"], strict=True)), {r["lang"]: r["n"] for r in sizes})
+    counts = piece_counts(words.groupBy("lang", "word").agg(F.count("*").alias("n")), least).select("piece", "order", "lang", "number").toArrow().to_pydict()
+    return Model(list(zip(counts["piece"], counts["order"], counts["lang"], counts["number"], strict=True)), {r["lang"]: r["n"] for r in sizes})
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
