@@ -14,8 +14,11 @@ source, and that last one is drawn. So a source's words miss its target by
 less than one document.
 
 A null text has size 0 and is never taken. A null source is a source of its
-own, after the others. Repeated rows are rounded separately. An empty table
-gives an empty result. Columns other than those named are not read.
+own, after the others. Repeated rows are rounded separately; where keys repeat, a
+row's number joins its key, so that copies of one row spread over all leaves
+(which of them is taken then hangs on the order of the input). An empty table
+gives an empty result. Columns other than those named are not read. Targets are
+found from one row per source, in one task; the rounding isn't.
 """
 
 from __future__ import annotations
@@ -94,6 +97,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     rows = cut(df.select(df[key].alias("_key"), df[source].alias("source"), words(df[text]).alias("size")))
+    repeats = rows.groupBy("_key").count().filter("count > 1").limit(1).count()
+    rows = rows.withColumn("_row", F.monotonically_increasing_id() if repeats else F.lit(0).cast("long"))
     targets = cut(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     small = targets.count() <= SOURCES_BROADCAST
     t = targets.withColumnRenamed("source", "_source")
@@ -103,13 +108,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(F.lit(0.0)))
     group = ["source", "source_size", "target", "whole"]
     settled = rows.filter("p = 0").select(*group, F.col("_key").cast("string").alias("key"), "size", F.col("p"))
-    open_rows = rows.filter("p > 0").select(*group, F.struct("size", F.col("_key").cast("string").alias("key"), F.xxhash64(F.lit(seed), "_key", "size").alias("tie"), "p").alias("item"))
+    open_rows = rows.filter("p > 0").select(*group, F.struct("size", F.col("_key").cast("string").alias("key"), F.xxhash64(F.lit(seed), "_key", "size", "_row").alias("tie"), "p").alias("item"))
     n = rows.count()
     depth = max(1, math.ceil(math.log(max(n, 2)) / math.log(FAN_IN)))
     left = open_rows
     for level in range(depth, -1, -1):
         leaves = FAN_IN ** max(level - 1, 0)
-        slot = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("item.key"), F.col("item.size")), F.lit(leaves))
+        slot = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("item.key"), F.col("item.size"), F.col("item.tie")), F.lit(leaves))
         folded = left.groupBy(*group, slot.alias("slot")).agg(F.collect_list("item").alias("items"))
         folded = folded.select(*group, _settle(F.sort_array("items", asc=False), seed + level).alias("r"))
         folded = cut(folded)
