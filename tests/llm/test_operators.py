@@ -593,3 +593,110 @@ def test_language_id(spark, empty, odd):
     assert langid.identify(odd, model).count() == odd.count()
     none = langid.fit(empty)
     assert {r["lang_pred"] for r in collected(langid.identify(odd, none))} == {"und"}
+
+
+def test_language_id_by_hand(spark, odd):
+    """Scores of a small model added up piece by piece, and a long text."""
+    texts = [(0, "the cat the dog", "en", None), (2, "le chat le chien", "fr", None), (3, "the hat, the ÉTÉ", "en", None), (5, "le chien été", "fr", None), (6, "solo", "it", None)]
+    docs = make(spark, texts)
+    model = langid.fit(docs)
+    langs = sorted({r[2] for r in texts})
+    words = {lang: collections.Counter(w for _, t, own, _ in texts if own == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    pieces = {n: {lang: collections.Counter() for lang in langs} for n in range(1, 6)}
+    for lang in langs:
+        for w, k in words[lang].items():
+            for n in pieces:
+                for i in range(len(w) + 3 - n):
+                    pieces[n][lang][f"^{w}$"[i : i + n]] += k
+
+    def row(table, piece):
+        kept = [p for p in set().union(*table.values()) if sum(table[x][p] for x in langs) >= 2]
+        if piece not in kept:
+            return None
+        logs = [math.log((table[x][piece] + 0.5) / sum(table[x][p] + 0.5 for p in kept)) for x in langs]
+        return [v - sum(logs) / len(langs) for v in logs]
+
+    def predicted(text):
+        total = [0.0] * len(langs)
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        for w in found:
+            rows = [row(words, w)] if row(words, w) else []
+            for n in (5, 4, 3, 2, 1):
+                grams = [row(pieces[n], f"^{w}$"[i : i + n]) for i in range(len(w) + 3 - n)]
+                rows = rows or [r for r in grams if r]
+            for r in rows:
+                total = [t + v / len(rows) for t, v in zip(total, r, strict=True)]
+        if not found:
+            return "und", 0.0
+        shares = [math.exp(t - max(total)) for t in total]
+        return langs[shares.index(max(shares))], max(shares) / sum(shares)
+
+    asked = ["the chien", "lechat", "thehat dog été", "", None, "123", "zzz", "solo soli", "cat " * 3]
+    long = "the " * 300_000 + "le " * 100
+    got = {r["doc_id"]: r for r in collected(langid.identify(make(spark, [(i, t, None, None) for i, t in enumerate([*asked, long])]), model))}
+    for i, t in enumerate(asked):
+        want = predicted(t)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (want[0], pytest.approx(want[1])), t
+    assert got[len(asked)]["lang_pred"] == "en" and got[len(asked)]["score"] == pytest.approx(1.0)
+
+
+def test_mixing_spreads_copies_of_one_row(spark):
+    df = spark.range(4000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one row of five words").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(df.unionByName(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("t").alias("source"))))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t"), F.count("*").alias("n"), F.max("copies").alias("most")).collect():
+        assert abs(r["k"] - r["t"]) <= 5 and r["n"] == {"s": 4000, "t": 100}[r["source"]] and r["most"] <= 2
+
+
+def near_pairs(rows):
+    """All pairs of keys whose texts are near, by comparing everything with everything."""
+    profiles = list(probminhash.Weights().profiles([t.encode() for _, t in rows]))
+    by = collections.defaultdict(list)
+    for i, (keys, _) in enumerate(profiles):
+        for k in keys.tolist():
+            by[k].append(i)
+    pairs = {(a, b) for held in by.values() for x, a in enumerate(held) for b in held[x + 1 :]}
+    return [(a, b) for a, b in pairs if probminhash.probability_jaccard(profiles[a], profiles[b]) >= 0.8]
+
+
+def test_probminhash_finds_every_near_link(spark):
+    """Copies with few and with many edits, around the threshold: no link between different texts is lost."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(60):
+        words = prose(rng, 200, 300).split()
+        texts.append(" ".join(words))
+        for _ in range(4):
+            copy = words.copy()
+            for _ in range(rng.randint(1, 9)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    links = near_pairs(rows)
+    parent = list(range(len(rows)))
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert 100 < len(links) < 600
+    got = {r["doc_id"]: r["class_id"] for r in collected(probminhash.near_duplicate_classes(make(spark, [(i, t, None, None) for i, t in rows])))}
+    assert got == {i: root(i) for i, _ in rows}
+
+
+def test_texts_of_more_than_a_piece(spark):
+    """Long texts through the word operators: equal passages across the cuts are found, near copies are near."""
+    rng = random.Random(41)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in ("n", "rt", "st", "xx")]
+    long = " ".join(rng.choice(words) for _ in range(250_000))
+    assert len(long) > 2 * (1 << 19)
+    other = long.split(" ")
+    other[100_000] = "changed"
+    rows = [(1, long), (2, " ".join(other)), (3, " ".join(other[150_000:150_120])), (4, "x" * (1 << 20) + " tail")]
+    df = make(spark, [(i, t, None, None) for i, t in rows])
+    got = {r["doc_id"]: r["class_id"] for r in collected(probminhash.near_duplicate_classes(df))}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in collected(recompression.without_earlier(df))}
+    assert removed == {1: (250_000, 0), 2: (250_000, 249_999), 3: (120, 120), 4: (2, 0)}
+    spans = {r["doc_id"]: r["n_removed"] for r in collected(bwt.without_repeats(df))}
+    assert spans[4] == (1 << 20) and spans[3] == len(rows[2][1]) and spans[1] > 0.99 * len(long)
+    prints = {r["doc_id"]: r["fingerprint"] for r in collected(fingerprints.fingerprint(df))}
+    assert sum(a == b for a, b in zip(prints[1], prints[2], strict=True)) > 0.95 * len(prints[1])
