@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 DataFrame that is written as Parquet and read again for the next one. All but
-the last return the columns of documents. Null and empty texts pass through.
+the last return the columns of documents.
+
+Null and empty texts pass through; they are equal to one another, so one of them
+stays after the near duplicates. Rows that repeat a key, or have none, are rows of their
+own up to the mix: a repeated row goes as an exact copy, and of rows with one key
+and different texts each stays on its own. Texts are worked on whole, however
+long. Without labels nothing is toxic. Columns beside those of documents are
+dropped by the first stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
