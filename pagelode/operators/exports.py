@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RAW_LIMIT = 512 << 20
@@ -16,6 +16,12 @@ def safe_name(text: str) -> str:
     return _UNSAFE.sub("_", text) or "_"
 
 
+def safe_text(text: Column) -> Column:
+    """safe_name() of a column."""
+    name = F.regexp_replace(text.cast("string"), _UNSAFE.pattern, "_")
+    return F.when(name == "", "_").otherwise(name)
+
+
 class ExportError(ValueError):
     pass
 
@@ -45,13 +51,13 @@ def write_files(rows: DataFrame, uri: str, sources: list[str] = ()) -> None:
 
 def export_documents(docs: DataFrame, uri: str, sources: list[str] = ()) -> None:
     """Write docs (doc_id, content) as <doc_id>.pdf."""
-    write_files(docs.select(F.concat(F.regexp_replace(F.col("doc_id").cast("string"), _UNSAFE.pattern, "_"), F.lit(".pdf")).alias("name"), F.col("content").alias("data")), uri, sources)
+    write_files(docs.select(F.concat(safe_text(F.col("doc_id")), F.lit(".pdf")).alias("name"), F.col("content").alias("data")), uri, sources)
 
 
 def export_streams(streams: DataFrame, uri: str, decoded: bool = False) -> None:
     """Write the stream_bytes relation as <doc_id>-<obj>-<gen>.bin, raw or decoded; what is over the limit or fails is left out."""
     data = F.when(F.col("clean") & (F.length("decoded") <= DECODED_LIMIT), F.col("decoded")) if decoded else F.when(F.length("raw") <= RAW_LIMIT, F.col("raw"))
-    doc = F.regexp_replace(F.col("doc_id").cast("string"), _UNSAFE.pattern, "_")
+    doc = safe_text(F.col("doc_id"))
     write_files(streams.select(F.concat_ws("-", doc, "obj", F.concat(F.col("gen").cast("string"), F.lit(".bin"))).alias("name"), data.alias("data")), uri)
 
 
@@ -152,5 +158,5 @@ def draft_snapshots(docs: DataFrame, edits: DataFrame, uri: str) -> None:
     """Write documents with their pending edits under names of their own, <doc_id>-draft.pdf; their files stay as they are."""
     from pagelode.operators.edits import apply_edits
 
-    name = F.concat(F.regexp_replace(F.col("doc_id").cast("string"), _UNSAFE.pattern, "_"), F.lit("-draft.pdf"))
+    name = F.concat(safe_text(F.col("doc_id")), F.lit("-draft.pdf"))
     write_files(apply_edits(docs, edits).select(name.alias("name"), F.col("content").alias("data")), uri)

@@ -53,6 +53,10 @@ SCHEMAS = {
     "page_objects": "page int, seq int, id string, kind string, label string, summary string, llx double, lly double, urx double, ury double, obj long, gen int, stream_obj long, stream_gen int, start long, end long, text string, properties array<struct<name:string,value:string>>, warnings array<string>",
     "page_object_warnings": "page int, ord int, rule_id string, obj long, gen int, message string",
     "images": "obj long, gen int, width int, height int, bits int, color_space string, jpeg boolean, renderable boolean",
+    "image_previews": "obj long, gen int, media string, width int, height int, rgb binary, data binary",
+    "inspections": "obj long, gen int, object_type string, summary string, raw_length long, keys array<string>, references array<struct<obj:long,gen:int>>, declared_length long, actual_length long, decoded_length long",
+    "previews": "obj long, gen int, raw string, hex string, decoded string, truncated boolean",
+    "content_views": "obj long, gen int, i int, name string, operands int, known boolean, explanation string, start long, end long",
     "tokens": "obj long, gen int, i int, kind string, lexeme string, start long, end long",
     "operators": "obj long, gen int, i int, name string, start long, end long, operands array<string>",
 }
@@ -190,6 +194,44 @@ def _images(doc: Document):
             yield *o.ref, *[meta[k] for k in ("width", "height", "bits", "color_space", "jpeg", "renderable")]
 
 
+def _image_previews(doc: Document):
+    """Images that can be shown: JPEG data as it stands, other samples as RGB and as a PNG file."""
+    for o in doc.ordered():
+        meta = views.image_metadata(o) if o.stream else None
+        if meta and meta["jpeg"]:
+            got = o.stream.decode()
+            if not got.issues:
+                yield *o.ref, "image/jpeg", meta["width"], meta["height"], None, got.data
+        elif meta and (shown := views.pixels(o)):
+            yield *o.ref, "image/png", *shown, views.png(*shown)
+
+
+def _inspections(doc: Document):
+    for o in doc.ordered():
+        own = views.inspect_object(o)
+        stream = own["stream"] or {}
+        yield *o.ref, own["object_type"], own["value_summary"], own["raw_length"], own["dictionary_keys"], [(r["object"], r["generation"]) for r in own["references"]], stream.get("declared_length"), stream.get("actual_length"), stream.get("decoded_length")
+
+
+def _previews(doc: Document):
+    """The raw text of each object; of streams the bytes in hex and the decoded text."""
+    raw = doc.__dict__["raw"]
+    for o in doc.ordered():
+        shown = [views.stream_preview(o, mode) for mode in ("hex", "decoded")] if o.stream else [{"text": None, "truncated": False}] * 2
+        yield *o.ref, views.raw_preview(raw[o.start : o.end]), *[x["text"] for x in shown], any(x["truncated"] for x in shown)
+
+
+def _content_views(doc: Document):
+    for o in doc.ordered():
+        if o.stream and _is_content(o.stream.dictionary):
+            try:
+                own = views.content_view(o)
+            except views.NoContent:
+                continue
+            for i, op in enumerate(own["operators"]):
+                yield *o.ref, i, op["name"], len(op["operands"]), op["known"], op["explanation"], op["byte_range"]["start"], op["byte_range"]["end"]
+
+
 def _is_content(d: dict) -> bool:
     """No image and no XObject, so possibly page content."""
     return _name_of(d, "Subtype") != "Image" and _name_of(d, "Type") != "XObject"
@@ -239,6 +281,10 @@ MAKERS: dict[str, Callable] = {
     "page_objects": _page_objects,
     "page_object_warnings": _page_object_warnings,
     "images": _images,
+    "image_previews": _image_previews,
+    "inspections": _inspections,
+    "previews": _previews,
+    "content_views": _content_views,
     "tokens": _tokens,
     "operators": _operators,
 }
@@ -284,7 +330,7 @@ def parse(docs: DataFrame, *parts: str, gui: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     name = F.col("path") if "path" in docs.columns else F.col("doc_id").cast("string")
     length = F.col("length").cast("long") if "length" in docs.columns else F.length("content").cast("long")
-    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "page_warnings", "text_runs", "page_objects", "page_object_warnings", "tokens", "operators", "tree_problems"} & set(parts))
+    needs_bytes = bool({"streams", "stream_bytes", "page_checks", "page_operators", "page_warnings", "text_runs", "page_objects", "page_object_warnings", "image_previews", "inspections", "previews", "content_views", "tokens", "operators", "tree_problems"} & set(parts))
     schema = StructType().add("doc_id", kind).add("error", "string")
     for part in parts:
         schema.add(part, _struct(part) if part == "metadata" else ArrayType(_struct(part)))
@@ -295,6 +341,7 @@ def parse(docs: DataFrame, *parts: str, gui: bool = False) -> DataFrame:
             if data is None or len(data) > FULL_LIMIT:
                 raise ValueError("file has no content" if size is None else f"file is {size} bytes, over the full parse limit of {FULL_LIMIT}")
             doc = parse_document(data, skip_invalid=gui, keep_streams=needs_bytes)
+            doc.__dict__["raw"] = data
             made = []
             for part in parts:
                 if part == "metadata":

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.operators import search
-from pagelode.operators.edits import apply_edits
+from pagelode.operators.edits import apply_edits, check_values
+from pagelode.operators.exports import safe_text
 from pagelode.operators.relations import parse, relation
 from pagelode.plans import reports, rules
 from pagelode.sources import corpus
@@ -511,3 +512,194 @@ def font_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fonts that a page has or uses, each once."""
     checks = relation(parse(corpus.nations(spark, sf_dir), "page_checks"), "page_checks")
     return checks.select("doc_id", F.array_join(F.sort_array(search.merged(F.col("fonts"), F.col("fonts_used"))), ",").alias("names"))
+
+
+@registered("""
+SELECT s_suppkey AS doc_id, CAST(4 AS INTEGER) AS object_count, s_suppkey % 5 = 0 AS linearized, CASE WHEN s_suppkey % 5 <> 2 THEN '1 0 R' END AS root,
+  CAST(CASE s_suppkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS warnings FROM supplier""")
+def damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects found without a usable table, by scanning for sections or for objects."""
+    meta = relation(parse(corpus.damaged(spark, sf_dir), "metadata"), "metadata")
+    return meta.select("doc_id", "object_count", "linearized", "root", F.col("parse_warning_count").alias("warnings"))
+
+
+@registered("""
+SELECT c_custkey AS doc_id, CAST(5 + CAST(c_custkey % 8 IN (3, 5) AS INTEGER) - CAST(c_custkey % 8 = 2 AS INTEGER) AS INTEGER) AS object_count,
+  CASE WHEN c_custkey % 8 = 2 THEN 'Skipped 1 in-use xref object(s) whose offsets did not resolve to the expected object' END AS warning FROM customer""")
+def skipped_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading mode that skips entries whose offsets fail."""
+    parsed = parse(corpus.customers(spark, sf_dir), "metadata", "warnings", gui=True)
+    return parsed.select("doc_id", "metadata.object_count", F.get("warnings", 0)["message"].alias("warning"))
+
+
+@registered("""
+SELECT p_partkey AS doc_id, '1 0 R' AS root, true AS has_xref_stream, true AS has_object_stream, 'P' || p_partkey AS font, CAST(1 AS BIGINT) AS page_count FROM part""")
+def xref_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose table is a stream, or a stream beside a classic table."""
+    parsed = parse(corpus.compressed(spark, sf_dir), "metadata", "nodes")
+    font = F.get(F.filter("nodes", lambda n: (n["key"] == "BaseFont") & (n["container"] == 6)), 0)["str"]
+    return parsed.select("doc_id", "metadata.root", "metadata.has_xref_stream", "metadata.has_object_stream", font.alias("font"), "metadata.page_count")
+
+
+@registered("""
+SELECT p_partkey AS doc_id, CAST(5 AS BIGINT) AS obj, CAST(6 AS BIGINT) AS container, 'Dictionary' AS value_type, '/Type /Font, /Subtype /Type1' AS summary, CAST(-1 AS BIGINT) AS stream_length FROM part
+UNION ALL SELECT p_partkey, 6, -1, 'Dictionary', '/Type /ObjStm, stream ' || (48 + length('P' || p_partkey)) || ' byte(s)', 48 + length('P' || p_partkey) FROM part""")
+def lazy_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects looked up by their entries, one of them inside an object stream."""
+    rows = parse_lazy(corpus.compressed(spark, sf_dir), "objects").select("doc_id", F.inline("objects")).filter("obj in (5, 6)")
+    return rows.select("doc_id", "obj", F.coalesce("container", F.lit(-1).cast("long")).alias("container"), "value_type", "summary", F.coalesce("stream_length", F.lit(-1).cast("long")).alias("stream_length"))
+
+
+@registered("SELECT c_custkey AS doc_id, '(' || c_name || ')' AS creator, 'A B' AS marked FROM customer")
+def info_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text strings in three encodings, and names with escapes."""
+    parsed = parse(corpus.titled(spark, sf_dir), "metadata", "nodes")
+    marked = F.get(F.filter("nodes", lambda n: n["key"] == "Marked"), 0)["str"]
+    return parsed.select("doc_id", F.col("metadata.info_summary")["Creator"].alias("creator"), marked.alias("marked"))
+
+
+@registered("""
+WITH p AS (SELECT s_suppkey AS doc_id, CAST(s_suppkey % 30 AS DOUBLE) AS x, CAST(s_suppkey % 40 AS DOUBLE) AS y, CAST(s_nationkey + 1 AS DOUBLE) AS w FROM supplier)
+SELECT doc_id, 'page-1-xobject-1' AS id, 'image' AS kind, x AS llx, y AS lly, x + w AS urx, y + 2 * w AS ury, CAST(NULL AS VARCHAR) AS parent FROM p
+UNION ALL SELECT doc_id, 'page-1-path-2', 'path', x, y, x + w, y + 2 * w, NULL FROM p
+UNION ALL SELECT doc_id, 'page-1-xobject-3', 'form', x + 3, y + 4, x + 103, y + 104, NULL FROM p
+UNION ALL SELECT doc_id, 'page-1-path-4', 'path', x + 3, y + 4, x + 13, y + 14, '/Fm1 8 0 R' FROM p""")
+def painted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where images, paths and what forms draw lie on the page; resources come from the page's parent."""
+    shown = relation(parse(corpus.painted(spark, sf_dir), "page_objects"), "page_objects")
+    parent = F.get(F.filter("properties", lambda p: p["name"] == "Parent form"), 0)["value"]
+    return shown.select("doc_id", "id", "kind", "llx", "lly", "urx", "ury", parent.alias("parent"))
+
+
+@registered("""
+SELECT p_partkey AS doc_id, 'A€C' AS text, CAST(p_partkey % 50 AS DOUBLE) AS llx, round(p_partkey % 50 + (2.1 - (p_partkey % 100) / 1000) * p_size, 6)::DOUBLE AS urx, 7.0::DOUBLE AS lly, 7.0 + p_size::DOUBLE AS ury, '/WinAnsiEncoding with Differences' AS encoding, '/Widths from FirstChar 65' AS widths FROM part""")
+def text_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of shown text from glyph widths, kerning and size, and its encoding."""
+    shown = relation(parse(corpus.measured(spark, sf_dir), "page_objects"), "page_objects")
+    told = lambda name: F.get(F.filter("properties", lambda p: p["name"] == name), 0)["value"]
+    return shown.select("doc_id", "text", "llx", F.round("urx", 6).alias("urx"), "lly", "ury", told("Encoding source").alias("encoding"), told("Width source").alias("widths"))
+
+
+@registered("""
+SELECT s_suppkey AS doc_id, CAST(3 AS BIGINT) AS obj, 'dictionary' AS object_type, 'Contents,Parent,Resources,Type' AS keys, '2,4,5' AS refs, CAST(-1 AS BIGINT) AS decoded_length FROM supplier
+UNION ALL SELECT s_suppkey, 4, 'stream', 'Length', '', 23 FROM supplier""")
+def object_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a single object is, holds and names."""
+    rows = relation(parse(corpus.suppliers(spark, sf_dir), "inspections"), "inspections").filter("obj in (3, 4)")
+    return rows.select("doc_id", "obj", "object_type", F.array_join(F.sort_array("keys"), ",").alias("keys"), F.array_join(F.transform("references", lambda r: r["obj"].cast("string")), ",").alias("refs"), F.coalesce("decoded_length", F.lit(-1).cast("long")).alias("decoded_length"))
+
+
+@registered("""
+SELECT s_suppkey AS doc_id, '5 0 obj' || chr(10) || '<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>' || chr(10) || 'endobj' AS raw, 'BT /F1 12 Tf (Hi) Tj ET' AS decoded,
+  '00000000  42 54 20 2f 46 31 20 31  32 20 54 66 20 28 48 69  BT /F1 12 Tf (Hi' || chr(10) || '00000010  29 20 54 6a 20 45 54                              ) Tj ET' || chr(10) AS hex FROM supplier""")
+def object_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw text of an object, and a stream in hex and decoded."""
+    parsed = parse(corpus.suppliers(spark, sf_dir), "previews")
+    of = lambda obj: F.get(F.filter("previews", lambda p: p["obj"] == obj), 0)
+    return parsed.select("doc_id", of(5)["raw"].alias("raw"), of(4)["decoded"].alias("decoded"), of(4)["hex"].alias("hex"))
+
+
+@registered(OPS + """
+SELECT doc_id, name, CASE name WHEN 'q' THEN 'Save graphics state' WHEN 'Q' THEN 'Restore graphics state' WHEN 'BT' THEN 'Begin a text object' WHEN 'ET' THEN 'End a text object' ELSE 'Unknown PDF content stream operator' END AS explanation,
+  count(*) AS n, CAST(count(*) AS BIGINT) AS operands FROM o GROUP BY ALL""")
+def content_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators of content streams with what they do."""
+    rows = relation(parse(corpus.event_content(spark, sf_dir), "content_views"), "content_views")
+    return rows.groupBy("doc_id", "name", "explanation").agg(F.count("*").alias("n"), F.sum("operands").alias("operands"))
+
+
+@registered("SELECT doc_id, 'BT (doc ' || doc_id || ') Tj ET' AS content, 'FlateDecode' AS filters, true AS same_length FROM documents")
+def stream_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New contents for compressed streams, read back from the bytes written."""
+    docs = corpus.texts(spark, sf_dir)
+    keys = corpus.table(spark, sf_dir, "documents").select("doc_id")
+    new = F.concat(F.lit("BT (doc "), F.col("doc_id").cast("string"), F.lit(") Tj ET"))
+    edits = keys.select("doc_id", F.lit(0).alias("ord"), F.lit(4).cast("long").alias("obj"), F.lit(0).alias("gen"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("string").alias("value"), new.alias("stream_text"))
+    parsed = parse(apply_edits(docs, edits).select("doc_id", "content"), "stream_bytes", "streams")
+    own = lambda part: F.get(F.filter(part, lambda x: x["obj"] == 4), 0)
+    return parsed.select("doc_id", own("stream_bytes")["decoded"].cast("string").alias("content"), F.array_join(own("streams")["filters"], ",").alias("filters"), (own("streams")["declared_length"] == own("streams")["actual_length"]).alias("same_length"))
+
+
+@registered("""
+SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CASE WHEN n_nationkey % 4 = 3 THEN 'image/jpeg' ELSE 'image/png' END AS media, CASE WHEN n_nationkey % 4 = 3 THEN 'passthrough' ELSE '' END AS status,
+  CASE n_nationkey % 4 WHEN 0 THEN printf('%02X%02X%02X', n_nationkey, n_nationkey, n_nationkey) WHEN 1 THEN printf('%02X%02X%02X', n_nationkey, 2 * n_nationkey, 3 * n_nationkey)
+    WHEN 2 THEN printf('%02X%02X%02X', 255 - least(255, n_nationkey + 200), 255 - least(255, 2 * n_nationkey + 200), 255 - least(255, 3 * n_nationkey + 200)) END AS rgb FROM nation""")
+def image_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as they can be shown: RGB samples of three colour spaces, JPEG data as it stands."""
+    parsed = parse(corpus.pictures(spark, sf_dir), "image_previews", "streams")
+    status = F.array_join(F.get(F.filter("streams", lambda s: s["obj"] == 6), 0)["steps"]["status"], ",")
+    return parsed.select("doc_id", F.explode("image_previews").alias("i"), status.alias("status")).select("doc_id", "i.media", "status", F.hex("i.rgb").alias("rgb"))
+
+
+@registered("SELECT c_custkey AS doc_id, regexp_replace(c_name || ' /' || c_mktsegment, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM customer")
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from any text."""
+    c = corpus.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("doc_id"), safe_text(F.concat("c_name", F.lit(" /"), "c_mktsegment")).alias("name"))
+
+
+@registered("""
+WITH v AS (SELECT c_custkey, c_name, c_custkey % 7 AS k FROM customer)
+SELECT c_custkey AS doc_id, CASE k WHEN 0 THEN 'Number' WHEN 1 THEN 'String' WHEN 2 THEN 'Name' END AS type, CASE WHEN k > 2 THEN true ELSE false END AS refused FROM v""")
+def edit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which values an edit may write: numbers, strings and names, one at a time."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    made = F.array(key.cast("string"), F.concat(F.lit("("), name, F.lit(")")), F.concat(F.lit("/N"), key), F.concat(F.lit("["), key, F.lit("]")), F.concat(key, F.lit(" 0 R")), F.lit("true"), F.concat(key, F.lit(" "), key))
+    rows = corpus.table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.get(made, (key % 7).cast("int")).alias("value"))
+    checked = check_values(rows.select("value").distinct())
+    return rows.join(checked, "value").select("doc_id", "type", F.col("error").isNotNull().alias("refused"))
+
+
+@registered("""
+SELECT CAST(r_regionkey AS BIGINT) AS doc_id, CAST(256 AS BIGINT) AS xref_children, CAST(8 AS INTEGER) AS next_steps, CAST(12 AS INTEGER) AS findings, 'More xref objects' AS last_lazy_node, CAST(1 AS INTEGER) AS stream_limits FROM region""")
+def limited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of trees, reports and fast checks, on documents beyond them."""
+    docs = corpus.wide(spark, sf_dir)
+    parsed = parse(docs, "tree").select("doc_id", F.size(F.filter("tree", lambda n: n["summary"].startswith("offset "))).cast("long").alias("xref_children"))
+    rows = rules.finding_rows(docs)
+    made = reports.markdown_reports(rows).join(rows.select("doc_id", F.size(F.filter("found", lambda f: f["rule_id"] == "page.missing_mediabox")).alias("findings")), "doc_id")
+    steps = F.regexp_count(F.substring_index("report", "### Suggested Next Steps", -1), F.lit("(?m)^- ")).alias("next_steps")
+    lazy = parse_lazy(docs, "tree", "findings").select("doc_id", F.element_at("tree", -1)["label"].alias("last_lazy_node"), F.size(F.filter("findings", lambda f: f["rule_id"] == "lazy.fast_stream_metadata_limit")).alias("stream_limits"))
+    return parsed.join(made.select("doc_id", "findings", steps), "doc_id").join(lazy, "doc_id").select("doc_id", "xref_children", "next_steps", "findings", "last_lazy_node", "stream_limits")
+
+
+@registered("""
+SELECT CAST(r_regionkey AS BIGINT) AS doc_id, true AS partial, 'Only the first 4 content stream(s) were analyzed for this page; 596 additional stream(s) were skipped.' AS limitation FROM region""")
+def deep_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep diagnostics of a page with more content streams than they look at."""
+    targets = corpus.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("page").alias("kind"), F.lit(1).alias("number"), F.lit(0).alias("gen"))
+    got = deep_diagnostics(corpus.wide(spark, sf_dir), targets)
+    return got.select("doc_id", "partial", F.element_at("limitations", -1).alias("limitation"))
+
+
+@registered("""
+SELECT s_suppkey AS doc_id, CAST(2 AS INTEGER) AS enrichments, 'Scope: fast diagnostics plus selected target enrichments' AS scope, '#### Object 1 0 R (object),#### Page 1 (page)' AS titles FROM supplier""")
+def enriched_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy reports with deep diagnostics of chosen targets; targets that aren't there are left out."""
+    keys = corpus.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+    ask = lambda kind, number: keys.select("doc_id", F.lit(kind).alias("kind"), F.lit(number).alias("number"), F.lit(0).alias("gen"))
+    made = lazy_reports(corpus.suppliers(spark, sf_dir), ask("page", 1).unionByName(ask("object", 1)).unionByName(ask("object", 999)))
+    back = F.from_json("report", "enrichments array<struct<scope:string>>")["enrichments"]
+    return made.select("doc_id", F.size(back).alias("enrichments"), F.regexp_extract("markdown", "(?m)^(Scope: .*)$", 1).alias("scope"), F.array_join(F.regexp_extract_all("markdown", F.lit("(?m)^(#### .*)$"), F.lit(1)), ",").alias("titles"))
+
+
+@registered("""
+SELECT CAST(n_nationkey AS BIGINT) AS doc_id, kind, n FROM nation, (VALUES ('comment', 1::BIGINT), ('array_start', 1), ('number', 2), ('string', 1), ('hex_string', 1), ('array_end', 1), ('dictionary_start', 1), ('name', 2), ('keyword', 2), ('dictionary_end', 1), ('other', 2)) t(kind, n)""")
+def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of token that content streams have."""
+    tokens = relation(parse(corpus.odd_content(spark, sf_dir), "tokens"), "tokens")
+    return tokens.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@registered("""
+WITH f AS (SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name || '.' || c_mktsegment || '.c' || c_custkey AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc_id, name, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY lower(name)) - 1 AS INTEGER) AS ord FROM f""")
+def ordered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each form field in its document's list."""
+    return relation(parse(corpus.forms(spark, sf_dir), "fields"), "fields").select("doc_id", "name", "ord")
+
+
+@registered(RECTS + "SELECT doc_id, obj, CAST(obj - 10 AS INTEGER) AS ord FROM a")
+def ordered_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each annotation in its document's list."""
+    return relation(parse(corpus.annotated(spark, sf_dir), "annotations"), "annotations").select("doc_id", "obj", "ord")

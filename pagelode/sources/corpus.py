@@ -315,3 +315,128 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per customer; its fault is the key modulo the number of kinds."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
     return render(rows, lambda r: faulty_document(r["doc_id"] % len(FAULTS)))
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per supplier: by the key modulo 5 linearized, without startxref, without a table, with all offsets wrong, sound."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"))
+
+    def build(r: dict) -> bytes:
+        kind = r["doc_id"] % 5
+        b = Builder("1.4")
+        b.add(9, "<< /Linearized 1 >>" if kind == 0 else "<< /Other 1 >>")
+        for number, body in ((1, "<< /Type /Catalog /Pages 2 0 R >>"), (2, "<< /Type /Pages /Kids [3 0 R] /Count 1 >>"), (3, "<< /Type /Page /Parent 2 0 R >>")):
+            b.add(number, body)
+        if kind == 2:
+            return b.bytes()
+        made = b.table(ROOT.format(10), shift=dict.fromkeys((1, 2, 3, 9), 7) if kind == 3 else None).bytes()
+        return made.replace(b"startxref", b"startnone") if kind == 1 else made
+
+    return render(rows, build)
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part whose font lies in an object stream; odd keys have a classic table beside the cross-reference stream."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"))
+
+    def build(r: dict) -> bytes:
+        font = f"<< /Type /Font /Subtype /Type1 /BaseFont /P{r['doc_id']} >>"
+        b = Builder("1.5").add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 >>").add(3, "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 9 9] >>")
+        b.stream(6, b"5 0 " + font.encode(), "/Type /ObjStm /N 1 /First 4")
+        start = len(b.out)
+        offsets = {n: at for (n, _), at in b.offsets.items()} | {7: start}
+        entries = b"".join(bytes([k]) + at.to_bytes(4, "big") + bytes(2) for n in range(8) for k, at in [(1, offsets[n]) if n in offsets else (2, 6) if n == 5 else (0, 0)])
+        b.stream(7, entries, "/Type /XRef /W [1 4 2] /Size 8 /Root 1 0 R")
+        if r["doc_id"] % 2:
+            return b.table(f"<< /Root 1 0 R /Size 8 /XRefStm {start} >>").bytes()
+        return b.bytes() + f"startxref\n{start}\n%%EOF\n".encode()
+
+    return render(rows, build)
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per customer with its name as creator: by the key modulo 3 a literal string, UTF-16 in hex, UTF-16 in a literal string."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+
+    def build(r: dict) -> bytes:
+        wide = b"\xfe\xff" + r["c_name"].encode("utf-16-be")
+        literal = b"(" + wide.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+        creator = (f"({r['c_name']})".encode(), b"<" + wide.hex().encode() + b">", literal)[r["doc_id"] % 3]
+        b = simple(TEXT).add(6, b"<< /Creator " + creator + b" /Mark#65d /A#20B >>")
+        return b.table("<< /Root 1 0 R /Info 6 0 R /Size 7 >>").bytes()
+
+    return render(rows, build)
+
+
+def painted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per supplier whose page shows an image, a path and a form that draws a path, at places that follow from its columns."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), "s_nationkey")
+
+    def build(r: dict) -> bytes:
+        x, y, w = r["doc_id"] % 30, r["doc_id"] % 40, r["s_nationkey"] + 1
+        content = f"q {w} 0 0 {2 * w} {x} {y} cm /Im1 Do Q {x} {y} {w} {2 * w} re S q 2 0 0 2 {x} {y} cm /Fm1 Do Q".encode()
+        b = Builder().add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 200 200] /Resources << /XObject << /Im1 6 0 R /Fm1 8 0 R >> >> >>")
+        b.add(3, "<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>").stream(4, content)
+        b.stream(6, b"\0", "/Type /XObject /Subtype /Image /Width 1 /Height 1 /ColorSpace /DeviceGray /BitsPerComponent 8")
+        b.stream(8, b"0 0 5 5 re S", "/Type /XObject /Subtype /Form /Matrix [1 0 0 1 3 4] /BBox [0 0 50 50]")
+        return b.table(ROOT.format(9)).bytes()
+
+    return render(rows, build)
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part that shows three glyphs with widths and kerning, in the part's size."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+
+    def build(r: dict) -> bytes:
+        content = f"BT /F1 {r['p_size']} Tf {r['doc_id'] % 50} 7 Td [(AB) {r['doc_id'] % 100} (C)] TJ ET".encode()
+        b = Builder().add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, "<< /Type /Pages /Kids [3 0 R] /Count 1 /MediaBox [0 0 200 200] >>")
+        b.add(3, "<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>").stream(4, content)
+        b.add(5, "<< /Type /Font /Subtype /Type1 /BaseFont /Any /FirstChar 65 /Widths [600 700 800] /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [66 /uni20AC] >> >>")
+        return b.table(ROOT.format(6)).bytes()
+
+    return render(rows, build)
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per nation with an image of one sample: by the key modulo 4 gray, RGB, CMYK, JPEG data."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
+
+    def build(r: dict) -> bytes:
+        k = r["doc_id"]
+        data, space, more = ((bytes([k]), "Gray", ""), (bytes([k, 2 * k, 3 * k]), "RGB", ""), (bytes([k, 2 * k, 3 * k, 200]), "CMYK", ""), (b"\xff\xd8" + bytes([k]), "RGB", "/Filter /DCTDecode"))[k % 4]
+        b = simple(TEXT).stream(6, data, f"/Type /XObject /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /Device{space} {more}")
+        return b.table(ROOT.format(7)).bytes()
+
+    return render(rows, build)
+
+
+STREAMS = 600
+BARE = 12
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per region that is larger than the limits of trees, reports and checks: pages without boxes, the first with many content streams."""
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"))
+
+    def build(r: dict) -> bytes:
+        kids = " ".join(f"{10 + i} 0 R" for i in range(BARE))
+        b = Builder("1.4").add(1, "<< /Type /Catalog /Pages 2 0 R >>").add(2, f"<< /Type /Pages /Kids [{kids}] /Count {BARE} >>")
+        for i in range(BARE):
+            contents = f"/Contents [{' '.join(f'{100 + k} 0 R' for k in range(STREAMS))}]" if not i else ""
+            b.add(10 + i, f"<< /Type /Page /Parent 2 0 R {contents} >>")
+        for k in range(STREAMS):
+            b.stream(100 + k, b"q Q " * 20)
+        return b.table(ROOT.format(100 + STREAMS)).bytes()
+
+    return render(rows, build)
+
+
+# A content stream with a token of every kind.
+EVERY_TOKEN = b"% note\n[1 2.5 (a(b)) <4142>] << /K true >> /N Do ) \xff"
+
+
+def odd_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per nation whose content has every kind of token."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"))
+    return render(rows, lambda r: simple(EVERY_TOKEN).table(ROOT.format(6)).bytes())

@@ -30,7 +30,7 @@ STEP = "struct<filter:string,status:string,message:string>"
 STREAM_VIEW = f"obj long, gen int, declared_length long, actual_length long, raw_start long, raw_end long, filters array<string>, decoded_length long, steps array<{STEP}>, issues array<struct<filter:string,kind:string,message:string>>, warnings array<struct<rule_id:string,message:string,byte_offset:long>>, raw_preview binary, raw_truncated boolean, decoded_preview binary, decoded_truncated boolean, decoded_error string, can_export_raw boolean, can_export_decoded boolean"
 PARTS = {
     "metadata": SCHEMAS["metadata"], "pages": SCHEMAS["pages"], "page_links": SCHEMAS["page_links"], "findings": FINDINGS, "tree": SCHEMAS["tree"],
-    "notes": "ord int, rule_id string, message string, byte_offset long", "stream_views": STREAM_VIEW,
+    "objects": OBJECTS.removeprefix("path string, "), "notes": "ord int, rule_id string, message string, byte_offset long", "stream_views": STREAM_VIEW,
 }
 
 
@@ -135,7 +135,7 @@ def _notes(doc: LazyDocument):
 
 
 MAKERS = {
-    "pages": _pages, "page_links": _page_links, "findings": _finding_rows, "stream_views": _stream_views, "notes": _notes,
+    "objects": lambda d: (row[1:] for row in object_rows(d, "", {})), "pages": _pages, "page_links": _page_links, "findings": _finding_rows, "stream_views": _stream_views, "notes": _notes,
     "tree": lambda d: ((i, list(n.path), n.label, n.kind, *(n.ref or (None, None)), n.summary) for i, n in enumerate(d.tree())),
 }
 ENRICHMENT = "scope string, target string, page int, obj long, gen int, partial boolean, summary string, findings array<struct<rule_id:string,severity:string,message:string,obj:long,gen:int,page:int,byte_offset:long,suggested_next_step:string>>, warnings array<string>, limitations array<string>, details array<struct<name:string,value:string>>, error string"
