@@ -543,7 +543,7 @@ def xref_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 SELECT p_partkey AS doc_id, CAST(5 AS BIGINT) AS obj, CAST(6 AS BIGINT) AS container, 'Dictionary' AS value_type, '/Type /Font, /Subtype /Type1' AS summary, CAST(-1 AS BIGINT) AS stream_length FROM part
-UNION ALL SELECT p_partkey, 6, -1, 'Dictionary', '/Type /ObjStm, stream ' || (48 + length('P' || p_partkey)) || ' byte(s)', 48 + length('P' || p_partkey) FROM part""")
+UNION ALL SELECT p_partkey, 6, -1, 'Dictionary', '/Type /ObjStm, stream ' || (49 + length('P' || p_partkey)) || ' byte(s)', 49 + length('P' || p_partkey) FROM part""")
 def lazy_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects looked up by their entries, one of them inside an object stream."""
     rows = parse_lazy(corpus.compressed(spark, sf_dir), "objects").select("doc_id", F.inline("objects")).filter("obj in (5, 6)")
