@@ -6,8 +6,9 @@ visible ASCII character followed by a space or a line break. Text between two
 such boundaries that is longer than one piece (a long run of one kind) is
 encoded by walking the pattern's matches one by one.
 
-Null and empty texts have no ids. Rows are independent, so ties and repeated
-rows need no rule; extra columns are carried along or dropped by the caller.
+Null and empty texts have no ids. Rows are independent, so ties, null keys and
+repeated rows need no rule: each row in gives one row out. An empty table gives an
+empty result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations

@@ -24,7 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that a few very long texts fit a Python worker."""
+    """Bound what one Arrow batch holds, so that a few very long texts fit a Python worker.
+
+    These are settings of the session that plans read when they run; all operators here set the same ones.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
@@ -69,7 +72,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with a column _rid that is unique to the row: the key where all keys are unique and none is null."""
+    """df with a column _rid that is unique to the row: the key, as a long, where all keys are unique and none is null."""
     again = df.groupBy(df[key].alias("key")).count().filter("count > 1 or key is null").limit(1).count()
     return cut(df.withColumn("_rid", F.monotonically_increasing_id())) if again else df.withColumn("_rid", F.col(key).cast("long"))
 

@@ -9,7 +9,11 @@ verifies the Jaccard similarity on their shingles.
 
 Null counts as empty text. Empty texts have no shingle and all the same
 fingerprint, which is like no other; equal texts have equal fingerprints.
-Repeated rows get equal rows.
+Repeated rows get rows of their own with equal fingerprints. In the order of rows a
+null key comes after all others, and rows of one key follow each other by their
+text. Keys have to be castable to a long. Texts are taken whole, in pieces of
+bounded size where the work per shingle is large. An empty table gives an empty
+result. Columns other than key and text are not read.
 """
 
 from __future__ import annotations

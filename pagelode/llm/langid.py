@@ -14,7 +14,8 @@ count all the same. Every text is then scored whole.
 Null text or text without a letter: `und`, score 0. No training rows at all:
 `und`, score 0. No known piece in the text: the language with the most training
 rows, with its share as score. Ties go to the language first in code point
-order. Repeated rows get equal rows. Extra columns are not read.
+order. Repeated rows get equal rows. An empty table gives an empty result.
+Columns other than those named are not read.
 """
 
 from __future__ import annotations
