@@ -479,70 +479,108 @@ def open_lazy(reader) -> LazyDocument:
     return doc
 
 
-def fast_findings(doc: LazyDocument) -> list[tuple]:
-    """Findings that need no stream bytes: (rule, severity, message, ref, page, offset, next step), each once."""
-    out: list[tuple] = []
-    checked: set[Ref] = set()
-    said: set[tuple] = set()
-    index = doc.page_index()
-
-    def add(rule, severity, message, ref=None, page=None, offset=None, step="") -> None:
-        if (rule, message, ref, page, offset) not in said:
-            said.add((rule, message, ref, page, offset))
-            out.append((rule, severity, message, ref, page, offset, step))
-
-    def check(ref: Ref, rule: str, label: str) -> None:
-        if ref in checked:
+# Severity, message and next step of the fast rules.
+TEXTS = {
+    "lazy.trailer_missing": ("error", "Lazy open did not find a trailer dictionary", "Verify startxref and the classic xref trailer section"),
+    "lazy.startxref_missing": ("error", "No startxref offset was found in the file tail", "Verify the PDF tail and %%EOF/startxref section"),
+    "lazy.root_missing": ("error", "The trailer does not contain a /Root catalog reference", "Inspect the trailer dictionary and root catalog reference"),
+    "document.encryption_detected": ("warning", "The trailer contains /Encrypt; encrypted content may not be inspectable without credentials", "Reproduce with an unencrypted fixture when possible, or provide credentials to downstream tools"),
+    "document.incremental_updates_detected": ("info", "Detected {count} incremental update section(s)", "Check whether the issue reproduces before and after the incremental update section"),
+    "document.xref_stream_detected": ("info", "Xref stream detected; lazy fast diagnostics use bounded xref stream metadata when available", "Inspect referenced objects through the lazy Object Inspector to validate xref stream entries"),
+    "document.object_stream_detected": ("info", "Object stream detected; lazy object inspection can expand selected compressed members on demand", "Open a referenced object to inspect the selected object-stream member within lazy limits"),
+    "lazy.root_missing_from_xref": ("error", "{label} {ref} is not present in the lazy xref table", "Check whether {ref} is missing, in an object stream, or omitted from the classic xref table"),
+    "lazy.page_missing_from_xref": ("error", "{label} {ref} is not present in the lazy xref table", "Check whether {ref} is missing, in an object stream, or omitted from the classic xref table"),
+    "lazy.page_link_missing_from_xref": ("error", "{label} {ref} is not present in the lazy xref table", "Check whether {ref} is missing, in an object stream, or omitted from the classic xref table"),
+    "lazy.reference_free_xref_entry": ("error", "{label} {ref} points to a free xref entry", "Verify the xref entry and regenerate the referenced object"),
+    "xref.invalid_offset": ("error", "Xref entry for {ref} points outside the file at byte {at}", "Compare the xref table against the raw file length and object header"),
+    "lazy.fast_stream_metadata_limit": ("info", "Lazy fast diagnostics checked the first {most} unique stream dictionaries and deferred additional stream metadata checks", "Open a specific stream or run selected deep diagnostics for additional stream checks"),
+    "lazy.stream.metadata_unavailable": ("warning", "Could not read stream metadata for {ref}", "Inspect the object by xref offset and verify its stream dictionary"),
+    "lazy.stream.invalid_length": ("warning", "Stream {ref} {problem}", "Inspect the stream dictionary /Length and compare it with the xref byte range"),
+    "stream.unsupported_filter": ("warning", "Stream {ref} uses unsupported or deferred filter /{name}; lazy fast diagnostics did not decode the stream bytes", "Use raw export or add support for this filter before deep stream validation"),
+    "lazy.deep_diagnostics_deferred": ("info", DEFERRED, "Inspect individual objects/streams on demand, or run full diagnostics on a smaller repro PDF."),
+}
+NO_LENGTH = "has no numeric /Length; marker-based lazy validation is deferred"
+TOO_LONG = "byte range {start}..{end} exceeds file size {size}"
+
+
+class _Fast:
+    """The fast rules over one document: what they find, in order, each once."""
+
+    def __init__(self, doc: LazyDocument):
+        self.doc, self.found = doc, {}
+        self.checked: set[Ref] = set()
+        self.streams: set[Ref] = set()
+
+    def put(self, rule: str, severity: str, message: str, step: str, ref: Ref | None = None, page: int | None = None, offset: int | None = None) -> None:
+        self.found.setdefault((rule, message, ref, page, offset), (rule, severity, message, ref, page, offset, step))
+
+    def add(self, rule: str, ref: Ref | None = None, page: int | None = None, offset: int | None = None, **values) -> None:
+        severity, *texts = TEXTS[rule]
+        name = reference_text(ref) if ref else None
+        message, step = (t.format(ref=name, **values) for t in texts)
+        self.put(rule, severity, message, step, ref, page, offset)
+
+    def reference(self, ref: Ref, rule: str, label: str) -> None:
+        """A reference has to be in the table, in use, and inside the file; looked at once."""
+        if ref in self.checked:
             return
-        checked.add(ref)
-        text, entry = reference_text(ref), doc.entries.get(ref)
+        self.checked.add(ref)
+        entry = self.doc.entries.get(ref)
         if entry is None:
-            add(rule, "error", f"{label} {text} is not present in the lazy xref table", ref, step=f"Check whether {text} is missing, in an object stream, or omitted from the classic xref table")
+            self.add(rule, ref, label=label)
         elif not entry.in_use:
-            add("lazy.reference_free_xref_entry", "error", f"{label} {text} points to a free xref entry", ref, None, entry.offset, "Verify the xref entry and regenerate the referenced object")
-        elif entry.stream is None and entry.offset >= doc.size:
-            add("xref.invalid_offset", "error", f"Xref entry for {text} points outside the file at byte {entry.offset}", ref, None, entry.offset, "Compare the xref table against the raw file length and object header")
-
-    for n in doc.notes:
-        add(n.rule, "warning", n.message, offset=n.offset, step=WARNING_STEP)
-    if doc.trailer is None:
-        add("lazy.trailer_missing", "error", "Lazy open did not find a trailer dictionary", offset=doc.startxref, step="Verify startxref and the classic xref trailer section")
-    if doc.startxref is None:
-        add("lazy.startxref_missing", "error", "No startxref offset was found in the file tail", step="Verify the PDF tail and %%EOF/startxref section")
-    root, meta = doc.reference("Root"), doc.metadata("")
-    if root is None:
-        add("lazy.root_missing", "error", "The trailer does not contain a /Root catalog reference", offset=doc.startxref, step="Inspect the trailer dictionary and root catalog reference")
-    else:
-        check(root, "lazy.root_missing_from_xref", "Root catalog reference")
-    if meta["encrypted"]:
-        add("document.encryption_detected", "warning", "The trailer contains /Encrypt; encrypted content may not be inspectable without credentials", step="Reproduce with an unencrypted fixture when possible, or provide credentials to downstream tools")
-    if meta["incremental_update_count"]:
-        add("document.incremental_updates_detected", "info", f"Detected {meta['incremental_update_count']} incremental update section(s)", step="Check whether the issue reproduces before and after the incremental update section")
-    if meta["has_xref_stream"]:
-        add("document.xref_stream_detected", "info", "Xref stream detected; lazy fast diagnostics use bounded xref stream metadata when available", offset=doc.startxref, step="Inspect referenced objects through the lazy Object Inspector to validate xref stream entries")
-    if meta["has_object_stream"]:
-        add("document.object_stream_detected", "info", "Object stream detected; lazy object inspection can expand selected compressed members on demand", step="Open a referenced object to inspect the selected object-stream member within lazy limits")
-    streams: set[Ref] = set()
+            self.add("lazy.reference_free_xref_entry", ref, None, entry.offset, label=label)
+        elif entry.stream is None and entry.offset >= self.doc.size:
+            self.add("xref.invalid_offset", ref, None, entry.offset, at=entry.offset)
+
+    def document(self) -> None:
+        doc, meta, root = self.doc, self.doc.metadata(""), self.doc.reference("Root")
+        for n in doc.notes:
+            self.put(n.rule, "warning", n.message, WARNING_STEP, offset=n.offset)
+        if doc.trailer is None:
+            self.add("lazy.trailer_missing", offset=doc.startxref)
+        if doc.startxref is None:
+            self.add("lazy.startxref_missing")
+        if root is None:
+            self.add("lazy.root_missing", offset=doc.startxref)
+        else:
+            self.reference(root, "lazy.root_missing_from_xref", "Root catalog reference")
+        if meta["encrypted"]:
+            self.add("document.encryption_detected")
+        if meta["incremental_update_count"]:
+            self.add("document.incremental_updates_detected", count=meta["incremental_update_count"])
+        if meta["has_xref_stream"]:
+            self.add("document.xref_stream_detected", offset=doc.startxref)
+        if meta["has_object_stream"]:
+            self.add("document.object_stream_detected")
+
+    def stream(self, ref: Ref, page: int) -> None:
+        """A stream's dictionary, of the first ones met."""
+        if ref in self.streams:
+            return
+        self.streams.add(ref)
+        if len(self.streams) > STREAM_CHECKS:
+            return self.add("lazy.fast_stream_metadata_limit", most=STREAM_CHECKS)
+        found = self.doc.objects.get(ref)
+        if not found or not found.stream:
+            return self.add("lazy.stream.metadata_unavailable", ref, page, self.doc.entries[ref].offset if ref in self.doc.entries else None)
+        s = found.stream
+        if s.declared is None or s.end > self.doc.size:
+            self.add("lazy.stream.invalid_length", ref, page, s.start, problem=NO_LENGTH if s.declared is None else TOO_LONG.format(start=s.start, end=s.end, size=self.doc.size))
+        for name in s.filters:
+            if name not in filters.KNOWN:
+                self.add("stream.unsupported_filter", ref, page, s.start, name=name)
+
+
+def fast_findings(doc: LazyDocument) -> list[tuple]:
+    """Findings that need no stream bytes: (rule, severity, message, ref, page, offset, next step), each once."""
+    index, fast = doc.page_index(), _Fast(doc)
+    fast.document()
     for page in index:
-        check(page.ref, "lazy.page_missing_from_xref", "Page reference")
+        fast.reference(page.ref, "lazy.page_missing_from_xref", "Page reference")
         for kind, label, ref in page.links:
-            check(ref, "lazy.page_link_missing_from_xref", f"Page {page.number} {label} reference")
-            if kind not in ("contents", "xobject", "image") or ref in streams:
-                continue
-            streams.add(ref)
-            if len(streams) > STREAM_CHECKS:
-                add("lazy.fast_stream_metadata_limit", "info", f"Lazy fast diagnostics checked the first {STREAM_CHECKS} unique stream dictionaries and deferred additional stream metadata checks", None, None, None, "Open a specific stream or run selected deep diagnostics for additional stream checks")
-                continue
-            found, text = doc.objects.get(ref), reference_text(ref)
-            if not found or not found.stream:
-                add("lazy.stream.metadata_unavailable", "warning", f"Could not read stream metadata for {text}", ref, page.number, doc.entries[ref].offset if ref in doc.entries else None, "Inspect the object by xref offset and verify its stream dictionary")
-                continue
-            s = found.stream
-            bad = f"Stream {text} has no numeric /Length; marker-based lazy validation is deferred" if s.declared is None else f"Stream {text} byte range {s.start}..{s.end} exceeds file size {doc.size}" if s.end > doc.size else None
-            if bad:
-                add("lazy.stream.invalid_length", "warning", bad, ref, page.number, s.start, "Inspect the stream dictionary /Length and compare it with the xref byte range")
-            for name in s.filters:
-                if name not in filters.KNOWN:
-                    add("stream.unsupported_filter", "warning", f"Stream {text} uses unsupported or deferred filter /{name}; lazy fast diagnostics did not decode the stream bytes", ref, page.number, s.start, "Use raw export or add support for this filter before deep stream validation")
-    add("lazy.deep_diagnostics_deferred", "info", DEFERRED, root, None, doc.startxref, "Inspect individual objects/streams on demand, or run full diagnostics on a smaller repro PDF.")
-    return out
+            fast.reference(ref, "lazy.page_link_missing_from_xref", f"Page {page.number} {label} reference")
+            if kind in ("contents", "xobject", "image"):
+                fast.stream(ref, page.number)
+    fast.add("lazy.deep_diagnostics_deferred", doc.reference("Root"), None, doc.startxref)
+    return list(fast.found.values())
