@@ -208,7 +208,7 @@ def resolve(pieces: DataFrame, total: int, window: int = WINDOW, block_bytes: in
     The pieces of a core are in one block; a task goes through several blocks, one at a time.
     """
     blocks = max(8, -(-total // block_bytes))
-    tasks = max(shuffle_partitions(pieces.sparkSession), -(-total // TASK_BYTES))
+    tasks = min(blocks, max(shuffle_partitions(pieces.sparkSession), -(-total // TASK_BYTES)))
     rows = pieces.withColumn("block", F.pmod(F.xxhash64("core"), F.lit(blocks)).cast("long")).repartition(tasks, "block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +263,8 @@ def split(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return pieces.select("core", "piece", "many", "x", "lo", "hi", "bytes").mapInArrow(run, SPLIT)
 
 
-def resolve_split(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """resolve() for the pieces of cores that are longer than a block."""
+def resolve_split(pieces: DataFrame, total: int, window: int, block_bytes: int) -> DataFrame:
+    """resolve() for the pieces, of `total` bytes, of cores that are longer than a block."""
     gram, block_bytes = min(GRAM, window), max(block_bytes, 4 * window)
 
     def with_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def resolve_split(pieces: DataFrame, window: int, block_bytes: int) -> DataFrame
     done: list[DataFrame] = []
     used: list[DataFrame] = []
     while True:
-        parts = write_table(split(now, window))
+        parts = write_table(split(now.coalesce(max(8, -(-total // TASK_BYTES))), window))  # few files, if they are small
         links = parts.select(F.col("core").alias("from_core"), F.col("piece").alias("from_piece"), "at", "group", "part")
         if where is None:
             where = links.select(F.col("from_core").alias("core"), F.col("from_piece").alias("piece"), "at", "group", "part")
@@ -314,8 +314,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     distinct = write_table(distinct.select("core", "piece", F.col("many").cast("long"), "at.rid", "at.first", "at.n"))
     length = F.col("n") + (window - 1)
     total = distinct.agg(F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()["b"]
-    large = write_table(distinct.groupBy("core").agg(F.sum(length).alias("b")).filter(F.col("b") > block_bytes).select("core"))
-    n_large = large.count()
+    large = write_table(distinct.groupBy("core").agg(F.sum(length).alias("b")).filter(F.col("b") > block_bytes))
+    n_large, in_large = large.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
 
     def take(scan: ByteScanner, text: bytes, first: int, n: int, carried: list):
         yield carried[0], text[first : first + n + window - 1]
@@ -323,9 +323,9 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, block_bytes: int = BLO
     bodies = supplied(rows, distinct, scanner, take, "many long, bytes binary", ["many"])
     if n_large:
         bodies = write_table(bodies)
-        known = F.broadcast(large) if n_large <= CORES_BROADCAST else large
+        known = F.broadcast(large.select("core")) if n_large <= CORES_BROADCAST else large.select("core")
         resolved = write_table(resolve(bodies.join(known, "core", "left_anti"), total, window, block_bytes))
-        resolved = resolved.unionByName(resolve_split(bodies.join(known, "core", "left_semi"), window, block_bytes))
+        resolved = resolved.unionByName(resolve_split(bodies.join(known, "core", "left_semi"), in_large, window, block_bytes))
         drop_table(bodies)
     else:
         resolved = write_table(resolve(bodies, total, window, block_bytes))
