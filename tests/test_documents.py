@@ -11,7 +11,8 @@ from pagelode.functions.strings import decode_hex_text, decode_text
 from pagelode.functions.values import number_text, parse_value, references, summary, walk
 from pagelode.functions.writer import Builder, Edit, EditError, apply_edit, replace_stream, scalar, serialize
 from pagelode.operators.relations import parse, relation
-from pagelode.plans import rules
+from pagelode.plans import queries, rules
+from pagelode.sources import corpus
 from pagelode.sources.corpus import FONT, ROOT, TEXT, defective, simple
 
 
@@ -153,6 +154,17 @@ def test_form_fields():
     assert len(warnings) == 2 and "Cycle" in warnings[0] and "direct" in warnings[1]
 
 
+def test_all_form_fields(spark, tmp_path):
+    n = structure.FIELDS + 5
+    spark.createDataFrame([(7, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(n).selectExpr("id as c_custkey", "7 as c_nationkey", "'BUILDING' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    names = sorted(f"PERU.BUILDING.c{k}" for k in range(n))
+    assert sorted(r["name"] for r in queries.form_fields(spark, str(tmp_path)).collect()) == names
+    doc = parse_document(corpus.forms(spark, str(tmp_path)).first()["content"])
+    fields, warnings = structure.form_fields(doc, structure.FIELDS)
+    assert len(fields) == structure.FIELDS and len(warnings) == 5 and "limit reached (10000)" in warnings[0]
+
+
 def test_edits():
     doc = parse_document(simple(zlib.compress(b"Old"), page="/X [1 (a)]").table(ROOT.format(6)).bytes().replace(b">>\nstream\nx", b"/Filter /Fl >>\nstream\nx"))
     apply_edit(doc, Edit((3, 0), ["X", 1], "(b)"))
