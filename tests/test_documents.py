@@ -161,6 +161,7 @@ def test_all_form_fields(spark, tmp_path):
     names = sorted(f"PERU.BUILDING.c{k}" for k in range(n))
     assert sorted(r["name"] for r in queries.form_fields(spark, str(tmp_path)).collect()) == names
     assert [(r["doc_id"], r["n"]) for r in queries.form_field_search(spark, str(tmp_path)).collect()] == [(7, n)]
+    assert sorted((r["ord"], r["name"]) for r in queries.ordered_fields(spark, str(tmp_path)).collect()) == list(enumerate(names))
     doc = parse_document(corpus.forms(spark, str(tmp_path)).first()["content"])
     fields, warnings = structure.form_fields(doc, structure.FIELDS)
     assert len(fields) == structure.FIELDS and len(warnings) == 5 and "limit reached (10000)" in warnings[0]
