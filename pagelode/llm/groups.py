@@ -24,9 +24,10 @@ from pagelode.llm.common import cut, small_batches
 from pagelode.llm.shingles import utf8
 
 BLOCK = 1024
-IDS_BROADCAST = 1_000_000
-LINKS_BROADCAST = 200_000
+LINKS_BROADCAST = 20_000
 FEW = 8
+MAP_BITS = 16  # of a map of nodes for each node, so that one in sixteen others passes
+MAP_WORDS = 1 << 18  # 2 MB, however many nodes
 PAIRS_PER_SLOT = 2048
 BEST_ROUNDS = 1
 MARGIN = 0.2  # of 125 registers, 5.6 standard deviations at a similarity of 0.8
@@ -36,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node and label, the smallest node of its component, for each node of edges (a, b).
 
     Each round every node takes the smallest label of its neighbours and then its label's
-    label. Up to LINKS_BROADCAST edges the labels are broadcast and held in a few partitions;
-    beyond, the joins shuffle.
+    label. Up to LINKS_BROADCAST edges, a few MB in the driver, the labels are broadcast and
+    held in a few partitions; beyond, the joins shuffle.
     """
     small = edges.count() <= LINKS_BROADCAST
     few = (lambda df: df.coalesce(FEW)) if small else (lambda df: df)
@@ -58,6 +59,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def texts_of(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """One row (node, text) for each of the n nodes in ids, and for few others, which a join with ids leaves out.
+
+    The rows to shuffle are picked by a map of one bit a hash of the nodes. It is all that
+    passes through the driver: the nodes themselves would grow there with the corpus.
+    """
+    words = min(MAP_WORDS, 1 << max(0, (n * MAP_BITS // 64).bit_length()))
+    at = F.xxhash64("node")
+    word, bit = at.bitwiseAND(F.lit(words - 1)).cast("int"), F.shiftrightunsigned(at, 58).cast("int")
+    got = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(words, np.int64)
+    bits[np.asarray(got.column("word"))] = np.asarray(got.column("bits"))
+    table = texts.sparkSession.createDataFrame(pa.table({"bits": pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array(bits))}))
+    marked = F.call_function("shiftright", F.get("bits", word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return texts.join(F.broadcast(table), marked, "left_semi").dropDuplicates(["node"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame, profile: Callable, similarity: Callable, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least threshold alike. texts: node, text.
 
@@ -71,9 +89,7 @@ def verify(pairs: DataFrame, texts: DataFrame, profile: Callable, similarity: Ca
     needs = pairs.select(F.col("b").alias("node"), "a", "s", F.lit(1).alias("kind")).unionByName(
         pairs.select("a", "s").distinct().select(F.col("a").alias("node"), "a", "s", F.lit(0).alias("kind"))
     )
-    ids = needs.select("node").distinct()
-    small = 2 * n <= IDS_BROADCAST
-    own = texts.join(F.broadcast(ids) if small else ids, "node", "left_semi").dropDuplicates(["node"])
+    own = texts_of(texts, needs.select("node"), 2 * n)
     rows = needs.join(own, "node").repartition("a", "s").sortWithinPartitions("a", "s", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +270,7 @@ def classes(df: DataFrame, sign: Callable, profile: Callable, similarity: Callab
             break
         signatures = nodes.join(ids, "node", "left_semi")
         if last:
-            own = texts.join(F.broadcast(ids) if n <= IDS_BROADCAST else ids, "node", "left_semi").dropDuplicates(["node"])
-            more = all_links(left, signatures.join(own, "node"), band_rows, threshold - MARGIN, profile, similarity, threshold)
+            more = all_links(left, signatures.join(texts_of(texts, ids, n), "node"), band_rows, threshold - MARGIN, profile, similarity, threshold)
         else:
             more = verify(nearest_pairs(left, signatures, threshold - MARGIN), texts, profile, similarity, threshold)
         more = cut(more)

@@ -112,6 +112,30 @@ def test_all_links_finds_what_the_stars_miss(spark):
     assert {r["class_id"] for r in collected(probminhash.near_duplicate_classes(df))} == {0}
 
 
+def test_near_duplicates_broadcast_no_nodes(spark, monkeypatch):
+    from pagelode.llm import groups
+
+    sent = []
+    broadcast = groups.F.broadcast
+    monkeypatch.setattr(groups, "LINKS_BROADCAST", 0)
+    monkeypatch.setattr(groups.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 300)) for _ in range(60)) for _ in range(30)]
+    df = make(spark, [(i, f"{texts[i % 30]} end{i // 30}", None, None) for i in range(90)])
+    assert {r["class_id"] for r in collected(probminhash.near_duplicate_classes(df))} == set(range(30))
+    assert sent and max(sent) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_texts_of_nodes_lose_none(spark, monkeypatch, n):
+    from pagelode.llm import groups
+
+    monkeypatch.setattr(groups, "MAP_WORDS", 64)
+    texts = spark.range(3000).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("node"), F.col("id").cast("string").alias("text"))
+    got = [int(r["text"]) for r in groups.texts_of(texts.union(texts), texts.filter(f"int(text) < {n}").select("node"), n).collect()]
+    assert len(got) == len(set(got)) and set(range(n)) <= set(got) and len(got) < 1500
+
+
 @pytest.mark.parametrize("limit", [0, 200_000])
 def test_components_match_union_find(spark, monkeypatch, limit):
     from pagelode.llm import groups
