@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm import bpe, bwt, mixing, probminhash, toxicity
-from pagelode.llm.common import documents, drop_table, numbered, table, write_table
+from pagelode.llm.common import documents, drop_table, give_back, numbered, table, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,6 +26,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    give_back()
     return toxicity.drop_toxic(docs.select(COLUMNS), model)
 
 
