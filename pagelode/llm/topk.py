@@ -1,10 +1,12 @@
 """Exact top-k search by columnar branch-and-bound.
 
-Candidates of a batch are held vertically, one matrix for each block of
-dimensions. For each query the blocks are taken in order of the query's mass;
-after each, a candidate's score can still change by at most the product of
-what is left of both norms. Those that can no longer reach the k-th best are
-compacted away. Scores are integers and the survivors' are exact.
+Candidates of a batch are held vertically, in blocks of dimensions. Queries with
+the same heaviest block take the blocks in one order, by their mass; after each,
+a candidate's score can still change by at most the product of what is left of
+both norms. Pairs that can no longer reach the query's k-th best are compacted
+away. The first blocks, in which too few pairs would go, are opened at once for a
+tile of queries; how many they are follows from the pairs that were left before.
+What is left goes on block by block. Scores are integers and the survivors' are exact.
 
 Queries and candidates are dealt into blocks, each pair of blocks is a cell, and
 a row is sent to all cells of its block: one block of queries of bounded size
@@ -40,6 +42,10 @@ DIMS = 8
 QUERY_BYTES = 64 << 20
 CANDIDATE_BYTES = 128 << 20
 CANDIDATES = 4096
+QUERIES = 64
+PAIRS = 1 << 14
+# an opening is lengthened or shortened by a block if more or fewer of its pairs are left
+MANY, FEW = 2e-3, 2e-4
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -63,8 +69,9 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.k = ids, k
+        self.best_ids, self.best, self.known = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64), np.zeros(len(ids), np.int64)
+        self.highest = -LONG - 1
         self._blocks(vectors)
-        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
 
     def _blocks(self, vectors: np.ndarray) -> None:
         self.vectors, width = vectors, vectors.shape[1]
@@ -72,58 +79,123 @@ class Searcher:
         self.largest = np.abs(vectors).max(1, initial=0)
         with np.errstate(over="ignore"):
             self.mass = np.stack([(vectors[:, b] ** 2).sum(1) for b in self.blocks], 1) if self.blocks else np.zeros((len(self.ids), 0))
-        self.order = np.argsort(-self.mass, axis=1, kind="stable")
+        heaviest = self.mass.argmax(1) if self.blocks else np.zeros(len(self.ids), np.int64)
+        self.groups = []
+        for first in np.unique(heaviest):
+            own = np.flatnonzero(heaviest == first)
+            order = np.argsort(-self.mass[own].sum(0), kind="stable")
+            self.groups.append((order, [own[i : i + QUERIES] for i in range(0, len(own), QUERIES)]))
+        self.opening = [len(self.blocks)] * len(self.groups)
 
     def show(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids):
+            return
         more = vectors.shape[1] - self.vectors.shape[1]
         if more > 0:
             self._blocks(np.pad(self.vectors, ((0, 0), (0, more))))
         elif more < 0:
             vectors = np.pad(vectors, ((0, 0), (0, -more)))
-        vertical = [np.ascontiguousarray(vectors[:, b].T) for b in self.blocks]
-        with np.errstate(over="ignore"):
-            mass = [(v**2).sum(0) for v in vertical]
-        total = np.sum(mass, axis=0) if mass else np.zeros(len(ids))
+        # of equal scores the smaller id is better, so what comes with larger ids than all before must be better by one
+        self.over = int(ids.min() >= self.highest)
         largest = np.abs(vectors).max(1, initial=0)
         most, width = float(largest.max(initial=0)), max(vectors.shape[1], 1)
-        for q in range(len(self.ids)):
-            if most < EXACT / width / max(float(self.largest[q]), 1.0):
-                self._query(q, ids, vertical, mass, total, np.flatnonzero(ids != self.ids[q]))
-            else:
-                tame = largest < EXACT / width / max(float(self.largest[q]), 1.0)
-                self._query(q, ids, vertical, mass, total, np.flatnonzero((ids != self.ids[q]) & tame))
-                self._wide(q, ids, vectors, np.flatnonzero((ids != self.ids[q]) & ~tame))
-
-    def _query(self, q: int, ids: np.ndarray, vertical: list[np.ndarray], mass: list[np.ndarray], total: np.ndarray, alive: np.ndarray) -> None:
-        k = self.k
-        known = self.best[q][1]
-        floor = float(known[k - 1]) if len(known) >= k else -math.inf
-        score, rest = np.zeros(len(alive)), total[alive]
-        left = float(self.mass[q].sum())
-        for b in self.order[q]:
-            score += self.vectors[q, self.blocks[b]] @ vertical[b][:, alive]
-            rest = np.maximum(rest - mass[b][alive], 0)
-            left = max(left - float(self.mass[q, b]), 0.0)
-            reach = np.sqrt(rest * left) * (1 + 1e-9) + 1e-6 * (1 + math.sqrt(left))
-            if len(score) > 4 * k:
-                low = score - reach
-                floor = max(floor, np.partition(low, len(low) - k)[len(low) - k])
-            keep = score + reach >= floor
-            if keep.sum() < 0.7 * len(keep):
-                alive, score, rest = alive[keep], score[keep], rest[keep]
-        near = score >= floor
-        self._keep(q, ids[alive[near]], score[near].astype(np.int64))
+        # candidates with components below this add up exactly
+        limit = np.where(self.largest < EXACT, EXACT / width / np.maximum(self.largest, 1.0), 0.0)
+        for g, (order, tiles) in enumerate(self.groups):
+            shown, met, left = None, 0, 0
+            for tile in tiles:
+                if most < limit[tile].min():
+                    shown = shown or Shown(ids, vectors, self.blocks, order)
+                    left += self._tile(tile, shown, self.opening[g])
+                    met += len(tile) * len(ids)
+                    continue
+                for q in tile:
+                    tame = largest < limit[q]
+                    if tame.any():
+                        self._tile(np.array([q]), Shown(ids[tame], vectors[tame], self.blocks, order), len(order))
+                    self._wide(int(q), ids, vectors, np.flatnonzero((ids != self.ids[q]) & ~tame))
+            if left > MANY * met:
+                self.opening[g] = min(self.opening[g] + 1, len(order))
+            elif met and left < FEW * met:
+                self.opening[g] = max(self.opening[g] - 1, 1)
+        self.highest = max(self.highest, int(ids.max()))
+
+    def _tile(self, tile: np.ndarray, shown: Shown, opening: int) -> int:
+        """Show candidates to a tile of queries; the number of pairs that outlived the first `opening` blocks."""
+        full = self.known[tile] >= self.k
+        need = np.where(full, self.best[tile, self.k - 1].astype(np.float64) + self.over, -math.inf) if self.k else np.full(len(tile), math.inf)
+        opening = opening if full.all() else len(shown.order)
+        queries, mass = self.vectors[tile], self.mass[tile][:, shown.order]
+        rest = np.concatenate([np.cumsum(mass[:, ::-1], 1)[:, ::-1], np.zeros((len(tile), 1))], 1)
+        dims = shown.dims[opening]
+        # one more dimension adds what the rest can reach; single floats are off by less than slack, survivors are added up exactly
+        bound = np.concatenate([queries[:, dims], np.sqrt(rest[:, opening : opening + 1])], 1).astype(np.float32) @ shown.opened(opening)
+        slack = (len(dims) + 8) * 2.0**-23 * np.sqrt(rest[:, 0]) * shown.longest + 1e-3
+        if not full.all() and len(shown.ids) > self.k:
+            own = np.flatnonzero(np.isin(shown.ids, self.ids[tile]))
+            row, at = np.nonzero(self.ids[tile][:, None] == shown.ids[own][None, :])
+            bound[row, own[at]] = -math.inf
+            low = np.partition(bound, len(shown.ids) - self.k, axis=1)[:, len(shown.ids) - self.k]
+            need = np.maximum(need, low.astype(np.float64) - slack)
+        floor = np.nextafter((need - slack).astype(np.float32), np.float32(-math.inf))
+        which = np.flatnonzero(bound >= floor[:, None])
+        for start in range(0, len(which), PAIRS):
+            q, c = np.divmod(which[start : start + PAIRS], len(shown.ids))
+            other = self.ids[tile[q]] != shown.ids[c]
+            self._pairs(tile, q[other], c[other], shown, opening, need, queries, rest)
+        return len(which)
+
+    def _pairs(self, tile: np.ndarray, q: np.ndarray, c: np.ndarray, shown: Shown, opening: int, need: np.ndarray, queries: np.ndarray, rest: np.ndarray) -> None:
+        """Go on with pairs block by block, without those that can no longer reach what their query needs."""
+        score, a, b = np.zeros(len(q)), queries[q], shown.vectors[c]
+        for i, block in enumerate(shown.order):
+            score += np.einsum("ij,ij->i", a[:, self.blocks[block]], b[:, self.blocks[block]])
+            if opening <= i + 1 < len(shown.order):
+                left = np.sqrt(rest[q, i + 1])
+                keep = score + left * np.sqrt(shown.rest[i + 1, c]) * (1 + 1e-9) + 1e-6 * (1 + left) >= need[q]
+                if keep.sum() < 0.7 * len(keep):
+                    q, c, score, a, b = q[keep], c[keep], score[keep], a[keep], b[keep]
+        near = score >= need[q]
+        self._keep(tile[q[near]], shown.ids[c[near]], score[near].astype(np.int64))
 
     def _wide(self, q: int, ids: np.ndarray, vectors: np.ndarray, which: np.ndarray) -> None:
         """The same for pairs whose sums float64 can't hold, in whole numbers without a bound."""
         query = [int(x) for x in self.vectors[q].tolist()]
         scores = [min(max(sum(a * int(b) for a, b in zip(query, row, strict=True) if a and b), -LONG - 1), LONG) for row in vectors[which].tolist()]
-        self._keep(q, ids[which], np.array(scores, dtype=np.int64))
-
-    def _keep(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate([self.best[q][0], ids]), np.concatenate([self.best[q][1], scores])
-        first = np.lexsort((ids, ~scores))[: self.k]  # ~ turns the order around and can't overflow
-        self.best[q] = (ids[first], scores[first])
+        self._keep(np.full(len(which), q), ids[which], np.array(scores, dtype=np.int64))
+
+    def _keep(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge scores of candidates into the best of their queries."""
+        touched = np.unique(queries)
+        row, at = np.nonzero(np.arange(self.k)[None, :] < self.known[touched][:, None])
+        queries = np.concatenate([touched[row], queries])
+        ids, scores = np.concatenate([self.best_ids[touched[row], at], ids]), np.concatenate([self.best[touched[row], at], scores])
+        order = np.lexsort((ids, ~scores, queries))  # ~ turns the order around and can't overflow
+        start = np.searchsorted(queries[order], touched)
+        n = np.diff(np.append(start, len(order)))
+        place = np.arange(len(order)) - np.repeat(start, n)
+        first = order[place < self.k]
+        self.best_ids[queries[first], place[place < self.k]], self.best[queries[first], place[place < self.k]] = ids[first], scores[first]
+        self.known[touched] = np.minimum(n, self.k)
+
+
+class Shown:
+    """Candidates, held vertically in an order of blocks: what is left of their mass after each block, and the first blocks."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, blocks: list[slice], order: np.ndarray):
+        self.ids, self.vectors, self.order = ids, vectors, order
+        parts = [np.arange(blocks[b].start, blocks[b].stop) for b in order]
+        self.dims = [np.concatenate([np.empty(0, np.int64), *parts[:n]]) for n in range(len(parts) + 1)]
+        mass = np.stack([(vectors[:, p] ** 2).sum(1) for p in parts]) if parts else np.zeros((0, len(ids)))
+        self.rest = np.concatenate([np.cumsum(mass[::-1], 0)[::-1], np.zeros((1, len(ids)))])
+        self.longest = float(np.sqrt(self.rest[0].max(initial=0)))
+        self.made: dict[int, np.ndarray] = {}
+
+    def opened(self, n: int) -> np.ndarray:
+        """The first n blocks, and the norm of the rest, as rows."""
+        if n not in self.made:
+            self.made[n] = np.concatenate([self.vectors[:, self.dims[n]].T, np.sqrt(self.rest[n])[None, :]]).astype(np.float32)
+        return self.made[n]
 
 
 def scaled(vector: Column) -> Column:
@@ -177,13 +249,13 @@ def _search(k: int):
                     searcher = Searcher(ids, vectors[first], k)
                 if part.num_rows:
                     held.append((np.asarray(part.column(1), dtype=np.int64), _matrix(part.column(2))))
-                if side and sum(len(i) for i, _ in held) >= CANDIDATES:
+                if side and searcher and sum(len(i) for i, _ in held) >= CANDIDATES:
                     searcher.show(*together())
         if searcher and held:
             searcher.show(*together())
         for start in range(0, len(searcher.ids) if searcher else 0, 1024):
-            best, ids = searcher.best[start : start + 1024], searcher.ids[start : start + 1024]
-            out = [np.repeat(ids, [len(b[0]) for b in best]), np.concatenate([b[0] for b in best]), np.concatenate([b[1] for b in best])]
+            row, at = np.nonzero(np.arange(k)[None, :] < searcher.known[start : start + 1024, None])
+            out = [searcher.ids[start + row], searcher.best_ids[start + row, at], searcher.best[start + row, at]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
     return run

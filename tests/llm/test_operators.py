@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -394,6 +395,48 @@ def test_topk(spark):
     assert topk.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_many_queries(spark):
+    """More queries in a cell than candidates are looked at together."""
+    rng, n, asking = np.random.Generator(np.random.PCG64(6)), 6000, topk.CANDIDATES + 100
+    whole = rng.integers(-60, 60, (n, 12))
+    whole[3000:3040] = whole[17]
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in enumerate(whole.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    scores = whole[:asking] @ whole.T
+    scores[np.arange(asking), np.arange(asking)] = -(1 << 40)
+    want = np.argsort(-scores, 1, kind="stable")[:, :5]
+    got = collected(topk.top_k(df, F.col("vec_id") < asking))
+    assert len(got) == 5 * asking
+    for r in got:
+        i = want[r["query_id"], r["rank"] - 1]
+        assert (r["vec_id"], r["score"]) == (i, scores[r["query_id"], i])
+
+
+def test_searcher_prunes_without_loss(monkeypatch):
+    """Decaying, even, equal and far candidates, in rising order of the ids or not, against brute force."""
+    monkeypatch.setattr(topk, "MANY", 0.2)
+    monkeypatch.setattr(topk, "FEW", 0.1)
+    rng = np.random.Generator(np.random.PCG64(7))
+    for decay, rising in itertools.product((1.0, 0.9), (True, False)):
+        middles = rng.normal(size=(20, 60)) * decay ** np.arange(60)
+        whole = np.floor(256 * (middles[rng.integers(0, 20, 6000)] + 0.4 * rng.normal(size=(6000, 60)) * decay ** np.arange(60)))
+        whole[2000:2300], whole[4000] = whole[5], 1e6
+        ids = np.arange(6000) if rising else rng.permutation(6000)
+        searcher = topk.Searcher(ids[:200], whole[:200], 5)
+        for start in range(0, 6000, 500):
+            searcher.show(ids[start : start + 500], whole[start : start + 500])
+        assert max(searcher.opening) < 8
+        for q in range(200):
+            scores = whole.astype(np.int64) @ whole[q].astype(np.int64)
+            first = [i for i in np.lexsort((ids, -scores)) if i != q][:5]
+            assert searcher.best_ids[q].tolist() == ids[first].tolist() and searcher.best[q].tolist() == scores[first].tolist()
+
+
+def test_topk_of_null_vectors_and_huge_queries(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [0.0, 0.0]), (2, []), (3, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    got = collected(topk.top_k(df, F.col("vec_id") == 0))
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 0), (2, 2, 0), (3, 3, -65536)]
+
+
 def test_topk_is_exact_for_large_components(spark):
     """Sums beyond float64 and beyond a long, null and repeated ids, equal vectors."""
     rng = random.Random(5)
