@@ -167,6 +167,22 @@ def test_all_form_fields(spark, tmp_path):
     assert len(fields) == structure.FIELDS and len(warnings) == 5 and "limit reached (10000)" in warnings[0]
 
 
+@pytest.mark.parametrize("query", ["form_field_search"])
+def test_large_forms_against_sql(spark, tmp_path, query):
+    """Forms of more fields than a viewer lists, with repeated keys, in mixed order."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = 2 * (structure.FIELDS + 2000)
+    spark.createDataFrame([(0, "PERU", 1), (1, "CHINA", 2)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    customers = spark.range(rows).selectExpr("id * 7919 % 11000 as c_custkey", "cast(id % 2 as int) as c_nationkey", "if(id % 4 < 2, 'AUTOMOBILE', 'BUILDING') as c_mktsegment")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    sql = duckdb.connect()
+    for name in ("nation", "customer"):
+        sql.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.QUERIES[query](spark, str(tmp_path))
+    want = sql.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[query]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_edits():
     doc = parse_document(simple(zlib.compress(b"Old"), page="/X [1 (a)]").table(ROOT.format(6)).bytes().replace(b">>\nstream\nx", b"/Filter /Fl >>\nstream\nx"))
     apply_edit(doc, Edit((3, 0), ["X", 1], "(b)"))
