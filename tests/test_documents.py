@@ -167,7 +167,7 @@ def test_all_form_fields(spark, tmp_path):
     assert len(fields) == structure.FIELDS and len(warnings) == 5 and "limit reached (10000)" in warnings[0]
 
 
-@pytest.mark.parametrize("query", ["form_field_search"])
+@pytest.mark.parametrize("query", ["form_field_search", "ordered_fields"])
 def test_large_forms_against_sql(spark, tmp_path, query):
     """Forms of more fields than a viewer lists, with repeated keys, in mixed order."""
     duckdb = pytest.importorskip("duckdb")
