@@ -42,7 +42,7 @@ DIMS = 8
 QUERY_BYTES = 64 << 20
 CANDIDATE_BYTES = 128 << 20
 CANDIDATES = 4096
-QUERIES = 64
+QUERIES = 256
 PAIRS = 1 << 14
 # an opening is lengthened or shortened by a block if more or fewer of its pairs are left
 MANY, FEW = 2e-3, 2e-4
